@@ -1,0 +1,44 @@
+"""Tables that cut lineage, in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder in ``spark.checkpoint.dir``; a local one is made only where none is set, on a local master."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    there = there or getattr(spark, "_thicket_scratch", None)
+    if not there:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        there = spark._thicket_scratch = tempfile.mkdtemp(prefix="thicket-")
+    return there.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as Parquet in the shared folder and read back: later stages neither recompute it nor depend on an executor."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/thicket-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._thicket_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes what stored() wrote, once nothing reads it any more."""
+    path = getattr(df, "_thicket_path", None)
+    if path:
+        jvm = df.sparkSession.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns (in any letter case) that an operator is about to add."""
+    taken = {n.lower() for n in names}
+    return df.select(*[f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in taken])
