@@ -22,5 +22,11 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op10_curriculum_mix)}
+def op2_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.token_group_join import classify
+
+    return classify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_group_join, op5_quality_rules, op10_curriculum_mix)}
 ORACLES: dict[str, str] = {}

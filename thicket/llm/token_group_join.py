@@ -1,2 +1,280 @@
-"""To come."""
-NEAR = None
+"""N-gram Jaccard join by a token-group matrix.
+
+Equal shingle sets are one class.  Classes fall into groups of similar ones; a
+matrix keeps, for each group, the union of its members' tokens.  No two sets can
+be similar unless each overlaps the other's group union enough, so overlaps with
+unions bound similarity, and only group pairs that qualify are opened and
+compared set by set.  Links are exact; of each opened pair of groups only a
+spanning forest of links is kept, so that copies never expand into all pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from thicket.llm.components import components, forest
+from thicket.llm.scratch import drop, stored
+from thicket.llm.wordgrid import Texts, chunks, column, keyed, mix, ngrams
+
+_U = np.uint64
+
+
+@dataclass(frozen=True)
+class Similarity:
+    """Sets of n-word shingles link at percent * union <= 100 * intersection.
+    sketch: counters (a power of two) of the fixed-size frequency sketch that
+    puts rare tokens first; group: about the most members a group has."""
+
+    n: int = 3
+    percent: int = 90
+    sketch: int = 1 << 20
+    group: int = 256
+
+    @property
+    def least(self) -> int:
+        """The size of the smallest set that can link with another set."""
+        return max(1, -(-self.percent // max(1, 100 - self.percent)))
+
+    @property
+    def shared(self) -> int:
+        """How many tokens of their prefixes similar sets share at least."""
+        return min(3, self.least)
+
+    def prefix(self, size: np.ndarray) -> np.ndarray:
+        """Similar sets share ``shared`` of their first so many tokens, in any order that all sets agree on."""
+        return np.minimum(size, size - -(-self.percent * size // 100) + self.shared)
+
+
+EXACT90 = Similarity()
+NEAR = Similarity(n=5, percent=80)
+
+
+def shingle_sets(t: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, one after the other, and their bounds.  A text with fewer words is one shingle; without words, none."""
+    words, doc, size = t.word_hashes(), t.doc, t.n_words
+    grams, at = ngrams(words, doc, n)
+    owner = doc[at]
+    few = np.flatnonzero((size > 0) & (size < n))
+    if len(few):
+        whole = np.zeros(len(few), _U)
+        for k in range(n - 1):
+            has = size[few] > k
+            whole[has] = (whole[has] + words[t.bounds[few[has]] + k]) * _U(0xA0761D6478BD642F + 2 * k)
+        grams, owner = np.concatenate((grams, keyed(whole, 77))), np.concatenate((owner, few))
+    order = np.lexsort((grams, owner))
+    grams, owner = grams[order], owner[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+    grams, owner = grams[new], owner[new]
+    return grams, np.searchsorted(owner, np.arange(len(t) + 1))
+
+
+def sketch(docs: DataFrame, sim: Similarity) -> np.ndarray:
+    """Of each hash bucket, a logarithmic count of all shingles of all texts: sim.sketch bytes whatever the input.  Partial counts are summed slice by slice as they stream in, so memory doesn't grow with the number of tasks."""
+    slices = 64
+    width = sim.sketch // slices
+
+    def counts(batches):  # noqa: ANN001, ANN202
+        held = np.zeros(sim.sketch, np.int64)
+        for batch in batches:
+            for _, _, t in chunks(batch.column(0), lower=True):
+                grams, _ = shingle_sets(t, sim.n)
+                held += np.bincount((grams & _U(sim.sketch - 1)).astype(np.int64), minlength=sim.sketch)
+        yield rows(held)
+
+    def rows(held: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(held.reshape(slices, width).any(1))
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([held[i * width : (i + 1) * width].astype(np.uint32).tobytes() for i in at], pa.binary())], ["slice", "counts"])
+
+    def total(batches):  # noqa: ANN001, ANN202
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(c.as_buffer(), np.uint32).astype(np.int64)
+        for i, c in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.minimum(c, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())], ["slice", "counts"])
+
+    schema = "slice int, counts binary"
+    part = docs.select("text").mapInArrow(counts, schema).repartition("slice", F.pmod(F.spark_partition_id(), F.lit(16))).mapInArrow(total, schema).repartition(slices, "slice").mapInArrow(total, schema)
+    out = np.zeros(sim.sketch, np.uint32)
+    for r in part.toArrow().to_pylist():
+        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.uint32)
+    return np.minimum(255, 8 * np.log2(out + 1.0)).astype(np.uint8)
+
+
+def digests(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name a set: sums of two keyed hashes of its members."""
+    out = []
+    for key in (11, 12):
+        total = np.zeros(len(sets) + 1, _U)
+        np.cumsum(keyed(sets, key), out=total[1:])
+        out.append(mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(_U)).view(np.int64))
+    return out[0], out[1]
+
+
+def signatures(docs: DataFrame, sim: Similarity) -> DataFrame:
+    """(doc_id, n, da, db, prefix): the size and name of each row's set, and its rarest tokens if it can link with another set."""
+    order_of = docs.sparkSession.sparkContext.broadcast(sketch(docs, sim))
+    names = ["doc_id", "n", "da", "db", "prefix"]
+
+    def run(batches):  # noqa: ANN001, ANN202
+        rare = order_of.value
+        for batch in batches:
+            for lo, hi, t in chunks(column(batch, "text"), lower=True):
+                sets, bounds = shingle_sets(t, sim.n)
+                size = np.diff(bounds)
+                owner = np.repeat(np.arange(len(t)), size)
+                order = np.lexsort((sets, rare[(sets & _U(sim.sketch - 1)).astype(np.int64)], owner))
+                rank = np.arange(len(sets)) - bounds[:-1][owner]
+                take = np.where(size >= sim.least, sim.prefix(size), 0)
+                tokens = sets[order][rank < take[owner]].view(np.int64)
+                da, db = digests(sets, bounds)
+                offsets = np.concatenate(([0], np.cumsum(take))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(da), pa.array(db), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))], names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, da long, db long, prefix array<long>")
+
+
+def opened(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, sim: Similarity) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two groups (or within one, sets_b None), members numbered on through both.
+
+    A set stays only if its overlap with the other group's token union, which
+    no overlap with a member can exceed, reaches what a link needs.
+    """
+    both = sets_a + (sets_b or [])
+    size = np.array([len(s) for s in both])
+    alive = np.ones(len(both), bool)
+    if sets_b is not None:
+        k = len(sets_a)
+        for own, other in ((range(k), sets_b), (range(k, len(both)), sets_a)):
+            union = np.unique(np.concatenate(other))
+            flat = np.concatenate([both[i] for i in own])
+            at = np.minimum(np.searchsorted(union, flat), len(union) - 1)
+            hit = np.add.reduceat((union[at] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(size[list(own)])[:-1])))
+            alive[list(own)] = 100 * hit >= sim.percent * size[list(own)]
+        left, right = np.flatnonzero(alive[:k]), k + np.flatnonzero(alive[k:])
+    else:
+        left = right = np.arange(len(both))
+    if not len(left) or not len(right):
+        return []
+    kept = np.unique(np.concatenate((left, right)))
+    flat = np.concatenate([both[i] for i in kept])
+    token, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(kept)), size[kept])
+    dense = count > 1  # a token of one set adds to no intersection
+    number = np.cumsum(dense) - 1
+    sel = dense[code]
+    code, row = number[code[sel]], row[sel]
+    li, ri = np.searchsorted(kept, left), np.searchsorted(kept, right)
+    inter = np.zeros((len(left), len(right)), np.float32)
+    step, width = 8192, int(dense.sum())
+    for at in range(0, width, step):
+        block = np.zeros((len(kept), min(step, width - at)), np.float32)
+        here = (code >= at) & (code < at + step)
+        block[row[here], code[here] - at] = 1
+        inter += block[li] @ block[ri].T
+    union = size[left][:, None] + size[right][None, :] - inter
+    a, b = np.nonzero(100 * inter >= sim.percent * union)
+    a, b = left[a], right[b]
+    a, b = a[a < b], b[a < b]
+    return [(int(a[i]), int(b[i])) for i in forest(len(both), a, b)]
+
+
+def links(docs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
+    """(a, b): links between classes' least ids that connect what similar sets connect; classes(rep, n, da, prefix)."""
+    tokens = classes.select("rep", "n", F.explode("prefix").alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = stored(tokens.join(common, "token"))
+    hubs = shared.groupBy("rep", "n").agg(F.max(F.struct("df", "token")).alias("hub"), F.count("*").alias("k")).where(f"k >= {sim.shared}")
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("hub.df") / sim.group))
+    members = stored(hubs.select("rep", "n", F.xxhash64("hub.token", part).alias("gid")))
+    matrix = stored(shared.join(members.select("rep", "gid"), "rep").groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    a, b = matrix.alias("a"), matrix.alias("b")
+    fit = f"a.token = b.token and a.gid < b.gid and 100 * a.high >= {sim.percent} * b.low and 100 * b.high >= {sim.percent} * a.low"
+    pairs = a.join(b, F.expr(fit)).groupBy(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).agg(F.count("*").alias("overlap")).where(f"overlap >= {sim.shared}").select("ga", "gb")
+    alone = members.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
+    tiles = pairs.union(alone).withColumn("tile", F.xxhash64("ga", "gb"))
+    sides = tiles.select("tile", F.col("ga").alias("gid"), F.lit(0).alias("side")).union(tiles.where("ga != gb").select("tile", F.col("gb").alias("gid"), F.lit(1).alias("side")))
+    places = stored(sides.join(members, "gid").join(classes.select("rep", "da"), "rep").groupBy("rep", "da").agg(F.collect_list(F.struct("tile", "side")).alias("places")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(places, "rep").select("rep", "da", "text", F.explode("places").alias("p")).select("p.tile", "p.side", "rep", "da", "text")
+    found = stored(texts.repartition("tile").sortWithinPartitions("tile", "side", "rep").mapInArrow(_open_tiles(sim), "a long, b long"))
+    for df in (shared, members, matrix, places):
+        drop(df)
+    return found
+
+
+def _open_tiles(sim: Similarity):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: int | None = None
+        held: dict[tuple[int, int], np.ndarray] = {}
+        out: tuple[list[int], list[int]] = ([], [])
+
+        def close() -> None:
+            ids = sorted(held)
+            sides = [[held[i] for i in ids if i[0] == s] for s in (0, 1)]
+            for x, y in opened(sides[0], sides[1] or None, sim) if sides[0] else []:
+                out[0].append(ids[x][1])
+                out[1].append(ids[y][1])
+            held.clear()
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+            out[0].clear()
+            out[1].clear()
+            return batch
+
+        for batch in batches:
+            tile, side, rep, da = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("tile", "side", "rep", "da"))
+            for lo, hi, t in chunks(column(batch, "text"), lower=True):
+                sets, bounds = shingle_sets(t, sim.n)
+                name, _ = digests(sets, bounds)
+                for i in range(lo, hi):
+                    if tile[i] != now:
+                        close()
+                        now = tile[i]
+                    if name[i - lo] == da[i]:  # another row of the same id may have another text
+                        held[int(side[i]), int(rep[i])] = sets[bounds[i - lo] : bounds[i - lo + 1]].copy()
+                if len(out[0]) > 10000:
+                    yield flush()
+        close()
+        yield flush()
+
+    return run
+
+
+def classify(docs: DataFrame, sim: Similarity = EXACT90) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each row of docs.
+
+    Words are runs outside [\\x20\\x09-\\x0D], A-Z lower-cased; a set is the
+    distinct n-word shingles, of a text with fewer words its whole sequence.
+    component_id is the least doc_id reachable over links, itself included.
+    Null and word-less texts have no shingles and link with nothing.  Equal sets
+    link whatever their number; a row that repeats an id with another text has
+    its own class.  A null id has its class's component, null if it has none.  An empty table
+    gives an empty result.  Other columns are not read.
+    """
+    signed = stored(signatures(docs, sim))
+    sets = signed.where("n > 0 and doc_id is not null").groupBy("da", "db").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = stored(sets)
+    found = links(docs, classes, sim)
+    comp = components(found)
+    named = classes.select("da", "db", "rep").join(comp, F.col("rep") == F.col("id"), "left").select("da", "db", F.coalesce("component_id", "rep").alias("component_id"))
+    out = signed.where("n > 0").select("doc_id", "n", "da", "db").join(named, ["da", "db"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.union(signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, sim: Similarity = NEAR) -> DataFrame:
+    """The row of docs with the least id of each component, all columns.  Rows that repeat a kept id go but for one; rows without an id stay unless their class has one."""
+    from pyspark.sql import Window
+
+    keep = classify(docs, sim).where("component_id <=> doc_id").select("doc_id").distinct()
+    names = [f"`{c.replace('`', '``')}`" for c in docs.columns]
+    rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*names).alias("_row")).join(keep, F.col("_id").eqNullSafe(F.col("doc_id")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.lit(0)))
+    return rows.withColumn("_no", first).where("_no = 1 or _id is null").select(*[F.col(f"_row.{n}") for n in names])
