@@ -28,5 +28,19 @@ def op2_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_group_join, op5_quality_rules, op10_curriculum_mix)}
+def op6_cell_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.cell_dedup import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "embeddings"))
+
+
+def op7_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.prefix_targets import expand, read_back
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    return read_back(expand(rows.union(spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], rows.schema))), ordered=True)
+
+
+QUERIES = {f.__name__: f for f in (op2_token_group_join, op5_quality_rules, op6_cell_dedup, op7_prefix_targets, op10_curriculum_mix)}
 ORACLES: dict[str, str] = {}
