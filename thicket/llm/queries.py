@@ -42,5 +42,17 @@ def op7_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(expand(rows.union(spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], rows.schema))), ordered=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_group_join, op5_quality_rules, op6_cell_dedup, op7_prefix_targets, op10_curriculum_mix)}
+def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.merge_dropout import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.span_dedup import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "text")
+
+
+QUERIES = {f.__name__: f for f in (op2_token_group_join, op3_merge_dropout, op5_quality_rules, op6_cell_dedup, op7_prefix_targets, op8_span_dedup, op10_curriculum_mix)}
 ORACLES: dict[str, str] = {}
