@@ -54,5 +54,11 @@ def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_group_join, op3_merge_dropout, op5_quality_rules, op6_cell_dedup, op7_prefix_targets, op8_span_dedup, op10_curriculum_mix)}
+def op4_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.maxent_lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_group_join, op3_merge_dropout, op4_maxent_lm, op5_quality_rules, op6_cell_dedup, op7_prefix_targets, op8_span_dedup, op10_curriculum_mix)}
 ORACLES: dict[str, str] = {}
