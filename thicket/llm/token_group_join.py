@@ -23,6 +23,9 @@ from thicket.llm.scratch import drop, stored
 from thicket.llm.wordgrid import Texts, chunks, column, keyed, mix, ngrams
 
 _U = np.uint64
+BUCKETS = 128
+#: With so few sets in candidate groups, their places are broadcast (some 60 MB at most); with more, they meet the texts in a shuffled join.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -118,10 +121,16 @@ def digests(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
+def histograms(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many members of each set are in each of 128 hash buckets, 255 at most: a byte each.  Two sets differ in at least as many members as the sum of their histograms' differences."""
+    cell = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * BUCKETS + (keyed(sets, 13) >> _U(57)).astype(np.int64)
+    return np.minimum(255, np.bincount(cell, minlength=(len(bounds) - 1) * BUCKETS)).astype(np.uint8)
+
+
 def signatures(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """(doc_id, n, da, db, prefix): the size and name of each row's set, and its rarest tokens if it can link with another set."""
+    """(doc_id, n, da, db, prefix, hist): the size and name of each row's set, and, if it can link with another set, its rarest tokens and its histogram."""
     order_of = docs.sparkSession.sparkContext.broadcast(sketch(docs, sim))
-    names = ["doc_id", "n", "da", "db", "prefix"]
+    names = ["doc_id", "n", "da", "db", "prefix", "hist"]
 
     def run(batches):  # noqa: ANN001, ANN202
         rare = order_of.value
@@ -136,9 +145,9 @@ def signatures(docs: DataFrame, sim: Similarity) -> DataFrame:
                 tokens = sets[order][rank < take[owner]].view(np.int64)
                 da, db = digests(sets, bounds)
                 offsets = np.concatenate(([0], np.cumsum(take))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(da), pa.array(db), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))], names)
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(da), pa.array(db), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens)), pa.array([h.tobytes() if k else b"" for h, k in zip(histograms(sets, bounds).reshape(-1, BUCKETS), take, strict=True)], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, da long, db long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, da long, db long, prefix array<long>, hist binary")
 
 
 def opened(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, sim: Similarity) -> list[tuple[int, int]]:
@@ -187,28 +196,54 @@ def opened(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, sim: Simil
 
 
 def links(docs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
-    """(a, b): links between classes' least ids that connect what similar sets connect; classes(rep, n, da, prefix)."""
-    tokens = classes.select("rep", "n", F.explode("prefix").alias("token"))
+    """(a, b): links between classes' least ids that connect what similar sets connect; classes(rep, n, da, prefix, hist)."""
+    tokens = classes.select("rep", F.explode("prefix").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = stored(tokens.join(common, "token"))
-    hubs = shared.groupBy("rep", "n").agg(F.max(F.struct("df", "token")).alias("hub"), F.count("*").alias("k")).where(f"k >= {sim.shared}")
+    hubs = shared.groupBy("rep").agg(F.max(F.struct("df", "token")).alias("hub"), F.count("*").alias("k")).where(f"k >= {sim.shared}")
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("hub.df") / sim.group))
-    members = stored(hubs.select("rep", "n", F.xxhash64("hub.token", part).alias("gid")))
-    matrix = stored(shared.join(members.select("rep", "gid"), "rep").groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    members = stored(hubs.select("rep", F.xxhash64("hub.token", part).alias("gid")).join(classes.select("rep", "n", "da", "hist"), "rep"))
+    matrix = stored(shared.join(members.select("rep", "n", "gid"), "rep").groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high")))
     a, b = matrix.alias("a"), matrix.alias("b")
     fit = f"a.token = b.token and a.gid < b.gid and 100 * a.high >= {sim.percent} * b.low and 100 * b.high >= {sim.percent} * a.low"
     pairs = a.join(b, F.expr(fit)).groupBy(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).agg(F.count("*").alias("overlap")).where(f"overlap >= {sim.shared}").select("ga", "gb")
     alone = members.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     tiles = pairs.union(alone).withColumn("tile", F.xxhash64("ga", "gb"))
-    sides = tiles.select("tile", F.col("ga").alias("gid"), F.lit(0).alias("side")).union(tiles.where("ga != gb").select("tile", F.col("gb").alias("gid"), F.lit(1).alias("side")))
-    places = stored(sides.join(members, "gid").join(classes.select("rep", "da"), "rep").groupBy("rep", "da").agg(F.collect_list(F.struct("tile", "side")).alias("places")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(places, "rep").select("rep", "da", "text", F.explode("places").alias("p")).select("p.tile", "p.side", "rep", "da", "text")
+    sides = tiles.select("tile", F.col("ga").alias("gid"), F.col("gb").alias("other"), F.lit(0).alias("side")).union(tiles.where("ga != gb").select("tile", F.col("gb").alias("gid"), F.col("ga").alias("other"), F.lit(1).alias("side")))
+    shapes = members.groupBy("gid").applyInArrow(_envelope, "other long, high long, least binary, most binary").select("*")
+    queries = sides.join(members, "gid").join(shapes, "other").select("tile", "side", "rep", "da", "n", "hist", "high", "least", "most").mapInArrow(_qualify(sim), "tile long, side int, rep long, da long")
+    qualified = stored(queries)
+    both = qualified.groupBy("tile").agg(F.count("*").alias("k"), F.min("side").alias("s0"), F.max("side").alias("s1"))
+    met = both.join(tiles.select("tile", (F.col("ga") == F.col("gb")).alias("own")), "tile").where("k > 1 and s0 = 0 and (own or s1 = 1)").select("tile")
+    places = stored(qualified.join(met, "tile").groupBy("rep", "da").agg(F.collect_list(F.struct("tile", "side")).alias("places")))
+    few = places.count() <= BROADCAST_ROWS and qualified.count() <= 8 * BROADCAST_ROWS
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(places) if few else places, "rep").select("rep", "da", "text", F.explode("places").alias("p")).select("p.tile", "p.side", "rep", "da", "text")
     found = stored(texts.repartition("tile").sortWithinPartitions("tile", "side", "rep").mapInArrow(_open_tiles(sim), "a long, b long"))
-    for df in (shared, members, matrix, places):
+    for df in (shared, members, matrix, qualified, places):
         drop(df)
     return found
 
 
+def _envelope(group: pa.Table) -> pa.Table:
+    """A group's largest set, and for each bucket the least and the most of its members' counts."""
+    h = np.frombuffer(b"".join(x.as_py() for x in group.column("hist")), np.uint8).reshape(-1, BUCKETS)
+    return pa.table({"other": group.column("gid").slice(0, 1), "high": pa.array([max(group.column("n").to_pylist())], pa.int64()), "least": pa.array([h.min(0).tobytes()], pa.binary()), "most": pa.array([h.max(0).tobytes()], pa.binary())})
+
+
+def _qualify(sim: Similarity):  # noqa: ANN202
+    """Bounds a set's overlap with every member of the other group: it differs from each by at least its distance from the group's envelope, bucket by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, lo, hi = (np.frombuffer(b"".join(x.as_py() for x in column(batch, c)), np.uint8).reshape(-1, BUCKETS).astype(np.int32) for c in ("hist", "least", "most"))
+            n, high = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("n", "high"))
+            differ = (np.maximum(0, lo - h) + np.maximum(0, h - hi)).sum(1)
+            ok = differ * (100 + sim.percent) <= (100 - sim.percent) * (n + high)
+            yield batch.select(["tile", "side", "rep", "da"]).filter(pa.array(ok))
+
+    return run
+
+
 def _open_tiles(sim: Similarity):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: int | None = None
@@ -260,7 +295,7 @@ def classify(docs: DataFrame, sim: Similarity = EXACT90) -> DataFrame:
     gives an empty result.  Other columns are not read.
     """
     signed = stored(signatures(docs, sim))
-    sets = signed.where("n > 0 and doc_id is not null").groupBy("da", "db").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sets = signed.where("n > 0 and doc_id is not null").groupBy("da", "db").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("hist").alias("hist"))
     classes = stored(sets)
     found = links(docs, classes, sim)
     comp = components(found)
