@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.scratch import drop, stored, without
-from thicket.llm.wordgrid import Texts, _powers, chunks, column, is_space, mix
+from thicket.llm.wordgrid import Texts, _powers, chunks, column, is_space, keyed, mix
 
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
@@ -28,12 +28,14 @@ _CLAUSE[[ord(c) for c in ",;:"]] = True
 class Spans:
     """A span is the shortest run of at least ``sentences`` sentences with at
     least ``words`` words.  A sentence of over ``long`` words is cut at commas,
-    semicolons and colons too, so that a passage whose ends hang in longer
-    sentences still holds whole ones."""
+    semicolons and colons too, and behind one word in ``one_in``, chosen by its
+    hash, so that a passage whose ends hang in longer sentences, or that has no
+    ends at all, still holds whole ones."""
 
     sentences: int = 2
     words: int = 12
     long: int = 16
+    one_in: int = 5
 
 
 def sentences(t: Texts, how: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,14 +54,15 @@ def sentences(t: Texts, how: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     cuts = cuts[cuts < n]
     first = np.searchsorted(t.start, cuts)
     count = np.diff(np.append(first, len(t.start)))
-    # sentences that are too long are cut at clauses as well
+    # sentences that are too long are cut at clauses and at words chosen by content
     commas = np.flatnonzero(_CLAUSE[t.data] & blank[1:]) + 1
-    within = np.searchsorted(cuts, commas, "right") - 1
-    more = commas[count[within] > how.long] if len(commas) else commas
-    if len(more):
-        cuts = np.union1d(cuts, more[more < n])
-        first = np.searchsorted(t.start, cuts)
-        count = np.diff(np.append(first, len(t.start)))
+    more = commas[count[np.searchsorted(cuts, commas, "right") - 1] > how.long]
+    word = np.flatnonzero(np.repeat(count > how.long, count))
+    word = word[keyed(t.hash_ranges(t.start[word], t.end[word]), 21) % np.uint64(how.one_in) == 0]
+    cuts = np.union1d(cuts, np.concatenate((more, t.end[word])))
+    cuts = cuts[cuts < n]
+    first = np.searchsorted(t.start, cuts)
+    count = np.diff(np.append(first, len(t.start)))
     has = count > 0
     cuts, first, count = cuts[has], first[has], count[has]
     return cuts, first, count, np.searchsorted(t.offsets, t.start[first], "right") - 1
