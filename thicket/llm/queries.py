@@ -66,5 +66,11 @@ def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_crf, op2_token_group_join, op3_merge_dropout, op4_maxent_lm, op5_quality_rules, op6_cell_dedup, op7_prefix_targets, op8_span_dedup, op10_curriculum_mix)}
+def op9_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.cotrain import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_crf, op2_token_group_join, op3_merge_dropout, op4_maxent_lm, op5_quality_rules, op6_cell_dedup, op7_prefix_targets, op8_span_dedup, op9_cotraining, op10_curriculum_mix)}
 ORACLES: dict[str, str] = {}
