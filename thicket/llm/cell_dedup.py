@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.components import components, forest
-from thicket.llm.scratch import drop, stored
+from thicket.scratch import drop, stored
 from thicket.llm.wordgrid import column
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.scratch import drop, stored
+from thicket.scratch import drop, stored
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

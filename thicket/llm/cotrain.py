@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.scratch import stored
+from thicket.scratch import stored
 from thicket.llm.wordgrid import Texts, chunks, column, keyed, ngrams
 
 _U = np.uint64

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.llm.scratch import stored
+from thicket.scratch import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.scratch import drop, stored
+from thicket.scratch import drop, stored
 from thicket.llm.wordgrid import Texts, chunks, column, keyed
 
 ALPHA = 0.1

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.scratch import drop, stored, without
+from thicket.scratch import drop, stored, without
 from thicket.llm.wordgrid import Texts, _powers, chunks, column, is_space, keyed, mix
 
 _END = np.zeros(256, bool)
