@@ -1 +1 @@
-
+"""DataFrame operators: chunking, ranking, budgets, traversal, clustering."""

@@ -1 +1 @@
-
+"""Whole plans: building trees, retrieving from them, answering."""

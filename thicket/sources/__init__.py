@@ -1 +1 @@
-
+"""Where texts and trees are read from and written to."""

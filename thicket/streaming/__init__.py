@@ -1 +1 @@
-
+"""Continuous ingest."""
