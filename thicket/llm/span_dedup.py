@@ -110,13 +110,14 @@ def repeated(docs: DataFrame, how: Spans) -> DataFrame:
 
     own = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "_r", "text")
     every = stored(own.mapInArrow(run, "h long, doc_id long, _r long, pos int, k int"))
-    again = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # counts and minima are tables of their own: a join that has an aggregate in its stage can't be split where a key is hot
+    again = stored(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     met = stored(every.join(again, "h"))
-    first = met.groupBy("h").agg(F.min(F.struct("doc_id", "_r", "pos")).alias("first"))
+    first = stored(met.groupBy("h").agg(F.min(F.struct("doc_id", "_r", "pos")).alias("first")))
     late = met.join(first, "h").where("not (_r = first._r and pos = first.pos)")
     out = stored(late.groupBy("_r").agg(F.collect_set(F.struct("pos", "k")).alias("covered")))
-    drop(every)
-    drop(met)
+    for df in (every, again, met, first):
+        drop(df)
     return out
 
 
