@@ -21,13 +21,14 @@ def dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(_double(a), _double(b), lambda x, y: x * y))
 
 
-def norm(a: Column) -> Column:
-    return F.sqrt(_sum(F.transform(_double(a), lambda x: x * x)))
+def square(a: Column) -> Column:
+    """The squared length of a vector."""
+    return _sum(F.transform(_double(a), lambda x: x * x))
 
 
-def cosine_distance(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
-    """1 - cosine; NaN, which sorts last, where a vector is zero.  Norms that are at hand can be given."""
-    size = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
+def cosine_distance(a: Column, b: Column, square_a: Column | None = None, square_b: Column | None = None) -> Column:
+    """1 - cosine; NaN, which sorts last, where a vector is zero.  Squared lengths that are at hand can be given."""
+    size = F.sqrt((square(a) if square_a is None else square_a) * (square(b) if square_b is None else square_b))
     return F.coalesce(1.0 - F.try_divide(dot(a, b), size), F.lit(_NAN))
 
 

@@ -56,8 +56,8 @@ def soft_cluster(rows: DataFrame, cfg: ClusterConfig, shrink: bool) -> DataFrame
 
     # the models are pickled by this job's own tasks and read by them alone
     models = stored(salted.where("salt = 0").groupBy("group").applyInPandas(fit, "group string, model binary, n_labels int"))
-    salts = salted.select("group", "salt").distinct().join(models, "group")
-    return salted.groupBy("group", "salt").cogroup(salts.groupBy("group", "salt")).applyInPandas(assign, "group string, node_index int, label int, n_labels int")
+    salts = salted.select("group", "salt").distinct().join(models, "group").select(F.col("group").alias("for_group"), F.col("salt").alias("for_salt"), "model", "n_labels")
+    return salted.groupBy("group", "salt").cogroup(salts.groupBy("for_group", "for_salt")).applyInPandas(assign, "group string, node_index int, label int, n_labels int")
 
 
 def two_level(rows: DataFrame, cfg: ClusterConfig) -> DataFrame:

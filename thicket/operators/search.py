@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.functions.vectors import cosine_distance, distance, dot, norm
+from thicket.functions.vectors import METRICS, cosine_distance, distance, dot, square
 
 #: Queries are broadcast in blocks of so many, so that what is broadcast has a bound.
 BLOCK = 4096
+#: Scores are ranked with so many decimals: sums of the same products in another order then tie, and ties go by node_index.
+DIGITS = 12
 
 
 def _against(queries: DataFrame, rows: DataFrame, score: Column) -> DataFrame:
@@ -29,11 +35,11 @@ def scored(queries: DataFrame, rows: DataFrame, metric: str = "cosine") -> DataF
     """(query_id, node_index, score) for queries(query_id, query) and rows(node_index, embedding): a distance, or the inner product, negated, so that less is nearer."""
     q, e = F.col("query"), F.col("embedding")
     if metric == "cosine":
-        queries, rows = queries.withColumn("_nq", norm(q)), rows.withColumn("_ne", norm(e))
+        queries, rows = queries.withColumn("_nq", square(q)), rows.withColumn("_ne", square(e))
         score = cosine_distance(q, e, F.col("_nq"), F.col("_ne"))
     else:
         score = -dot(q, e) if metric == "inner_product" else distance(q, e, metric)
-    return _against(queries, rows, score).select("query_id", "node_index", "score")
+    return _against(queries, rows, F.round(score, DIGITS)).select("query_id", "node_index", "score")
 
 
 def ranked(pairs: DataFrame, k: int | None = None) -> DataFrame:
@@ -42,9 +48,71 @@ def ranked(pairs: DataFrame, k: int | None = None) -> DataFrame:
     return out if k is None else out.where(F.col("rk") <= k)
 
 
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Rows of a list column, of one length, without nulls."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def block_scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of all rows of x for each of q, less being nearer."""
+    if metric == "inner_product":
+        return -(q @ x.T)
+    if metric == "cosine":
+        size = np.sqrt((q * q).sum(1)[:, None] * (x * x).sum(1)[None])
+        return np.where(size > 0, 1.0 - (q @ x.T) / np.where(size > 0, size, 1), np.nan)
+    apart = np.abs(q[:, None, :] - x[None, :, :])
+    return apart.sum(2) if metric == "L1" else apart.max(2) if metric == "Linf" else np.sqrt((apart * apart).sum(2))
+
+
 def top_k(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """(query_id, node_index, score, rk): the k nearest rows of each query."""
-    return ranked(scored(queries, rows, metric), k)
+    """(query_id, node_index, score, rk): the k nearest rows of each query, ties by node_index.
+
+    Queries, in blocks of a bounded size, go to the rows.  Every Arrow batch of
+    rows is scored as one matrix product and gives its own k best; only these
+    are shuffled, by query.  Rows and queries without a vector are left out.
+    """
+    if metric not in (*METRICS, "inner_product"):
+        raise ValueError(f"unknown metric {metric!r}; supported are {', '.join(METRICS)} and inner_product")
+    queries = queries.where("query is not null").select("query_id", "query")
+    n = queries.count()
+    blocks = -(-n // BLOCK)
+    parts = []
+    for b in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        took = own.toArrow().combine_chunks()
+        if not took.num_rows:
+            continue
+        ids, q = took.column("query_id").to_numpy(), _matrix(took.column("query").combine_chunks())
+        shared = rows.sparkSession.sparkContext.broadcast((ids, q))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            ids, q = shared.value
+            wide = metric in ("L1", "L2", "Linf")
+            step = max(1, (1 << 22) // max(1, len(q) * (q.shape[1] if wide else 1)))
+            for batch in batches:
+                for lo in range(0, batch.num_rows, step):
+                    node = batch.column(0).slice(lo, step).to_numpy()
+                    s = np.round(block_scores(q, _matrix(batch.column(1).slice(lo, step)), metric), DIGITS)
+                    if s.shape[1] > k:
+                        edge = np.partition(np.nan_to_num(s, nan=np.inf), k - 1, axis=1)[:, k - 1]
+                        i, j = np.nonzero(~(s > edge[:, None]))
+                        order = np.lexsort((node[j], s[i, j], i))
+                        i, j = i[order], j[order]
+                        first = np.searchsorted(i, np.arange(len(q)))
+                        near = np.arange(len(i)) - first[i] < k
+                        i, j = i[near], j[near]
+                    else:
+                        i, j = np.divmod(np.arange(s.size), s.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(node[j]), pa.array(s[i, j])], ["query_id", "node_index", "score"])
+
+        kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, node_index {rows.schema['node_index'].dataType.simpleString()}, score double"
+        parts.append(rows.where("embedding is not null").select("node_index", "embedding").mapInArrow(run, kinds))
+    if not parts:
+        return ranked(scored(queries, rows, metric), k)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return ranked(out, k)
 
 
 def beyond(queries: DataFrame, rows: DataFrame, threshold: float, metric: str = "cosine") -> DataFrame:

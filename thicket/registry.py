@@ -1,11 +1,397 @@
-"""Registered queries of the retrieval engine, by name."""
+"""Registered queries of the retrieval engine, by name, and their DuckDB SQL.
+
+Searches take as queries every row whose id is divisible by 50, against all rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from thicket.config import ClusterConfig
+from thicket.functions.text import ANSWER_PROMPT, context, flat_context, prompt, sentences, spaced, subsentences, token_count
+from thicket.models import HashedEmbedding, OverlapAnswer, answer, embed
+from thicket.operators.chunk import chunks
+from thicket.operators.cluster import orphans, two_level, value_backmap
+from thicket.operators.mixture import mixture_fit, reduce_fit
+from thicket.operators.search import beyond, top_k
+from thicket.operators.traverse import traverse
+from thicket.plans.build import build_tree, neighbours, number_parents
+from thicket.plans.flat import flat_select
+from thicket.plans.retrieve import collapsed, contexts
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+MODEL = HashedEmbedding(64)
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _round(c: Column) -> Column:
+    return F.round(c, 6) + F.lit(0.0)
+
+
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = _table(spark, d, "embeddings").select(F.col("vec_id").alias("node_index"), "embedding", "label")
+    return rows.where("node_index % 50 = 0").select(F.col("node_index").alias("query_id"), F.col("embedding").alias("query")), rows
+
+
+def _near(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "node_index", "rk", _round(F.col("score")).alias("dist"))
+
+
+_Q = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0)"
+_COS = "round(1 - list_inner_product({a}, {b}) / sqrt(list_inner_product({a}, {a}) * list_inner_product({b}, {b})), 12)"
+_DIST = {
+    "cosine": _COS.format(a="q.v", b="e.v"),
+    "L1": "round(list_sum(list_transform(list_zip(q.v, e.v), lambda z: abs(z[1] - z[2]))), 12)",
+    "L2": "round(list_distance(q.v, e.v), 12)",
+    "Linf": "list_max(list_transform(list_zip(q.v, e.v), lambda z: abs(z[1] - z[2])))",
+    "inner_product": "round(-list_inner_product(q.v, e.v), 12)",
+}
+
+
+def _search_sql(metric: str, keep: str, where: str = "TRUE") -> str:
+    return f"""WITH {_Q}, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT query_id, vec_id AS node_index, {_DIST[metric]} AS d FROM q, e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_index) AS rk FROM p WHERE {where})
+SELECT query_id, node_index, CAST(rk AS INTEGER) AS rk, round(d, 6) + 0.0 AS dist FROM r WHERE {keep}"""
+
+
+def _metric_query(name: str, metric: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        q, rows = _vectors(spark, d)
+        return _near(top_k(q, rows, 10, metric))
+
+    run.__name__ = name
+    _query(_search_sql(metric, "rk <= 10"))(run)
+
+
+for _name, _metric in (("cosine_topk", "cosine"), ("l1_topk", "L1"), ("l2_topk", "L2"), ("linf_topk", "Linf"), ("inner_product_topk", "inner_product")):
+    _metric_query(_name, _metric)
+
+
+@_query(_search_sql("cosine", "TRUE", "d > 1.0"))
+def threshold_select(spark: SparkSession, d: str) -> DataFrame:
+    return _near(beyond(*_vectors(spark, d), 1.0))
+
+
+@_query(_search_sql("cosine", "rk <= 5").replace("query_id, node_index, CAST", "query_id AS node_index, node_index AS neighbour, CAST"))
+def knn_graph(spark: SparkSession, d: str) -> DataFrame:
+    q, rows = _vectors(spark, d)
+    found = top_k(q, rows, 5)
+    return found.select(F.col("query_id").alias("node_index"), F.col("node_index").alias("neighbour"), "rk", _round(F.col("score")).alias("dist"))
+
+
+# Fixed values, as in functions.text: the white space of Python's str.strip().
+_BLANK = r"\t\n\x0B\x0C\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SENTENCES = f"list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?\\n]'), lambda s: regexp_matches(s, '[^{_BLANK}]'))"
+
+
+def _clauses(s: str) -> str:
+    return f"list_filter(list_transform(regexp_split_to_array({s}, '[,;:]'), lambda x: regexp_replace(x, '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g')), lambda x: x <> '')"
+
+
+def _count(s: str) -> str:
+    return f"len(regexp_extract_all({s}, '[^{_BLANK}]+'))"
+
+
+@_query(f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS sentence_index, md5(xs[i]) AS sentence FROM (SELECT doc_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM (SELECT doc_id, {_SENTENCES} AS xs FROM documents))")
+def sentence_split(spark: SparkSession, d: str) -> DataFrame:
+    out = _table(spark, d, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("sentence_index", "s"))
+    return out.select("doc_id", "sentence_index", F.md5("s").alias("sentence"))
+
+
+@_query(f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS sentence_index, CAST({_count('xs[i]')} AS INTEGER) AS n_tokens FROM (SELECT doc_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM (SELECT doc_id, {_SENTENCES} AS xs FROM documents))")
+def sentence_tokens(spark: SparkSession, d: str) -> DataFrame:
+    out = _table(spark, d, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("sentence_index", "s"))
+    return out.select("doc_id", "sentence_index", token_count(F.col("s")).alias("n_tokens"))
+
+
+@_query(f"SELECT doc_id, CAST(i AS INTEGER) AS sentence_index, CAST(generate_subscripts(ys, 1) - 1 AS INTEGER) AS part, md5(unnest(ys)) AS said FROM (SELECT doc_id, i - 1 AS i, {_clauses('xs[i]')} AS ys FROM (SELECT doc_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM (SELECT doc_id, {_SENTENCES} AS xs FROM documents)))")
+def subsentence_split(spark: SparkSession, d: str) -> DataFrame:
+    out = _table(spark, d, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("sentence_index", "s"))
+    return out.select("doc_id", "sentence_index", F.posexplode(subsentences(F.col("s"))).alias("part", "c")).select("doc_id", "sentence_index", "part", F.md5("c").alias("said"))
+
+
+def _fold(pieces: str) -> str:
+    """Chunks of a list of structs (s text, c tokens, own chunks or NULL) in DuckDB: a fold over structs of one type."""
+    zero = "{'chunks': []::VARCHAR[], 'buf': '', 'k': 0, 'n': 0, 's': '', 'c': 0, 'own': NULL::VARCHAR[]}"
+    item = "{'chunks': []::VARCHAR[], 'buf': '', 'k': 0, 'n': 0, 's': x.s, 'c': x.c, 'own': x.own}"
+    step = f"""CASE WHEN x.own IS NOT NULL THEN {{'chunks': list_concat(a.chunks, x.own), 'buf': a.buf, 'k': a.k, 'n': a.n, 's': '', 'c': 0, 'own': NULL::VARCHAR[]}}
+WHEN a.k > 0 AND a.n + x.c > 100 THEN {{'chunks': list_append(a.chunks, a.buf), 'buf': x.s, 'k': 1, 'n': x.c, 's': '', 'c': 0, 'own': NULL::VARCHAR[]}}
+ELSE {{'chunks': a.chunks, 'buf': CASE WHEN a.k > 0 THEN a.buf || ' ' || x.s ELSE x.s END, 'k': a.k + 1, 'n': a.n + x.c, 's': '', 'c': 0, 'own': NULL::VARCHAR[]}} END"""
+    return f"list_reduce(list_prepend({zero}, list_transform({pieces}, lambda x: {item})), lambda a, x: {step})"
+
+
+def _chunks_sql() -> str:
+    clause = f"list_transform({_clauses('s')}, lambda y: {{'s': y, 'c': CAST({_count('y')} AS INTEGER), 'own': NULL::VARCHAR[]}})"
+    return f"""s AS (SELECT doc_id, i, s, CAST({_count('s')} AS INTEGER) AS c FROM (SELECT doc_id, i, xs[i] AS s FROM (SELECT doc_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM (SELECT doc_id, {_SENTENCES} AS xs FROM documents)))),
+t AS (SELECT doc_id, i, s, c, CASE WHEN c > 100 THEN {_fold(clause)} END AS f FROM s),
+u AS (SELECT doc_id, list({{'s': s, 'c': c, 'own': CASE WHEN c > 100 THEN CASE WHEN f.k > 0 THEN list_append(f.chunks, f.buf) ELSE f.chunks END END}} ORDER BY i) AS xs FROM t GROUP BY doc_id),
+v AS (SELECT doc_id, {_fold('xs')} AS f FROM u),
+w AS (SELECT doc_id, CASE WHEN f.k > 0 THEN list_append(f.chunks, f.buf) ELSE f.chunks END AS cs FROM v),
+chunks AS (SELECT doc_id, i - 1 AS chunk_index, cs[i] AS chunk, {_count('cs[i]')} AS n_tokens FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM w))"""
+
+
+def _chunked(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(_table(spark, d, "documents").select(F.col("doc_id").alias("tree_id"), "text"), 100)
+
+
+@_query(f"WITH {_chunks_sql()} SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, md5(chunk) AS chunk, CAST(n_tokens AS INTEGER) AS n_tokens FROM chunks")
+def chunk_text(spark: SparkSession, d: str) -> DataFrame:
+    return _chunked(spark, d).select(F.col("tree_id").alias("doc_id"), "chunk_index", F.md5("text").alias("chunk"), "n_tokens")
+
+
+@_query(f"WITH {_chunks_sql()} SELECT lang, count(*) AS n_chunks, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, CAST(max(n_tokens) AS INTEGER) AS most FROM chunks JOIN documents USING (doc_id) GROUP BY lang")
+def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    out = docs.select("lang", F.col("doc_id").alias("tree_id"), "text")
+    from thicket.functions.text import split_text
+
+    each = out.select("lang", F.explode(split_text(F.col("text"), 100)).alias("c")).select("lang", token_count(F.col("c")).alias("n"))
+    return each.groupBy("lang").agg(F.count("*").alias("n_chunks"), F.sum("n").cast("long").alias("n_tokens"), F.max("n").alias("most"))
+
+
+_LINE = r"regexp_replace(regexp_replace(chunk, '(?:\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}])$', ''), '\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]', ' ', 'g')"
+
+
+@_query(f"WITH {_chunks_sql()} SELECT doc_id, md5(string_agg({_LINE} || chr(10) || chr(10), '' ORDER BY chunk_index)) AS context FROM chunks GROUP BY doc_id")
+def context_concat(spark: SparkSession, d: str) -> DataFrame:
+    return _chunked(spark, d).groupBy(F.col("tree_id").alias("doc_id")).agg(F.md5(context(F.col("text"), F.col("chunk_index"))).alias("context"))
+
+
+@_query(f"WITH {_chunks_sql()} SELECT doc_id, md5(string_agg(chunk, '' ORDER BY chunk_index)) AS context FROM chunks GROUP BY doc_id")
+def flat_concat(spark: SparkSession, d: str) -> DataFrame:
+    return _chunked(spark, d).groupBy(F.col("tree_id").alias("doc_id")).agg(F.md5(flat_context(F.col("text"), F.col("chunk_index"))).alias("context"))
+
+
+@_query("SELECT doc_id, md5(replace(text, chr(10), ' ')) AS text FROM documents")
+def newline_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select("doc_id", F.md5(spaced(F.col("text"))).alias("text"))
+
+
+def _hashed_sql(table: str, key: str) -> str:
+    return f"""(SELECT {key}, list(coalesce(n, 0)::DOUBLE ORDER BY b) AS v FROM (SELECT {key}, b FROM {table}, (SELECT unnest(range(64)) AS b)) g
+LEFT JOIN (SELECT {key}, b, count(*) AS n FROM (SELECT {key}, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS b FROM (SELECT {key}, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM {table})) GROUP BY ALL) USING ({key}, b) GROUP BY {key})"""
+
+
+def _hashed(df: DataFrame) -> Column:
+    return embed(MODEL, F.col("text"))
+
+
+@_query(f"SELECT doc_id, array_to_string(list_transform(v, lambda x: x::BIGINT), ',') AS embedding FROM {_hashed_sql('documents', 'doc_id')}")
+def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    return docs.select("doc_id", F.array_join(F.transform(_hashed(docs), lambda x: x.cast("long").cast("string")), ",").alias("embedding"))
+
+
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    asked, docs = _table(spark, d, "benchmark"), _table(spark, d, "documents")
+    return asked.select(F.col("item_id").alias("query_id"), _hashed(asked).alias("query")), docs.select(F.col("doc_id").alias("node_index"), F.lit(0).alias("layer"), token_count(F.coalesce("text", F.lit(""))).alias("n_tokens"), _hashed(docs).alias("embedding"))
+
+
+def _asked_sql(score: str, k: int, keep: str) -> str:
+    return f"""WITH q AS {_hashed_sql('benchmark', 'item_id')}, e AS {_hashed_sql('documents', 'doc_id')},
+p AS (SELECT item_id AS query_id, doc_id AS node_index, {score} AS d FROM q, e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_index) AS rk FROM p QUALIFY rk <= {k}),
+t AS (SELECT r.*, {_count("coalesce(text, '')")} AS n_tokens FROM r JOIN documents ON doc_id = node_index),
+u AS (SELECT *, sum(n_tokens) OVER (PARTITION BY query_id ORDER BY rk) AS run FROM t)
+SELECT query_id, CAST(rk AS INTEGER) AS rk, node_index, CAST(n_tokens AS INTEGER) AS n_tokens, round(d, 6) + 0.0 AS dist FROM u WHERE {keep}"""
+
+
+@_query(_asked_sql("CASE WHEN list_inner_product(q.v, q.v) * list_inner_product(e.v, e.v) > 0 THEN " + _DIST["cosine"] + " ELSE 'NaN'::DOUBLE END", 10, "run <= 3500"))
+def collapsed_budget(spark: SparkSession, d: str) -> DataFrame:
+    q, rows = _asked(spark, d)
+    return collapsed(q, rows, 10, 3500).select("query_id", "rk", "node_index", "n_tokens", _round(F.col("score")).alias("dist"))
+
+
+def _flat(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "rk", "node_index", "n_tokens", _round(F.col("score")).alias("dist"))
+
+
+@_query(_asked_sql(_DIST["inner_product"], 35, "run - n_tokens <= 3500"))
+def flat_budget(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(flat_select(*_asked(spark, d), 35, 3500))
+
+
+@_query(_asked_sql(_DIST["inner_product"], 5, "TRUE"))
+def flat_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(flat_select(*_asked(spark, d), 5))
+
+
+#: A tree of known shape: layer 1 has a node for each label, layer 2 one for each label % 3; each has the vector of its least row.
+_L1, _L2 = 1_000_000_000, 2_000_000_000
+
+
+def _known_tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    q, rows = _vectors(spark, d)
+    rows = rows.where("label is not null")
+    up = lambda key, base, layer: rows.groupBy(key.alias("g")).agg(F.min_by("embedding", "node_index").alias("embedding")).select(F.lit(layer).alias("layer"), (F.col("g") + base).cast("long").alias("node_index"), "embedding")
+    nodes = rows.select(F.lit(0).alias("layer"), "node_index", "embedding").union(up(F.col("label"), _L1, 1)).union(up(F.col("label") % 3, _L2, 2))
+    edges = rows.select((F.col("label") + _L1).cast("long").alias("parent_index"), F.col("node_index").alias("child_index"))
+    edges = edges.union(rows.select((F.col("label") % 3 + _L2).cast("long"), (F.col("label") + _L1).cast("long")).distinct())
+    return q, nodes.withColumn("n_tokens", (1 + F.col("node_index") % 50).cast("int")), edges
+
+
+_TREE_SQL = f"""{_Q}, l0 AS (SELECT 0 AS layer, vec_id AS node_index, embedding::DOUBLE[] AS v, label FROM embeddings WHERE label IS NOT NULL),
+nodes AS (SELECT layer, node_index, v FROM l0 UNION ALL SELECT 1, label + {_L1}, arg_min(v, node_index) FROM l0 GROUP BY label UNION ALL SELECT 2, label % 3 + {_L2}, arg_min(v, node_index) FROM l0 GROUP BY label % 3),
+edges AS (SELECT label + {_L1} AS parent, node_index AS child FROM l0 UNION ALL SELECT DISTINCT label % 3 + {_L2}, label + {_L1} FROM l0),
+s0 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_index) AS rk FROM (SELECT query_id, node_index, {_COS.format(a='q.v', b='e.v')} AS d FROM q, nodes e WHERE layer = 2) QUALIFY rk <= 2),
+s1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_index) AS rk FROM (SELECT c.query_id, e.node_index, {_COS.format(a='q.v', b='e.v')} AS d FROM (SELECT DISTINCT query_id, child FROM s0 JOIN edges ON parent = node_index) c JOIN q USING (query_id) JOIN nodes e ON e.node_index = child) QUALIFY rk <= 2),
+s2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_index) AS rk FROM (SELECT c.query_id, e.node_index, {_COS.format(a='q.v', b='e.v')} AS d FROM (SELECT DISTINCT query_id, child FROM s1 JOIN edges ON parent = node_index) c JOIN q USING (query_id) JOIN nodes e ON e.node_index = child) QUALIFY rk <= 2),
+walk AS (SELECT 0 AS step, * FROM s0 UNION ALL SELECT 1, * FROM s1 UNION ALL SELECT 2, * FROM s2)"""
+
+
+@_query(f"WITH {_TREE_SQL} SELECT query_id, step, CAST(rk AS INTEGER) AS rk, node_index, round(d, 6) + 0.0 AS dist FROM walk")
+def tree_traverse(spark: SparkSession, d: str) -> DataFrame:
+    q, nodes, edges = _known_tree(spark, d)
+    return traverse(q, nodes, edges, 2, 3, "top_k", 2).select("query_id", "step", "rk", "node_index", _round(F.col("score")).alias("dist"))
+
+
+@_query(f"WITH {_TREE_SQL} SELECT query_id, string_agg(node_index || ':' || layer, ',' ORDER BY step, rk) AS layers FROM walk JOIN nodes USING (node_index) GROUP BY query_id")
+def layer_information(spark: SparkSession, d: str) -> DataFrame:
+    q, nodes, edges = _known_tree(spark, d)
+    walked = traverse(q, nodes, edges, 2, 3, "top_k", 2).withColumn("at", F.struct("step", "rk"))
+    got = contexts(q, walked, nodes.withColumn("text", F.lit("")), order="at")
+    return got.select("query_id", F.array_join(F.transform("layer_information", lambda x: F.concat_ws(":", x["node_index"], x["layer_number"])), ",").alias("layers"))
+
+
+@_query(f"""WITH {_TREE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_index) AS rk FROM (SELECT query_id, node_index, layer, 1 + node_index % 50 AS n_tokens, {_COS.format(a='q.v', b='e.v')} AS d FROM q, nodes e) QUALIFY rk <= 10),
+u AS (SELECT *, sum(n_tokens) OVER (PARTITION BY query_id ORDER BY rk) AS run FROM r)
+SELECT query_id, CAST(rk AS INTEGER) AS rk, node_index, layer, round(d, 6) + 0.0 AS dist FROM u WHERE run <= 200""")
+def collapsed_layers(spark: SparkSession, d: str) -> DataFrame:
+    q, nodes, _ = _known_tree(spark, d)
+    return collapsed(q, nodes, 10, 200).select("query_id", "rk", "node_index", "layer", _round(F.col("score")).alias("dist"))
+
+
+@_query("SELECT label AS cluster_id, CAST((SELECT count(*) FROM embeddings) + row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS node_index FROM (SELECT DISTINCT label FROM embeddings WHERE label IS NOT NULL)")
+def parent_numbering(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "embeddings")
+    found = rows.where("label is not null").select(F.lit(0).cast("long").alias("tree_id"), F.col("label").alias("cluster_id"))
+    return number_parents(found, rows.agg(F.count("*").alias("base")).withColumn("tree_id", F.lit(0).cast("long"))).select("cluster_id", "node_index")
+
+
+@_query(f"SELECT source, CAST(sum({_count('text')}) AS BIGINT) AS n_tokens, sum({_count('text')}) > 3500 AS too_long FROM documents GROUP BY source")
+def cluster_token_sum(spark: SparkSession, d: str) -> DataFrame:
+    out = _table(spark, d, "documents").groupBy("source").agg(F.sum(token_count(F.col("text"))).alias("n_tokens"))
+    return out.withColumn("too_long", F.col("n_tokens") > ClusterConfig().max_length_in_cluster)
+
+
+@_query("SELECT DISTINCT a.doc_id AS node_index, CAST(b.doc_id % 7 AS INTEGER) AS label FROM documents a JOIN documents b ON a.text = b.text WHERE b.doc_id % 2 = 0")
+def value_backmap_by_text(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("node_index"), F.col("text").alias("embedding"))
+    return value_backmap(docs, docs.where("node_index % 2 = 0").select("node_index", (F.col("node_index") % 7).cast("int").alias("label")))
+
+
+@_query("SELECT vec_id AS node_index FROM embeddings WHERE label IS NOT NULL AND vec_id % 5 = 0")
+def orphan_nodes(spark: SparkSession, d: str) -> DataFrame:
+    _, nodes, edges = _known_tree(spark, d)
+    tree = F.lit(0).cast("long").alias("tree_id")
+    return orphans(nodes.select("*", tree), edges.where(f"child_index % 5 != 0 or child_index >= {_L1}").select("*", tree)).select("node_index")
+
+
+@_query("SELECT conv_id, turn, md5('using the folloing information ' || role || '. Answer the following question in less than 5-7 words, if possible: ' || text) AS prompt FROM conversations WHERE role = 'user'")
+def prompt_format(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "conversations").where("role = 'user'")
+    return rows.select("conv_id", "turn", F.md5(prompt(ANSWER_PROMPT, context=F.col("role"), question=F.col("text"))).alias("prompt"))
+
+
+@_query("""WITH a AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM benchmark), b AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM documents),
+n AS (SELECT item_id, doc_id, count(*) AS shared FROM a JOIN b USING (w) GROUP BY ALL)
+SELECT item_id, doc_id, shared FROM n QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) = 1""")
+def qa_overlap(spark: SparkSession, d: str) -> DataFrame:
+    words = lambda t, key: _table(spark, d, t).select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0))).alias("w"))
+    n = words("documents", "doc_id").join(words("benchmark", "item_id"), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    return n.groupBy("item_id").agg(F.max(F.struct("shared", (-F.col("doc_id")).alias("less"))).alias("x")).select("item_id", (-F.col("x.less")).alias("doc_id"), F.col("x.shared").alias("shared"))
+
+
+def _doc_vectors(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    return docs.select(F.lit("0").alias("group"), F.col("doc_id").cast("int").alias("node_index"), _hashed(docs).alias("embedding"))
+
+
+@_query()
+def gmm_soft_cluster(spark: SparkSession, d: str) -> DataFrame:
+    return two_level(_doc_vectors(spark, d), ClusterConfig(max_clusters=12, fit_rows=1000)).select("node_index", "label")
+
+
+@_query()
+def bic_select(spark: SparkSession, d: str) -> DataFrame:
+    """(k, bic): each number of components a task of its own, over a bounded sample of documents."""
+    import numpy as np
+    import pandas as pd
+
+    rows = _doc_vectors(spark, d).orderBy(F.xxhash64("node_index"), "node_index").limit(1000)
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("node_index")
+        x = np.stack(part.embedding.to_numpy()).astype(float)
+        x = reduce_fit(x, 10)(x)
+        k = int(part.k.iloc[0])
+        return pd.DataFrame({"k": [k], "bic": [mixture_fit(x, k, 224).bic(x)]})
+
+    return rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(10)))).groupBy("k").applyInPandas(fit, "k int, bic double")
+
+
+@_query()
+def pca_reduce(spark: SparkSession, d: str) -> DataFrame:
+    """(node_index, reduced): axes from a bounded sample, every row projected."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = _doc_vectors(spark, d)
+    took = rows.orderBy(F.xxhash64("node_index"), "node_index").limit(ClusterConfig().fit_rows).select("embedding").toArrow()
+    shared = spark.sparkContext.broadcast(reduce_fit(np.array(took.column(0).to_pylist(), float).reshape(took.num_rows, -1), 10) if took.num_rows > 1 else None)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
+            y = shared.value(x) if shared.value is not None and b.num_rows else x
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(y), pa.list_(pa.float64()))], ["node_index", "reduced"])
+
+    return rows.select("node_index", "embedding").mapInArrow(run, "node_index int, reduced array<double>")
+
+
+@_query()
+def tree_build(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes of a tree for each document."""
+    tree = build_tree(_table(spark, d, "documents").select(F.col("doc_id").alias("tree_id"), "text"), ClusterConfig(num_layers=2, max_clusters=8))
+    return tree.nodes.select("tree_id", "layer", "node_index", "n_tokens", F.md5("text").alias("text"))
+
 
-def queries() -> dict:
-    return {}
+@_query()
+def answer_question(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark text as a question to the chunks of all documents."""
+    asked = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    leaves = _chunked(spark, d).select(F.xxhash64("tree_id", "chunk_index").alias("node_index"), F.lit(0).alias("layer"), "text", "n_tokens")
+    nodes = leaves.withColumn("embedding", embed(MODEL, F.col("text")))
+    q = asked.select("query_id", embed(MODEL, F.col("question")).alias("query"))
+    got = contexts(asked, collapsed(q, nodes, 10, 3500), nodes).join(asked, "query_id")
+    return got.select("query_id", answer(OverlapAnswer(), F.col("context"), F.col("question")).alias("answer"))
 
 
-def oracle_sql() -> dict:
-    return {}
+__all__ = ["neighbours", "oracle_sql", "queries"]
