@@ -115,10 +115,11 @@ def _products(how: Cells):  # noqa: ANN202
         held: dict[int, list] = {0: [], 1: []}
 
         def close() -> Iterator[pa.RecordBatch]:
-            if not held[0]:
+            alone = str(now[0]).startswith("own:")
+            if not held[0] or not (alone or held[1]):
+                held[0].clear()
                 held[1].clear()
                 return
-            alone = not held[1]
             a, b = held[0], held[0] if alone else held[1]
             dim = a[0][2]
             x, y = (np.frombuffer(b"".join(r[1] for r in s), np.float64).reshape(-1, dim) for s in (a, b))
@@ -165,15 +166,14 @@ def deduplicate(vectors: DataFrame, how: Cells = Cells()) -> DataFrame:
     placed = stored(_placed(classes, how))
     key = ["label", "dim", "cell"]
     count = placed.groupBy(*key).agg(F.sum(1 - F.col("side")).alias("n0"), F.sum("side").alias("n1"))
-    blocks = [F.greatest(F.lit(1), F.ceil(F.col(c) / how.block)).cast("int") for c in ("n0", "n1")]
-    rows = placed.join(count.select(*key, blocks[0].alias("b0"), blocks[1].alias("b1")).where("true"), key)
+    blocks = [F.ceil(F.col(c) / how.block).cast("int").alias(b) for c, b in (("n0", "b0"), ("n1", "b1"))]
+    rows = placed.join(count.where("n0 > 0").select(*key, *blocks), key)
     home = rows.where("side = 0").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("b0")).cast("int"))
     visit = rows.where("side = 1").withColumn("j", F.pmod(F.xxhash64("rep"), F.col("b1")).cast("int"))
     tile = lambda kind, i, j: F.concat_ws(":", F.lit(kind), "label", "dim", "cell", i, j)
-    seq = lambda lo, hi: F.when(F.lit(lo) <= hi, F.sequence(F.lit(lo) if isinstance(lo, int) else lo, hi)).otherwise(F.array().cast("array<int>"))
     cols = ["tile", "side", "rep", "vec", "dim", "copies"]
     zero, one = F.lit(0), F.lit(1)
-    own_tile = home.withColumn("tile", tile("h", F.col("i"), F.col("i"))).withColumn("side", zero)
+    own_tile = home.withColumn("tile", tile("own", F.col("i"), F.col("i"))).withColumn("side", zero)
     upper = home.withColumn("k", F.explode(F.when(F.col("i") + 1 <= F.col("b0") - 1, F.sequence(F.col("i") + 1, F.col("b0") - 1)))).withColumn("tile", tile("h", F.col("i"), F.col("k"))).withColumn("side", zero)
     lower = home.withColumn("k", F.explode(F.when(F.col("i") >= 1, F.sequence(zero, F.col("i") - 1)))).withColumn("tile", tile("h", F.col("k"), F.col("i"))).withColumn("side", one)
     met = home.where("b1 > 0").withColumn("k", F.explode(F.sequence(zero, F.col("b1") - 1))).withColumn("tile", tile("v", F.col("i"), F.col("k"))).withColumn("side", zero)
