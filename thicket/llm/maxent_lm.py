@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.scratch import drop, stored
-from thicket.llm.wordgrid import Texts, chunks, column, keyed
+from thicket.llm.wordgrid import Held, Texts, chunks, column, keyed
 
 ALPHA = 0.1
 
@@ -40,8 +40,8 @@ class MaxEnt:
     anchors: int = 64
     clustered: int = 1 << 13
     rounds: int = 3
-    step: float = 0.5
-    batch: int = 4096
+    step: float = 0.2
+    batch: int = 2048
     held_out: int = 10
 
     @property
@@ -88,10 +88,19 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(h, n, e): hash, count and ending of every distinct word of all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held.n:
+                words, ends = held.take()
+                h, first, n = np.unique(words, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(ends[first].astype(np.int32))], ["h", "n", "e"])
+
         for batch in batches:
-            for _, _, t in chunks(batch.column(0), lower=True, size=4 << 20):
-                h, first, n = np.unique(t.word_hashes(), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(endings(t)[first].astype(np.int32))], ["h", "n", "e"])
+            for _, _, t in chunks(batch.column(0), lower=True):
+                if held.add(t.word_hashes(), endings(t).astype(np.uint16)):
+                    yield from flush()
+        yield from flush()
 
     return train.select("text").mapInArrow(run, "h long, n long, e int").groupBy("h").agg(F.sum("n").alias("n"), F.min("e").alias("e"))
 
@@ -124,7 +133,7 @@ def _ordered_counts(train: DataFrame, words: np.ndarray, column_of: np.ndarray,
 
 
 def _summed(parts: DataFrame, slices: int) -> list[tuple[int, np.ndarray]]:
-    """Sums of binary float32 slices, streamed: first in 16 parts a slice, then all."""
+    """Sums of binary float32 slices, streamed: first in 4 parts a slice, then all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -135,7 +144,7 @@ def _summed(parts: DataFrame, slices: int) -> list[tuple[int, np.ndarray]]:
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([c.astype(np.float32).tobytes()], pa.binary())], ["slice", "counts"])
 
     schema = "slice int, counts binary"
-    done = parts.repartition("slice", F.pmod(F.spark_partition_id(), F.lit(16))).mapInArrow(run, schema).repartition(slices, "slice").mapInArrow(run, schema)
+    done = parts.repartition("slice", F.pmod(F.spark_partition_id(), F.lit(4))).mapInArrow(run, schema).repartition(slices, "slice").mapInArrow(run, schema)
     return [(r["slice"], np.frombuffer(r["counts"], np.float32)) for r in done.toArrow().to_pylist()]
 
 
@@ -229,29 +238,56 @@ def features(t: Texts, hashes: np.ndarray, cls: np.ndarray, how: MaxEnt) -> tupl
     return rows.astype(np.int32), target, doc
 
 
-def _log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]] + bias
+def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Class scores, held where their exponentials stay finite."""
+    z = weights[rows[:, 0]]
     for k in range(1, rows.shape[1]):
         z += weights[rows[:, k]]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+    z += bias
+    return np.clip(z, -60, 60, out=z)
+
+
+def target_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """ln P(class | features) of each token's class."""
+    z = _logits(weights, bias, rows)
+    own = z[np.arange(len(target)), target].astype(np.float64)
+    return own - np.log(np.exp(z, out=z).sum(1, dtype=np.float64))
+
+
+def _run_sums(x: np.ndarray, order: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of x's rows over runs of order.  Most runs are short: they are added place by place; only long ones are reduced."""
+    out = x[order[first]]
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            return out
+        out[more] += x[order[first[more] + k]]
+    long = np.flatnonzero(size > 4)
+    if len(long):
+        n = size[long] - 4
+        ends = np.cumsum(n)
+        at = np.repeat(first[long] + 4 - (ends - n), n) + np.arange(ends[-1])
+        out[long] += np.add.reduceat(x[order[at]], ends - n)
+    return out
 
 
 def _descend(weights: np.ndarray, bias: np.ndarray, squares: np.ndarray, rows: np.ndarray, target: np.ndarray, step: float) -> None:
-    """One adaptive gradient step over some tokens, in place: sparse rows are summed first, then scaled by each row's own past."""
-    z = _log_softmax(weights, bias, rows)
-    grad = np.exp(z)
+    """One adaptive gradient step over some tokens, in place: sparse rows are summed first, then scaled by each row's own past.  Biases stay at the class shares, which the weights correct."""
+    grad = _logits(weights, bias, rows)
+    np.exp(grad, out=grad)
+    grad /= grad.sum(1, keepdims=True)
     grad[np.arange(len(target)), target] -= 1
+    small = rows.astype(np.uint16) if len(weights) <= 1 << 16 else rows
     for k in range(rows.shape[1]):
-        order = np.argsort(rows[:, k], kind="stable")
-        sorted_rows = rows[order, k]
-        first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-        total = np.add.reduceat(grad[order], first)
-        live = sorted_rows[first]
-        squares[live] += (total * total).mean(1)
-        weights[live] -= (step / np.sqrt(squares[live] + 1.0))[:, None] * total
-    # biases stay at the class shares, which the weights correct
+        order = np.argsort(small[:, k], kind="stable")
+        run = small[order, k]
+        first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+        total = _run_sums(grad, order, first, np.diff(np.append(first, len(run))))
+        live = run[first].astype(np.int64)
+        past = squares[live] + np.einsum("ij,ij->i", total, total) / total.shape[1]
+        squares[live] = past
+        total *= (step / np.sqrt(past + 1.0))[:, None]
+        weights[live] -= total
 
 
 def train_weights(train: DataFrame, vocab: Vocabulary, how: MaxEnt) -> tuple[np.ndarray, np.ndarray]:
@@ -265,7 +301,7 @@ def train_weights(train: DataFrame, vocab: Vocabulary, how: MaxEnt) -> tuple[np.
     spark = train.sparkSession
     slices = 64
     per = how.table // slices
-    trainers = max(TRAINERS, train.rdd.getNumPartitions() // READS)
+    trainers = max(spark.sparkContext.defaultParallelism, train.rdd.getNumPartitions() // READS)
     for turn in range(how.rounds):
         shared = spark.sparkContext.broadcast((vocab, weights, bias, squares))
 
@@ -297,8 +333,8 @@ def train_weights(train: DataFrame, vocab: Vocabulary, how: MaxEnt) -> tuple[np.
     return weights, bias
 
 
-#: Gradient tasks a round: one for each READS input splits, and TRAINERS at least, so that what they send stays a small share of the input.
-TRAINERS, READS = 24, 8
+#: Input splits a gradient task reads, if that leaves a task for each core: what the tasks send, the weights each, stays a small share of the input.
+READS = 8
 
 
 def score(docs: DataFrame, how: MaxEnt = MaxEnt()) -> DataFrame:
@@ -340,8 +376,8 @@ def score(docs: DataFrame, how: MaxEnt = MaxEnt()) -> DataFrame:
                 feats, target, doc = features(t, h, cls, how)
                 total = np.zeros(len(t))
                 for a in range(0, len(feats), how.batch):
-                    z = _log_softmax(w, b, feats[a : a + how.batch])
-                    total += np.bincount(doc[a : a + how.batch], z[np.arange(len(z)), target[a : a + how.batch]] / np.log(10), len(t))
+                    logs = target_logs(w, b, feats[a : a + how.batch], target[a : a + how.batch])
+                    total += np.bincount(doc[a : a + how.batch], logs / np.log(10), len(t))
                 total -= t.per_doc_words(ins[cls])
                 seen = at >= 0
                 logs = np.where(seen, np.log10(vo.counts[at] + ALPHA), 0.0) if len(vo.counts) else np.zeros(len(h))

@@ -161,3 +161,21 @@ def ngrams(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+class Held:
+    """Arrays that are gathered over chunks and given on together once they have so many entries, so that the distinct of many chunks cost no larger chunk."""
+
+    def __init__(self, most: int = 1_500_000):
+        self.most, self.parts, self.n = most, [], 0
+
+    def add(self, *arrays: np.ndarray) -> bool:
+        """True if it is time to take()."""
+        self.parts.append(arrays)
+        self.n += len(arrays[0])
+        return self.n >= self.most
+
+    def take(self) -> list[np.ndarray]:
+        out = [np.concatenate(x) for x in zip(*self.parts, strict=True)] if self.parts else []
+        self.parts, self.n = [], 0
+        return out
