@@ -202,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, how: CoTraining) -> Model:
     rank = F.xxhash64(F.lit(how.seed), "doc_id")
     chosen = [ids.where(cond).orderBy(rank, "doc_id").limit(n).select("doc_id", F.coalesce("y", F.lit(-1)).alias("y")) for cond, n in (("y is not null", how.labelled), ("y is null", how.pool))]
     sample = stored(chosen[0].union(chosen[1]))
-    rows = docs.join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id").cast("long") == F.col("_id")).select(F.col("_id").alias("doc_id"), "y", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    rows = own.join(F.broadcast(sample), "doc_id")  # at most labelled + pool ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

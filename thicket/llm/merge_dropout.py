@@ -265,9 +265,9 @@ def encoded(docs: DataFrame, keep: list[str], how: Dropout = Dropout(), path: st
         for batch in batches:
             for lo, hi, data, offsets in _slices(column(batch, "_text")):
                 ids, bounds = enc.encode(data, offsets)
-                gone = pa.array(np.append(~column(batch, "_text").slice(lo, hi - lo).is_valid().to_numpy(zero_copy_only=False), False))
-                off = pa.array(bounds.astype(np.int32), mask=gone.to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([*(column(batch, f"_{i}").slice(lo, hi - lo) for i in range(len(keep))), pa.ListArray.from_arrays(off, pa.array(ids))], [*keep, "ids"])
+                null = column(batch, "_text").slice(lo, hi - lo).is_null()
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=null)
+                yield pa.RecordBatch.from_arrays([*(column(batch, f"_{i}").slice(lo, hi - lo) for i in range(len(keep))), lists], [*keep, "ids"])
 
     return rows.mapInArrow(run, schema)
 

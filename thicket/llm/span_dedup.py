@@ -64,8 +64,9 @@ def sentences(t: Texts, how: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     first = np.searchsorted(t.start, cuts)
     count = np.diff(np.append(first, len(t.start)))
     has = count > 0
-    cuts, first, count = cuts[has], first[has], count[has]
-    return cuts, first, count, np.searchsorted(t.offsets, t.start[first], "right") - 1
+    first, count = first[has], count[has]
+    start = t.start[first]
+    return start, first, count, np.searchsorted(t.offsets, start, "right") - 1
 
 
 def spans(t: Texts, how: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
