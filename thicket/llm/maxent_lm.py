@@ -133,7 +133,7 @@ def _ordered_counts(train: DataFrame, words: np.ndarray, column_of: np.ndarray,
 
 
 def _summed(parts: DataFrame, slices: int) -> list[tuple[int, np.ndarray]]:
-    """Sums of binary float32 slices, streamed: first in 4 parts a slice, then all."""
+    """Sums of binary float32 slices, as they stream in; from many tasks, first in 16 parts a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -144,7 +144,9 @@ def _summed(parts: DataFrame, slices: int) -> list[tuple[int, np.ndarray]]:
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([c.astype(np.float32).tobytes()], pa.binary())], ["slice", "counts"])
 
     schema = "slice int, counts binary"
-    done = parts.repartition("slice", F.pmod(F.spark_partition_id(), F.lit(4))).mapInArrow(run, schema).repartition(slices, "slice").mapInArrow(run, schema)
+    if parts.rdd.getNumPartitions() > 256:
+        parts = parts.repartition("slice", F.pmod(F.spark_partition_id(), F.lit(16))).mapInArrow(run, schema)
+    done = parts.repartition(slices, "slice").mapInArrow(run, schema)
     return [(r["slice"], np.frombuffer(r["counts"], np.float32)) for r in done.toArrow().to_pylist()]
 
 
