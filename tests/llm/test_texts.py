@@ -259,6 +259,43 @@ def test_spans(spark):
     assert span_dedup.deduplicated(df.where("false")).count() == 0
 
 
+def plain_dedup(rows, least, most_words):
+    """Cut texts of (id, text): sentences by regex, every run hashed in a dict, first run of a kind kept."""
+    import re
+
+    sents = {}
+    for i, t in rows:
+        parts = re.findall(r"(?s)[^\n]*?(?:[.!?](?=[\x20\x09-\x0D]|$)|\n|$)", t or "")
+        sents[i] = [p for p in parts if WORD.search(p)]
+    runs = {}
+    for i in sorted(sents):
+        w = [words(p) for p in sents[i]]
+        for a in range(len(w)):
+            b = a
+            while b < len(w) and (b - a < least or sum(map(len, w[a:b])) < most_words):
+                b += 1
+            if b - a >= least and sum(map(len, w[a:b])) >= most_words:
+                key = tuple(p.strip(" \t\n\v\f\r").translate({k: k + 32 for k in range(65, 91)}) for p in sents[i][a:b])
+                runs.setdefault(key, []).append((i, a, b))
+    gone = {(i, k) for own in runs.values() for i, a, b in own[1:] for k in range(a, b)}
+    return {i: [" ".join(words(p)) for k, p in enumerate(sents[i]) if (i, k) not in gone] for i in sents}
+
+
+def test_spans_equal_plain_version(spark):
+    import random
+
+    rng = random.Random(5)
+    line = lambda: " ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.randint(1, 7)))
+    pool = [line() for _ in range(6)]
+    rows = [(i, "".join(rng.choice(pool) + rng.choice([". ", "! ", "\n", "?\n", ". ", ".x "]) for _ in range(rng.randint(0, 25)))) for i in range(80)] + [(80, None), (81, "")]
+    how = span_dedup.Spans(sentences=2, words=6, long=10**9)
+    got = span_dedup.deduplicated(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS), how).collect()
+    want = plain_dedup(rows, 2, 6)
+    assert sum(r.n_removed for r in got) > 100
+    for r in got:
+        assert words(r.text) == " ".join(want[r.doc_id]).split() and r.n_sentences - r.n_removed == len(want[r.doc_id])
+
+
 def test_long_passages_are_caught_whatever_their_ends(spark):
     rng = np.random.default_rng(6)
     word = lambda: "".join(rng.choice(list("abcdefghijkl"), rng.integers(2, 9)))

@@ -73,4 +73,48 @@ def op9_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_crf, op2_token_group_join, op3_merge_dropout, op4_maxent_lm, op5_quality_rules, op6_cell_dedup, op7_prefix_targets, op8_span_dedup, op9_cotraining, op10_curriculum_mix)}
-ORACLES: dict[str, str] = {}
+#: Reachability over links e(a, b), both ways, from every id.
+_REACH = "reach AS (SELECT {id} AS id, {id} AS r FROM {table} UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.r)"
+_LINKS = "e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l)"
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+
+
+def _jaccard_sql() -> str:
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS xs FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(xs[i:i + 2], ' ') AS g FROM (SELECT doc_id, xs, unnest(range(1, CASE WHEN len(xs) > 2 THEN len(xs) - 1 WHEN len(xs) > 0 THEN 2 ELSE 1 END)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+{_LINKS}, {_REACH.format(id="doc_id", table="documents")}
+SELECT id AS doc_id, coalesce(max(n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n ON n.doc_id = id GROUP BY id"""
+
+
+def _cosine_sql() -> str:
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT *, sqrt(list_inner_product(x, x)) AS s FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.x) = len(b.x) AND a.s > 0 AND b.s > 0 AND list_inner_product(a.x, b.x) / (a.s * b.s) >= 0.98),
+{_LINKS}, {_REACH.format(id="vec_id", table="embeddings")},
+c AS (SELECT id AS vec_id, min(r) AS component_id FROM reach GROUP BY id), k AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN k USING (vec_id)"""
+
+
+def _chat_sql() -> str:
+    from thicket.llm.prefix_targets import CONTROL, OTHER, TAGS
+
+    def escaped(x: str) -> str:
+        x = f"replace({x}, chr(92), chr(92) || chr(92))"
+        for c in CONTROL:
+            x = f"replace({x}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+        return x
+
+    marks = " ".join(f"WHEN role = '{r}' THEN {len(a) + len(b)}" for r, (a, b) in TAGS.items())
+    return f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+s AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, sum(CASE {marks} ELSE {sum(map(len, OTHER))} + length({escaped("role")}) END + length({escaped("text")})) OVER (w ROWS UNBOUNDED PRECEDING) AS size
+FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(3 + size) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars, count(*) FILTER (role = 'assistant' OR i = n) AS n_examples FROM s GROUP BY conv_id"""
+
+
+#: SQL for what it can express in whole; the tests hold the others against plain versions.
+ORACLES: dict[str, str] = {"op2_token_group_join": _jaccard_sql(), "op6_cell_dedup": _cosine_sql(), "op7_prefix_targets": _chat_sql()}
