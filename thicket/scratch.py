@@ -42,3 +42,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns (in any letter case) that an operator is about to add."""
     taken = {n.lower() for n in names}
     return df.select(*[f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in taken])
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with Arrow batches in its session of at most so many rows: by default 10,000 long texts at once go through the memory of the JVM and of a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
