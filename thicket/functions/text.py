@@ -5,6 +5,8 @@ All are built-in expressions, so they run inside the JVM next to the scan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,33 +43,41 @@ def subsentences(sentence: Column) -> Column:
     return F.filter(F.transform(F.split(sentence, CLAUSE, -1), strip), lambda s: s != "")
 
 
-def _pack(pieces: Column, most: int, overlap: int, keep: Column | None = None) -> Column:
-    """Packs pieces in order into chunks of at most ``most`` tokens, a lone piece excepted; joined by a space.
-
-    With overlap, a chunk begins with the last so many pieces of the one before.
-    ``keep`` turns a piece into chunks of its own instead, put out at once while
-    the pending buffer stays as it is.
-    """
-    empty = F.struct(F.array().cast("array<string>").alias("chunks"), F.array().cast("array<string>").alias("buf"), F.array().cast("array<int>").alias("n"))
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, b: a + b)
-    tail = lambda xs: F.slice(xs, F.greatest(F.lit(1), F.size(xs) - (overlap - 1)), F.lit(overlap)) if overlap else F.slice(xs, 1, 0)
+def _counted(pieces: Column) -> Column:
+    """Each piece with its token count, so that a fold doesn't count again."""
+    return F.transform(pieces, lambda s: F.struct(s.alias("s"), token_count(s).alias("c")))
 
-    def add(a: Column, s: Column) -> Column:
-        c = token_count(s)
-        full = (F.size(a["buf"]) > 0) & (total(a["n"]) + c > most)
-        step = F.when(
-            full,
-            F.struct(F.concat(a["chunks"], F.array(F.array_join(a["buf"], " "))).alias("chunks"), F.concat(tail(a["buf"]), F.array(s)).alias("buf"), F.concat(tail(a["n"]), F.array(c)).alias("n")),
-        ).otherwise(F.struct(a["chunks"].alias("chunks"), F.concat(a["buf"], F.array(s)).alias("buf"), F.concat(a["n"], F.array(c)).alias("n")))
-        if keep is None:
-            return step
-        own = F.struct(F.concat(a["chunks"], keep(s)).alias("chunks"), a["buf"].alias("buf"), a["n"].alias("n"))
-        return F.when(c > most, own).otherwise(step)
 
-    def done(a: Column) -> Column:
-        return F.when(F.size(a["buf"]) > 0, F.concat(a["chunks"], F.array(F.array_join(a["buf"], " ")))).otherwise(a["chunks"])
+def _pack(pieces: Column, most: int, overlap: int, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Packs pieces(s, c) in order into chunks of at most ``most`` tokens, a lone piece excepted; joined by a space.
 
-    return F.aggregate(pieces, empty, add, done)
+    With overlap, a chunk begins with the last so many pieces of the one before.
+    ``keep`` turns a piece over the limit into chunks of its own instead, put out
+    at once while the pending buffer stays as it is.
+    """
+    none = F.array().cast("array<string>")
+    if overlap:
+        empty = F.struct(none.alias("chunks"), F.array().cast("array<struct<s:string,c:int>>").alias("buf"))
+        said = lambda a: F.array_join(F.transform(a["buf"], lambda p: p["s"]), " ")
+        spent = lambda a: F.aggregate(a["buf"], F.lit(0), lambda n, p: n + p["c"])
+        held = lambda a: F.size(a["buf"]) > 0
+        more = lambda a, x: F.struct(a["chunks"].alias("chunks"), F.concat(a["buf"], F.array(x)).alias("buf"))
+        fresh = lambda a, x: F.struct(F.concat(a["chunks"], F.array(said(a))).alias("chunks"), F.concat(F.slice(a["buf"], F.greatest(F.lit(1), F.size(a["buf"]) - (overlap - 1)), F.lit(overlap)), F.array(x)).alias("buf"))
+        own = lambda a, x: F.struct(F.concat(a["chunks"], keep(x["s"])).alias("chunks"), a["buf"].alias("buf"))
+    else:
+        empty = F.struct(none.alias("chunks"), F.lit(None).cast("string").alias("buf"), F.lit(0).alias("n"))
+        said = lambda a: a["buf"]
+        spent = lambda a: a["n"]
+        held = lambda a: a["buf"].isNotNull()
+        more = lambda a, x: F.struct(a["chunks"].alias("chunks"), F.concat_ws(" ", a["buf"], x["s"]).alias("buf"), (a["n"] + x["c"]).alias("n"))
+        fresh = lambda a, x: F.struct(F.concat(a["chunks"], F.array(a["buf"])).alias("chunks"), x["s"].alias("buf"), x["c"].alias("n"))
+        own = lambda a, x: F.struct(F.concat(a["chunks"], keep(x["s"])).alias("chunks"), a["buf"].alias("buf"), a["n"].alias("n"))
+
+    def add(a: Column, x: Column) -> Column:
+        step = F.when(held(a) & (spent(a) + x["c"] > most), fresh(a, x)).otherwise(more(a, x))
+        return step if keep is None else F.when(x["c"] > most, own(a, x)).otherwise(step)
+
+    return F.aggregate(pieces, empty, add, lambda a: F.when(held(a), F.concat(a["chunks"], F.array(said(a)))).otherwise(a["chunks"]))
 
 
 def split_text(text: Column, max_tokens: int = 100, overlap: int = 0) -> Column:
@@ -78,7 +88,7 @@ def split_text(text: Column, max_tokens: int = 100, overlap: int = 0) -> Column:
     that chunk order may differ from text order; a clause that alone exceeds it
     becomes a chunk over the limit.  Null and blank texts have no chunks.
     """
-    return _pack(sentences(text), max_tokens, overlap, lambda s: _pack(subsentences(s), max_tokens, overlap))
+    return _pack(_counted(sentences(text)), max_tokens, overlap, lambda s: _pack(_counted(subsentences(s)), max_tokens, overlap))
 
 
 def one_line(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.config import ClusterConfig
-from thicket.functions.text import ANSWER_PROMPT, context, flat_context, prompt, sentences, spaced, subsentences, token_count
+from thicket.functions.text import ANSWER_PROMPT, context, flat_context, prompt, sentences, spaced, split_text, subsentences, token_count
 from thicket.models import HashedEmbedding, OverlapAnswer, answer, embed
 from thicket.operators.chunk import chunks
 from thicket.operators.cluster import orphans, two_level, value_backmap
@@ -21,6 +21,7 @@ from thicket.operators.traverse import traverse
 from thicket.plans.build import build_tree, neighbours, number_parents
 from thicket.plans.flat import flat_select
 from thicket.plans.retrieve import collapsed, contexts
+from thicket.sources.tables import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,7 +48,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = read_table(spark, d, name)
+    return spread(df) if name == "documents" else df
 
 
 def _round(c: Column) -> Column:
@@ -170,8 +172,6 @@ def chunk_text(spark: SparkSession, d: str) -> DataFrame:
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents")
     out = docs.select("lang", F.col("doc_id").alias("tree_id"), "text")
-    from thicket.functions.text import split_text
-
     each = out.select("lang", F.explode(split_text(F.col("text"), 100)).alias("c")).select("lang", token_count(F.col("c")).alias("n"))
     return each.groupBy("lang").agg(F.count("*").alias("n_chunks"), F.sum("n").cast("long").alias("n_tokens"), F.max("n").alias("most"))
 
