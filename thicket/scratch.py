@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def folder(spark: SparkSession) -> str:
     """The shared folder in ``spark.checkpoint.dir``; a local one is made only where none is set, on a local master."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -26,6 +29,7 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._thicket_path = path
+    _WRITTEN.append((spark, path))
     return out
 
 
@@ -33,9 +37,21 @@ def drop(df: DataFrame) -> None:
     """Deletes what stored() wrote, once nothing reads it any more."""
     path = getattr(df, "_thicket_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+        _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this session's queries have left for their results to read; to be called when those are written."""
+    for s, path in list(_WRITTEN):
+        if s is spark:
+            _delete(spark, path)
+            _WRITTEN.remove((s, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
