@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.scratch import stored
+from thicket.scratch import small_batches, stored
 from thicket.llm.wordgrid import Texts, chunks, column, keyed, ngrams
 
 _U = np.uint64
@@ -226,7 +226,7 @@ def classify(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining())
     probability is 0.5, and kept.  An empty table gives an empty result.  Other
     columns are not read.
     """
-    model = train(docs, labels, how)
+    model = train(small_batches(docs), labels, how)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

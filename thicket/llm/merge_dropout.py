@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.wordgrid import Texts, buffers, column, is_space, keyed
+from thicket.llm.wordgrid import Texts, buffers, column, give_back, is_space, keyed
+from thicket.scratch import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _NONE = np.iinfo(np.int32).max
@@ -229,13 +230,15 @@ def decode(v: Pieces, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     return data[keep], offsets - lead
 
 
-def _slices(col: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _slices(col: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = buffers(col)
     at, n = 0, len(offsets) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    if len(data) > size:
+        give_back()
 
 
 def _encoder(shared, how: Dropout, held: dict = {}) -> Encoder:  # noqa: ANN001, B006
@@ -257,7 +260,7 @@ def encoded(docs: DataFrame, keep: list[str], how: Dropout = Dropout(), path: st
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
     names = [f"`{c.replace('`', '``')}`" for c in keep]
-    rows = docs.select(F.col("text").alias("_text"), *[F.col(n).alias(f"_{i}") for i, n in enumerate(names)])
+    rows = small_batches(docs).select(F.col("text").alias("_text"), *[F.col(n).alias(f"_{i}") for i, n in enumerate(names)])
     schema = ", ".join([*(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names, strict=True)), "ids array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,4 +316,4 @@ def round_trip(docs: DataFrame, how: Dropout = Dropout(), path: str = MODEL) ->
                 sha = [hashlib.sha256(ids[a:b].astype("<i4").tobytes()).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(np.diff(points[offsets]).astype(np.int64)), pa.array(np.diff(bounds).astype(np.int64)), pa.array(sha), pa.array(same)], ["doc_id", "n_chars", "n_tokens", "ids_sha256", "lossless"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_chars long, n_tokens long, ids_sha256 string, lossless boolean")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_chars long, n_tokens long, ids_sha256 string, lossless boolean")

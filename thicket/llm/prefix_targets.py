@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thicket.scratch import small_batches
+
 #: What opens and closes a turn.  Any other role is spelled out.
 TAGS = {"system": ("[SYS] ", " [/SYS]"), "user": ("[INST] ", " [/INST]"), "assistant": ("[ANS] ", "</s>")}
 OTHER = ("[ROLE] ", " [/ROLE] ", " [/TURN]")
@@ -75,7 +77,7 @@ def expand(conversations: DataFrame) -> DataFrame:
     Other columns are not read.  A conversation is read as a stream of its
     sorted turns; only its formatted prefix is held.
     """
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = small_batches(conversations).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_expand, SCHEMA)
 
 

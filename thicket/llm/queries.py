@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+
+from thicket.sources.tables import read_table, spread
 from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read_table(spark, sf_dir, name))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,13 +10,14 @@ they agree between executors, runs and batch layouts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(0x5EED))
 _TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
@@ -27,11 +28,12 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWERS: list[np.ndarray] = []
+_LIBC = ctypes.CDLL(None)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, CHUNK_BYTES * 2)
+        size = max(n, CHUNK_BYTES + (1 << 17))
         out = []
         for base in (_BASE, _BASE_INV):
             p = np.full(size, base, _U)
@@ -41,6 +43,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers idle next to others, in one executor's limit."""
+    try:
+        _LIBC.malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x ^ (x >> _U(30))
@@ -146,6 +156,8 @@ def chunks(column: pa.Array, lower: bool = False, size: int = CHUNK_BYTES) -> It
         lo, hi = int(offsets[at]), int(offsets[to])
         yield at, to, Texts(data[lo:hi], offsets[at : to + 1] - lo, lower)
         at = to
+    if len(data) > size:
+        give_back()
 
 
 def ngrams(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
