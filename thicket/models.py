@@ -56,9 +56,23 @@ def retried(call: Callable[[], str], attempts: int = 6, least: float = 1.0, most
     raise AssertionError
 
 
-@functools.lru_cache(maxsize=200_000)
-def _bucket(word: str, dim: int) -> int:
-    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
+class _Buckets(dict):
+    """md5 buckets of words, worked out once each; forgets all when it has many."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        got = self[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
+        return got
+
+
+@functools.cache
+def _buckets(dim: int) -> _Buckets:
+    return _Buckets(dim)
 
 
 class HashedEmbedding(EmbeddingModel):
@@ -68,10 +82,8 @@ class HashedEmbedding(EmbeddingModel):
         self.dim = dim
 
     def create_embedding(self, text: str) -> list[float]:
-        out = np.zeros(self.dim)
-        for w in WORD.findall((text or "").lower()):
-            out[_bucket(w, self.dim)] += 1
-        return out.tolist()
+        at = list(map(_buckets(self.dim).__getitem__, WORD.findall((text or "").lower())))
+        return np.bincount(np.array(at, np.int64), minlength=self.dim).astype(float).tolist()
 
 
 class LeadSummary(SummarizationModel):

@@ -74,12 +74,12 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine") -
     if metric not in (*METRICS, "inner_product"):
         raise ValueError(f"unknown metric {metric!r}; supported are {', '.join(METRICS)} and inner_product")
     queries = queries.where("query is not null").select("query_id", "query")
-    n = queries.count()
-    blocks = -(-n // BLOCK)
+    first = queries.limit(BLOCK + 1).toArrow()  # most often these are all
+    blocks = 1 if first.num_rows <= BLOCK else -(-queries.count() // BLOCK)
     parts = []
     for b in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        took = own.toArrow().combine_chunks()
+        took = first if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        took = took.combine_chunks()
         if not took.num_rows:
             continue
         ids, q = took.column("query_id").to_numpy(), _matrix(took.column("query").combine_chunks())

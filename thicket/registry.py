@@ -21,6 +21,7 @@ from thicket.operators.traverse import traverse
 from thicket.plans.build import build_tree, neighbours, number_parents
 from thicket.plans.flat import flat_select
 from thicket.plans.retrieve import collapsed, contexts
+from thicket.scratch import stored
 from thicket.sources.tables import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -388,7 +389,7 @@ def answer_question(spark: SparkSession, d: str) -> DataFrame:
     """Every benchmark text as a question to the chunks of all documents."""
     asked = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     leaves = _chunked(spark, d).select(F.xxhash64("tree_id", "chunk_index").alias("node_index"), F.lit(0).alias("layer"), "text", "n_tokens")
-    nodes = leaves.withColumn("embedding", embed(MODEL, F.col("text")))
+    nodes = stored(leaves.withColumn("embedding", embed(MODEL, F.col("text"))))
     q = asked.select("query_id", embed(MODEL, F.col("question")).alias("query"))
     got = contexts(asked, collapsed(q, nodes, 10, 3500), nodes).join(asked, "query_id")
     return got.select("query_id", answer(OverlapAnswer(), F.col("context"), F.col("question")).alias("answer"))
