@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.scratch import drop, stored, without
+from thicket.scratch import drop, small_batches, stored, without
 from thicket.llm.wordgrid import Texts, _powers, chunks, column, is_space, keyed, mix
 
 _END = np.zeros(256, bool)
@@ -132,9 +132,9 @@ def deduplicated(docs: DataFrame, how: Spans = Spans()) -> DataFrame:
     keeps, all keep.  An empty table gives an empty result.  Columns of docs
     named n_sentences or n_removed are replaced.
     """
-    docs = without(docs, "n_sentences", "n_removed")
-    names = [f"`{c.replace('`', '``')}`" for c in docs.columns]
-    rows = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(without(docs, "n_sentences", "n_removed"))
+    names = {c: f"`{c.replace('`', '``')}`" for c in docs.columns}
+    rows = docs.select(F.struct(*[n for c, n in names.items() if c != "text"]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     both = _keyed(rows).join(repeated(docs, how), "_r", "left").select("_row", "text", "covered")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def deduplicated(docs: DataFrame, how: Spans = Spans()) -> DataFrame:
 
     schema = both.select("_row", "text").schema.add("n_sentences", "long").add("n_removed", "long")
     cut = both.mapInArrow(run, schema)
-    return cut.select(*[F.col("text") if c == "text" else F.col(f"_row.{n}") for c, n in zip(docs.columns, names, strict=True)], "n_sentences", "n_removed")
+    return cut.select(*[F.col("text") if c == "text" else F.col(f"_row.{n}") for c, n in names.items()], "n_sentences", "n_removed")
 
 
 def cleaned(docs: DataFrame, how: Spans = Spans()) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 17
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(0x5EED))
 _TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
