@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.components import components, forest
-from thicket.scratch import drop, stored
+from thicket.scratch import drop, small_batches, stored
 from thicket.llm.wordgrid import Texts, chunks, column, keyed, mix, ngrams
 
 _U = np.uint64
@@ -88,7 +88,7 @@ def sketch(docs: DataFrame, sim: Similarity) -> np.ndarray:
         for batch in batches:
             for _, _, t in chunks(batch.column(0), lower=True):
                 grams, _ = shingle_sets(t, sim.n)
-                held += np.bincount((grams & _U(sim.sketch - 1)).astype(np.int64), minlength=sim.sketch)
+                np.add.at(held, (grams & _U(sim.sketch - 1)).astype(np.int64), 1)
         yield rows(held)
 
     def rows(held: np.ndarray) -> pa.RecordBatch:
@@ -104,7 +104,7 @@ def sketch(docs: DataFrame, sim: Similarity) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.minimum(c, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())], ["slice", "counts"])
 
     schema = "slice int, counts binary"
-    part = docs.select("text").mapInArrow(counts, schema).repartition("slice", F.pmod(F.spark_partition_id(), F.lit(16))).mapInArrow(total, schema).repartition(slices, "slice").mapInArrow(total, schema)
+    part = small_batches(docs).select("text").mapInArrow(counts, schema).repartition("slice", F.pmod(F.spark_partition_id(), F.lit(16))).mapInArrow(total, schema).repartition(slices, "slice").mapInArrow(total, schema)
     out = np.zeros(sim.sketch, np.uint32)
     for r in part.toArrow().to_pylist():
         out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.uint32)
@@ -210,7 +210,7 @@ def links(docs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
     alone = members.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     tiles = pairs.union(alone).withColumn("tile", F.xxhash64("ga", "gb"))
     sides = tiles.select("tile", F.col("ga").alias("gid"), F.col("gb").alias("other"), F.lit(0).alias("side")).union(tiles.where("ga != gb").select("tile", F.col("gb").alias("gid"), F.col("ga").alias("other"), F.lit(1).alias("side")))
-    shapes = members.groupBy("gid").applyInArrow(_envelope, "other long, high long, least binary, most binary").select("*")
+    shapes = stored(members.groupBy("gid").applyInArrow(_envelope, "other long, high long, least binary, most binary"))
     queries = sides.join(members, "gid").join(shapes, "other").select("tile", "side", "rep", "da", "n", "hist", "high", "least", "most").mapInArrow(_qualify(sim), "tile long, side int, rep long, da long")
     qualified = stored(queries)
     both = qualified.groupBy("tile").agg(F.count("*").alias("k"), F.min("side").alias("s0"), F.max("side").alias("s1"))
@@ -219,7 +219,7 @@ def links(docs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
     few = places.count() <= BROADCAST_ROWS and qualified.count() <= 8 * BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(places) if few else places, "rep").select("rep", "da", "text", F.explode("places").alias("p")).select("p.tile", "p.side", "rep", "da", "text")
     found = stored(texts.repartition("tile").sortWithinPartitions("tile", "side", "rep").mapInArrow(_open_tiles(sim), "a long, b long"))
-    for df in (shared, members, matrix, qualified, places):
+    for df in (shared, members, shapes, matrix, qualified, places):
         drop(df)
     return found
 
