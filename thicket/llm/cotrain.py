@@ -61,9 +61,19 @@ class Sparse:
         at = np.repeat(self.bounds[:-1][rows] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
         return Sparse(self.place[at], self.value[at], np.concatenate(([0], ends)), self.width)
 
+    def blocks(self, rows: int = 512) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first row, end row, places, values, row of each) of blocks, so that what is worked out for each feature stays small."""
+        size = np.diff(self.bounds)
+        for lo in range(0, len(size), rows):
+            hi = min(len(size), lo + rows)
+            a, b = self.bounds[lo], self.bounds[hi]
+            yield lo, hi, self.place[a:b], self.value[a:b], np.repeat(np.arange(hi - lo), size[lo:hi])
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0.0], np.cumsum(w[self.place] * self.value)))
-        return np.diff(total[self.bounds]) + w[-1]
+        out = np.full(len(self.bounds) - 1, float(w[-1]))
+        for lo, hi, place, value, row in self.blocks():
+            out[lo:hi] += np.bincount(row, w[place] * value, hi - lo)
+        return out
 
 
 def word_view(t: Texts) -> Sparse:
@@ -76,7 +86,7 @@ def word_view(t: Texts) -> Sparse:
     owner, place = cell // WORDS, cell % WORDS
     value = 1 + np.log(n)
     norm = np.sqrt(np.bincount(owner, value * value, len(t)))
-    return Sparse(place.astype(np.int32), value / np.maximum(norm[owner], 1e-12) if len(owner) else value, np.searchsorted(owner, np.arange(len(t) + 1)), WORDS)
+    return Sparse(place.astype(np.int32), (value / np.maximum(norm[owner], 1e-12)).astype(np.float32), np.searchsorted(owner, np.arange(len(t) + 1)), WORDS)
 
 
 def meta_view(lang: list, source: list, n_chars: list) -> Sparse:
@@ -90,19 +100,22 @@ def meta_view(lang: list, source: list, n_chars: list) -> Sparse:
     offsets = np.minimum(np.concatenate(([0], ends)).astype(np.int64), len(raw))
     t = Texts(np.frombuffer(raw, np.uint8), offsets)
     place = (t.word_hashes() % _U(META - 1)).astype(np.int32)
-    return Sparse(place, np.full(len(place), 0.5), t.bounds.copy(), META)
+    return Sparse(place, np.full(len(place), 0.5, np.float32), t.bounds.copy(), META)
 
 
 def fit(x: Sparse, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None, steps: int, decay: float = 1e-5) -> np.ndarray:
     """Logistic weights by adaptive gradient steps over all rows."""
     w = np.zeros(x.width) if start is None else start.copy()
     squares = np.full(x.width, 1e-4)
-    owner = np.repeat(np.arange(len(y)), np.diff(x.bounds))
+    total = weight.sum()
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x.dot(w), -30, 30)))
-        err = (p - y) * weight / weight.sum()
-        g = np.bincount(x.place, err[owner] * x.value, x.width) + decay * w
-        g[-1] = err.sum()
+        g = decay * w
+        g[-1] = 0
+        for lo, hi, place, value, row in x.blocks():
+            z = w[-1] + np.bincount(row, w[place] * value, hi - lo)
+            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[lo:hi]) * weight[lo:hi] / total
+            g += np.bincount(place, err[row] * value, x.width)
+            g[-1] += err.sum()
         squares += (g * 100) ** 2
         w -= 0.5 * (g * 100) / np.sqrt(squares)
     return w
@@ -189,7 +202,7 @@ def cotrain(words: Sparse, meta: Sparse, y: np.ndarray, how: CoTraining, ids: np
 
 def _join(parts: list[Sparse], width: int) -> Sparse:
     if not parts:
-        return Sparse(np.zeros(0, np.int32), np.zeros(0), np.zeros(1, np.int64), width)
+        return Sparse(np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(1, np.int64), width)
     off = np.cumsum([0] + [p.bounds[-1] for p in parts])
     return Sparse(np.concatenate([p.place for p in parts]), np.concatenate([p.value for p in parts]), np.concatenate([[0]] + [p.bounds[1:] + o for p, o in zip(parts, off, strict=False)]).astype(np.int64), width)
 
@@ -212,9 +225,11 @@ def train(docs: DataFrame, labels: DataFrame, how: CoTraining) -> Model:
                 yield pa.RecordBatch.from_arrays([*(column(batch, c).slice(lo, hi - lo) for c in ("doc_id", "y", "lang", "source", "n_chars")), pa.ListArray.from_arrays(pa.array(w.bounds.astype(np.int32)), pa.array(w.place)), pa.ListArray.from_arrays(pa.array(w.bounds.astype(np.int32)), pa.array(w.value.astype(np.float32)))], ["doc_id", "y", "lang", "source", "n_chars", "place", "value"])
 
     got = rows.mapInArrow(run, "doc_id long, y int, lang string, source string, n_chars long, place array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("n_chars", "ascending")])
-    words = _join([Sparse(p.flatten().to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False).astype(float), np.concatenate(([0], np.cumsum(p.value_lengths().to_numpy(zero_copy_only=False)))), WORDS) for p, v in zip(got.column("place").chunks, got.column("value").chunks, strict=True)], WORDS)
+    words = _join([Sparse(p.flatten().to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(p.value_lengths().to_numpy(zero_copy_only=False)))), WORDS) for p, v in zip(got.column("place").chunks, got.column("value").chunks, strict=True)], WORDS)
     meta = meta_view(*(got.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
-    return cotrain(words, meta, got.column("y").to_numpy(), how, got.column("doc_id").to_numpy().astype(_U))
+    y, ids = got.column("y").to_numpy(), got.column("doc_id").to_numpy().astype(_U)
+    del got
+    return cotrain(words, meta, y, how, ids)
 
 
 def classify(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining()) -> DataFrame:
