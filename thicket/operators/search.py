@@ -64,8 +64,8 @@ def block_scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return apart.sum(2) if metric == "L1" else apart.max(2) if metric == "Linf" else np.sqrt((apart * apart).sum(2))
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """(query_id, node_index, score, rk): the k nearest rows of each query, ties by node_index.
+def top_k(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, node_index, score, rk): the k nearest rows of each query, ties by node_index; with the rows' columns ``carry``.
 
     Queries, in blocks of a bounded size, go to the rows.  Every Arrow batch of
     rows is scored as one matrix product and gives its own k best; only these
@@ -90,6 +90,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine") -
             wide = metric in ("L1", "L2", "Linf")
             step = max(1, (1 << 22) // max(1, len(q) * (q.shape[1] if wide else 1)))
             for batch in batches:
+                batch = batch.filter(batch.column(1).is_valid())
                 for lo in range(0, batch.num_rows, step):
                     node = batch.column(0).slice(lo, step).to_numpy()
                     s = np.round(block_scores(q, _matrix(batch.column(1).slice(lo, step)), metric), DIGITS)
@@ -103,12 +104,14 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine") -
                         i, j = i[near], j[near]
                     else:
                         i, j = np.divmod(np.arange(s.size), s.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(node[j]), pa.array(s[i, j])], ["query_id", "node_index", "score"])
+                    more = [batch.column(2 + c).slice(lo, step).take(pa.array(j)) for c in range(len(carry))]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(node[j]), pa.array(s[i, j]), *more], ["query_id", "node_index", "score", *carry])
 
-        kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, node_index {rows.schema['node_index'].dataType.simpleString()}, score double"
-        parts.append(rows.where("embedding is not null").select("node_index", "embedding").mapInArrow(run, kinds))
+        own = rows.select("node_index", "embedding", *carry)
+        kinds = ", ".join([f"query_id {queries.schema['query_id'].dataType.simpleString()}", f"node_index {own.schema['node_index'].dataType.simpleString()}", "score double", *(f"{c} {own.schema[c].dataType.simpleString()}" for c in carry)])
+        parts.append(own.mapInArrow(run, kinds))
     if not parts:
-        return ranked(scored(queries, rows, metric), k)
+        return ranked(scored(queries, rows, metric), k).join(rows.select("node_index", *carry), "node_index")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -16,8 +16,7 @@ from thicket.scratch import stored
 
 def flat_select(queries: DataFrame, rows: DataFrame, k: int, max_tokens: int | None = None) -> DataFrame:
     """The k rows of the largest inner product; with a budget, up to and with the row that overflows it.  Only real rows: fewer than k if there are fewer."""
-    near = top_k(queries, rows.select("node_index", "embedding"), k, "inner_product")
-    return within_budget(near.join(rows.select("node_index", "n_tokens"), "node_index"), max_tokens, include_overflow=True)
+    return within_budget(top_k(queries, rows, k, "inner_product", carry=("n_tokens",)), max_tokens, include_overflow=True)
 
 
 class FlatRetriever:
