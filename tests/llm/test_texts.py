@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -88,6 +89,66 @@ def test_quality_edges(spark):
     assert not any(r.kept for r in quality_rules.verdicts(docs(spark, ODD[:8], extra=True)).collect())
 
 
+def test_quality_rejects_gibberish_and_shuffled_texts(spark):
+    rng = random.Random(4)
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    plain = [r for r in df.where("lang = 'en'").orderBy("doc_id").collect() if 150 <= len(words(r.text, lower=False)) and statistics(r.text)[4] == 0][:25]
+    vocab = sorted({w for r in plain for w in words(r.text, lower=False)})
+    letters = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    symbols = lambda: "".join(chr(rng.randint(33, 126)) for _ in range(rng.randint(2, 9)))
+    made = {
+        "letters": [" ".join(letters() for _ in range(200)) for _ in range(25)],
+        "ascii": [" ".join(symbols() for _ in range(200)) for _ in range(25)],
+        "vocabulary": [" ".join(rng.choice(vocab) for _ in range(200)) for _ in range(25)],
+        "shuffled": [" ".join(rng.sample(w, len(w))) for r in plain for w in [words(r.text, lower=False)]],
+    }
+    rows = [(10**6 * (k + 1) + i, t, "en") for k, ts in enumerate(made.values()) for i, t in enumerate(ts)]
+    got = {r.doc_id: r for r in quality_rules.verdicts(df.union(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).collect()}
+    for k, kind in enumerate(made):
+        out = [got[10**6 * (k + 1) + i] for i in range(len(made[kind]))]
+        assert not any(r.base_failed for r in out), kind
+        assert sum(not r.kept for r in out) >= 0.9 * len(out), (kind, [(r.log_ppl, r.high, r.log_order, r.order_high) for r in out])
+    assert sum(got[r.doc_id].kept for r in plain) >= 0.9 * len(plain)
+
+
+def test_quality_model_grows_with_the_corpus(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sizes = [(len(m.frequent), len(m.known), len(m.tri_key)) for m in (quality_rules.train(x, quality_rules.Rules()) for x in (df.where("doc_id % 8 = 0"), df))]
+    assert all(a * 1.5 < b for a, b in zip(*sizes, strict=True))
+
+
+def test_word_shares_sum_to_one():
+    cls, n, once = np.array([0, 0, 0, 1]), np.array([2, 5, 3, 2]), np.array([6, 1, 0])
+    total, cut, unknown = quality_rules.shares(cls, n, once, 3)
+    share = np.log((n - cut[np.minimum(n, 3)]) / total[cls])
+    kinds = once + once * (once - 1) / (2.0 * (np.array([1, 1, 0]) + 1))
+    assert np.bincount(cls, np.exp(share), 3)[:2] + kinds[:2] * np.exp(unknown[:2]) == pytest.approx(1)
+
+
+def test_a_text_is_scored_without_its_own_counts():
+    rng = np.random.default_rng(3)
+    size = 9
+    texts = [rng.integers(2, size, n) for n in (30, 50, 20, 40)]
+
+    def grams(t):
+        c = np.concatenate((t, [1]))
+        b = np.concatenate(([0], c[:-1]))
+        return np.concatenate(([0], b[:-1])), b, c
+
+    def model(some):
+        k, n = np.unique(np.concatenate([(a * size + b) * size + c for a, b, c in map(grams, some)]), return_counts=True)
+        return quality_rules.kneser_ney(k, n, size, np.zeros(0, np.uint64), 2)
+
+    whole, without = model(texts), model(texts[1:])
+    without.bi_cut, without.tri_cut, without.unigram = whole.bi_cut, whole.tri_cut, whole.unigram
+    without.bi_left = np.bincount(without.bi_key // size, whole.bi_cut[np.minimum(without.bi_n, 3)], size)
+    ctx = np.searchsorted(without.bi_key, without.tri_key // size)
+    without.tri_left = np.bincount(ctx, whole.tri_cut[np.minimum(without.tri_n, 3)], len(without.bi_key))
+    k, own = np.unique([(a * size + b) * size + c for a, b, c in zip(*grams(texts[0]), strict=True)], return_counts=True)
+    a, b, c = k // size**2, k // size % size, k % size
+    assert whole.log_prob(a, b, c, np.zeros(len(k), np.int64), own) == pytest.approx(without.log_prob(a, b, c))
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(0)
     size = 12
