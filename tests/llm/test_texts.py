@@ -149,6 +149,16 @@ def test_a_text_is_scored_without_its_own_counts():
     assert whole.log_prob(a, b, c, np.zeros(len(k), np.int64), own) == pytest.approx(without.log_prob(a, b, c))
 
 
+def test_quality_model_counts_every_text(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["some phrase shared " + " ".join(str(rng.random()) for _ in range(40)) for _ in range(60)] + ["x y z w"] * 20
+    seen = []
+    plain = quality_rules.kneser_ney
+    monkeypatch.setattr(quality_rules, "kneser_ney", lambda keys, counts, *rest: (seen.append(int(counts.sum())), plain(keys, counts, *rest))[1])
+    quality_rules.train(docs(spark, texts), quality_rules.Rules())
+    assert seen == [sum(len(t.split()) + 1 for t in texts)]
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(0)
     size = 12
