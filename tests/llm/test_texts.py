@@ -175,6 +175,19 @@ def test_kneser_ney_sums_to_one():
 # merge dropout
 
 
+def test_every_occurrence_is_cut_on_its_own(spark):
+    text = "internationalization " * 200
+    ids, _ = merge_dropout.Encoder(pieces(), merge_dropout.Dropout()).encode(*buffers(pa.array([text])))
+    space = [i for i, x in enumerate(ids.tolist()) if pieces().data[pieces().offsets[x] : pieces().offsets[x] + 1].tobytes() == b" "]
+    assert len({tuple(ids[a:b].tolist()) for a, b in zip(space, space[1:], strict=False)}) > 8
+    rows = [(i, c, text) for i in (1, 2) for c in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, _copy int, text string")
+    out = merge_dropout.encoded(df, ["doc_id"])
+    assert len({tuple(r.ids) for r in out.collect()}) == 4
+    assert sorted(r.ids for r in out.collect()) == sorted(r.ids for r in merge_dropout.encoded(df.repartition(3), ["doc_id"]).collect())
+    assert {r.text for r in merge_dropout.decoded(out, ["doc_id"]).collect()} == {text}
+
+
 def test_no_dropout_is_plain_encoding():
     import sentencepiece
 

@@ -1,10 +1,11 @@
 """SentencePiece (BPE type) encoding with seeded merge-dropout, and decoding.
 
-Words are cut apart at spaces; the distinct words of a chunk are merged side by
-side in numpy: in every round each word's agenda gives its best candidate, the
-leftmost of the highest-scored merge, unless a keyed hash of the candidate skips
-it.  Hashes hang on the seed, the document's variant, the word, the place and the
-merged piece alone, so reruns, retries and other layouts cut alike.
+Words are cut apart at spaces; the words of a chunk are merged side by side in
+numpy: in every round each word's agenda gives its best candidate, the leftmost of
+the highest-scored merge, unless a keyed hash of the candidate skips it.  Hashes
+hang on the seed, the document (id, text and copy number), the word and its number
+there, the place and the merged piece alone, so every occurrence is cut on its own,
+and reruns, retries and other layouts cut alike.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.wordgrid import Texts, buffers, column, give_back, is_space, keyed
+from thicket.llm.wordgrid import Texts, buffers, column, give_back, is_space, keyed, mix
 from thicket.scratch import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -28,14 +29,11 @@ SPACE = "▁"
 
 @dataclass(frozen=True)
 class Dropout:
-    """rate: the share of candidate merges that are skipped.  A document is cut
-    in one of ``variants`` ways, by a keyed hash of its id and text, so that a
-    frequent word has that many cuts and each is worked out once a chunk.
-    cache: words that a worker remembers between chunks."""
+    """rate: the share of candidate merges that are skipped.  cache: words that a
+    worker remembers between chunks where none are, at rate 0."""
 
     rate: float = 0.1
     seed: int = 1
-    variants: int = 4
     cache: int = 300_000
 
 
@@ -108,7 +106,7 @@ def first_symbols(v: Pieces, words: np.ndarray, offsets: np.ndarray) -> tuple[np
 
 
 def merge(v: Pieces, ids: np.ndarray, owner: np.ndarray, key: np.ndarray, how: Dropout) -> tuple[np.ndarray, np.ndarray]:
-    """Ids after all merges, and their words' bounds; key: a hash of each word and its variant."""
+    """Ids after all merges, and their words' bounds; key: a hash of each word, of its document and its number there."""
     n_words, n_pieces = len(key), len(v.offsets) - 1
     place = np.arange(len(ids))
     done_ids, done_owner, done_place = [], [], []
@@ -179,8 +177,8 @@ class Encoder:
     def _forget(self) -> None:
         self.keys, self.flat, self.bounds = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds) of texts; each is read with a space before it."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray, who: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of texts; each is read with a space before it.  who: a hash for each text of what tells it from equal ones."""
         v, how = self.pieces, self.how
         lead = np.insert(data, offsets[:-1], 32) if len(offsets) > 1 else data
         offsets = offsets + np.arange(len(offsets))
@@ -192,8 +190,16 @@ class Encoder:
         lo = np.flatnonzero(cut)
         hi = np.append(lo[1:], len(lead))
         doc_first = np.searchsorted(lo, offsets)
-        variant = keyed(t.hash_ranges(offsets[:-1], offsets[1:]), how.seed + 1) % np.uint64(how.variants)
-        key = keyed(t.hash_ranges(lo, hi), 3) + np.repeat(variant, np.diff(doc_first)) * np.uint64(0x9E3779B97F4A7C15)
+        key = keyed(t.hash_ranges(lo, hi), 3)
+        if how.rate > 0:
+            text = t.hash_ranges(offsets[:-1], offsets[1:])
+            text = keyed(text if who is None else text + mix(who), how.seed + 1)
+            n = np.diff(doc_first)
+            number = np.arange(len(lo)) - np.repeat(doc_first[:-1], n)
+            key = mix(key + np.repeat(text, n) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            ids, owner = first_symbols(v, lead, np.append(lo, len(lead)))
+            ids, bounds = merge(v, ids, owner, key, how)
+            return ids, bounds[doc_first]
         kinds, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, kinds), max(0, len(self.keys) - 1))
         known = self.keys[at] == kinds if len(self.keys) else np.zeros(len(kinds), bool)
@@ -241,6 +247,16 @@ def _slices(col: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, int, np.n
         give_back()
 
 
+def _who(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """A hash of each row's whole numbers in columns; null is a value of its own."""
+    out = np.zeros(batch.num_rows, np.uint64)
+    for k, name in enumerate(names):
+        col = column(batch, name)
+        value = keyed(col.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 5 + k)
+        out = mix(out + np.where(col.is_null().to_numpy(zero_copy_only=False), np.uint64(1), value))
+    return out
+
+
 def _encoder(shared, how: Dropout, held: dict = {}) -> Encoder:  # noqa: ANN001, B006
     """A worker's encoder, kept between its tasks."""
     key = (shared.id if hasattr(shared, "id") else id(shared), how)
@@ -256,18 +272,21 @@ def encoded(docs: DataFrame, keep: list[str], how: Dropout = Dropout(), path: st
     A null text has null ids; an empty one has the id of the space that stands
     before every text.  A character that is no piece, and the piece character
     for a space itself, is spelled in bytes, so decoding gives back any text.
-    Equal texts are cut alike.  An empty table gives an empty result.
+    Equal texts of other ids (doc_id) or copy numbers (_copy), if docs has such
+    columns, are cut on their own.  An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
     names = [f"`{c.replace('`', '``')}`" for c in keep]
-    rows = small_batches(docs).select(F.col("text").alias("_text"), *[F.col(n).alias(f"_{i}") for i, n in enumerate(names)])
+    by = [c for c in ("doc_id", "_copy") if c in docs.columns]
+    rows = small_batches(docs).select(F.col("text").alias("_text"), *[F.col(c).cast("long").alias(f"_by_{c}") for c in by], *[F.col(n).alias(f"_{i}") for i, n in enumerate(names)])
     schema = ", ".join([*(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names, strict=True)), "ids array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shared, how)
         for batch in batches:
+            who = _who(batch, [f"_by_{c}" for c in by])
             for lo, hi, data, offsets in _slices(column(batch, "_text")):
-                ids, bounds = enc.encode(data, offsets)
+                ids, bounds = enc.encode(data, offsets, who[lo:hi])
                 null = column(batch, "_text").slice(lo, hi - lo).is_null()
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=null)
                 yield pa.RecordBatch.from_arrays([*(column(batch, f"_{i}").slice(lo, hi - lo) for i in range(len(keep))), lists], [*keep, "ids"])
@@ -307,8 +326,9 @@ def round_trip(docs: DataFrame, how: Dropout = Dropout(), path: str = MODEL) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shared, how)
         for batch in batches:
+            who = _who(batch, ["doc_id"])
             for lo, hi, data, offsets in _slices(column(batch, "text")):
-                ids, bounds = enc.encode(data, offsets)
+                ids, bounds = enc.encode(data, offsets, who[lo:hi])
                 back, off = decode(enc.pieces, ids, bounds)
                 whole = np.array_equal(off, offsets) and np.array_equal(back, data)
                 same = np.ones(hi - lo, bool) if whole else np.array([np.array_equal(back[off[i] : off[i + 1]], data[offsets[i] : offsets[i + 1]]) for i in range(hi - lo)], bool)
