@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 
 from thicket.config import ClusterConfig, EngineConfig, FlatConfig, RetrieverConfig, TreeConfig
 from thicket.models import CompletionAnswer, EmbeddingModel, HashedEmbedding, HostedEmbedding, LeadSummary, OverlapAnswer, QAModel, SummarizationModel, retried
-from thicket.operators.cluster import cluster_nodes, value_backmap
+from thicket.operators.cluster import ClusteringAlgorithm, cluster_nodes, reduced, soft_cluster, value_backmap
 from thicket.operators.mixture import best_mixture, mixture_fit, soft_labels
-from thicket.plans.build import build_tree, neighbours
+from thicket.plans.build import BUILDERS, TreeBuilder, build_tree, neighbours
 from thicket.plans.engine import Engine
 from thicket.plans.flat import FlatRetriever
-from thicket.plans.retrieve import Retriever
+from thicket.plans.retrieve import BaseRetriever, Retriever
 from thicket.sources.store import load_tree, read_texts, save_tree
 from thicket.streaming.ingest import write_leaves
 
@@ -60,7 +60,7 @@ def test_save_load_retrieve(spark, tree, tmp_path):
     save_tree(one, str(tmp_path / "t"))
     after = Retriever(load_tree(spark, str(tmp_path / "t"))).retrieve("bread and yeast in the oven", return_layer_information=True)
     assert before == after and "bread" in before[0].lower() and len(before[1]) == 10
-    with pytest.raises(ValueError, match="can't load"):
+    with pytest.raises(ValueError, match="no part of a saved tree"):
         load_tree(spark, str(tmp_path / "none"))
 
 
@@ -103,6 +103,90 @@ def test_engine(spark, cfg, tmp_path):
     assert e.tree.nodes.count() == 1
 
 
+FOREST = [(10, "Rockets burn fuel. They fly to the moon."), (11, "Bread wants flour and yeast."), (12, "Fish swim in the river."), (13, None)]
+
+
+def test_forest_is_searched_as_a_whole(spark):
+    e = Engine(spark)
+    e.add_documents(spark.createDataFrame(FOREST, "tree_id long, text string"))
+    context, info = e.retrieve("what do rockets burn?", top_k=1)
+    assert info == [{"tree_id": 10, "node_index": 0, "layer_number": 0}] and context == "Rockets burn fuel  They fly to the moon\n\n"
+    context, info = e.retrieve("flour", top_k=3)
+    assert info[0]["tree_id"] == 11 and {x["tree_id"] for x in info} == {10, 11, 12} and context.count("\n\n") == 3
+    walked, info = e.retrieve("fish in the river", collapse_tree=False)
+    assert [x["tree_id"] for x in info][0] == 12 and len(info) == 3
+    asked = spark.createDataFrame([(1, "who burns fuel"), (2, "yeast")], "query_id long, question string")
+    got = {r.query_id: (r.answer, r.layer_information) for r in e.answer_questions(asked, top_k=1).collect()}
+    assert got[1][0] == "Rockets burn fuel  They fly to the moon" and got[2][1][0].tree_id == 11
+    with pytest.raises(ValueError, match="several have the tree_id 10"):
+        Engine(spark).add_documents(spark.createDataFrame([FOREST[0], FOREST[0]], "tree_id long, text string"))
+
+
+def test_forest_of_unlike_heights_is_walked_from_each_top(tree):
+    r = Retriever(tree, RetrieverConfig(top_k=3))
+    _, info = r.retrieve("short cluster moon", collapse_tree=False, return_layer_information=True)
+    assert {x["tree_id"] for x in info[:3]} == {0, 1} or {x["tree_id"] for x in info[:3]} == {0}
+    keys = {(x.tree_id, x.node_index): x.layer for x in tree.nodes.collect()}
+    assert all(keys[x["tree_id"], x["node_index"]] == x["layer_number"] for x in info)
+    _, info = r.retrieve("too short to cluster", collapse_tree=False, return_layer_information=True)
+    assert info[0] == {"tree_id": 1, "node_index": 0, "layer_number": 0}
+
+
+def test_flat_over_a_forest_and_own_retrievers(spark):
+    docs = spark.createDataFrame(FOREST, "tree_id long, text string")
+    e = Engine(spark, EngineConfig(retriever=FlatConfig(use_top_k=True, top_k=1)))
+    e.add_documents(docs)
+    assert e.retrieve("fish swim in the river") == ("Fish swim in the river", [{"tree_id": 12, "node_index": 0, "layer_number": 0}])
+
+    class Fixed(BaseRetriever):
+        def batch(self, questions, **how):
+            return questions.select("query_id", F.lit("Always this.").alias("context"), F.array().cast("array<struct<tree_id:bigint,node_index:int,layer_number:int>>").alias("layer_information"))
+
+        def retrieve(self, query, **how):
+            return "Always this."
+
+    own = Engine(spark, retriever=Fixed())
+    assert own.answer_question("anything at all") == "Always this" and own.retrieve("x") == ("Always this.", [])
+
+
+def test_many_questions_go_in_blocks(spark, monkeypatch):
+    from thicket.operators import search
+
+    rows = spark.createDataFrame([(i % 3, i, [float(i % 7), 1.0]) for i in range(40)], "tree_id long, node_index int, embedding array<double>")
+    asked = spark.createDataFrame([(i, [float(i), 2.0]) for i in range(11)], "query_id long, query array<double>")
+    key = lambda d: sorted(tuple(r) for r in d.collect())
+    whole = key(search.top_k(asked, rows, 4))
+    monkeypatch.setattr(search, "BLOCK", 3)
+    assert key(search.top_k(asked, rows, 4)) == whole and len(whole) == 44
+    assert search.top_k(asked.where("false"), rows, 4).count() == 0
+
+
+def test_own_clustering_and_builder(spark):
+    class Pairs(ClusteringAlgorithm):
+        def perform_clustering(self, nodes, cfg, size=2):
+            return nodes.select("tree_id", F.floor(F.col("node_index") / size).cast("int").alias("cluster_id"), "node_index")
+
+    cfg = ClusterConfig(max_tokens=3, num_layers=1, reduction_dimension=2, clustering_algorithm=Pairs(), clustering_params={"size": 3})
+    docs = spark.createDataFrame([(0, "A b c. D e f. G h i. J k l. M n o. P q r. S t u.")], "tree_id long, text string")
+    built = build_tree(docs, cfg)
+    assert {r.node_index: r.children for r in built.children().collect()} == {7: [0, 1, 2], 8: [3, 4, 5], 9: [6]}
+    assert [r.node_index for r in built.node_list().collect()] == list(range(10))
+
+    class OneLeaf(TreeBuilder):
+        def build(self, docs):
+            return build_tree(docs.limit(1), self.cfg)
+
+    BUILDERS["one"] = OneLeaf
+    try:
+        e = Engine(spark, EngineConfig(tree=cfg, tree_builder_type="one"))
+        e.add_documents(docs)
+        assert e.tree.nodes.where("layer = 0").count() == 7
+    finally:
+        del BUILDERS["one"]
+    with pytest.raises(ValueError):
+        ClusterConfig(clustering_algorithm=3)
+
+
 def test_flat(spark):
     docs = spark.createDataFrame([(0, story(30))], "tree_id long, text string")
     f = FlatRetriever(FlatConfig(max_tokens=10, max_context_tokens=30))
@@ -150,12 +234,28 @@ def test_structureless_vectors_still_end(spark):
     assert got.agg(F.max("count")).first()[0] <= 2
 
 
-def test_large_group_is_fitted_on_a_part(spark):
+def test_large_group_is_fitted_in_parts_as_it_is_whole(spark):
     rng = np.random.default_rng(5)
-    x = np.vstack([rng.normal(size=(100, 4)) * 0.05 + 3 * np.eye(4)[i] for i in range(2)])
-    rows = spark.createDataFrame([(0, i, 1, v.tolist()) for i, v in enumerate(x)], "tree_id long, node_index int, n_tokens int, embedding array<double>")
-    got = cluster_nodes(rows, ClusterConfig(reduction_dimension=2, max_clusters=5, fit_rows=50))
-    assert got.select("node_index").distinct().count() == 200
+    x = np.vstack([rng.normal(size=(60, 4)) * 0.05 + 3 * np.eye(4)[i] for i in range(3)])
+    rows = spark.createDataFrame([("g", i, v.tolist()) for i, v in enumerate(x)], "group string, node_index int, embedding array<double>")
+    got = []
+    for part_rows in (1000, 50):
+        cfg = ClusterConfig(reduction_dimension=2, max_clusters=6, part_rows=part_rows)
+        sets = {}
+        for r in soft_cluster(rows, cfg, True).collect():
+            sets.setdefault(r.label, set()).add(r.node_index)
+        got.append(sorted(sorted(s) for s in sets.values()))
+    assert got[0] == got[1] == [list(range(60)), list(range(60, 120)), list(range(120, 180))]
+    a, b = ({r.node_index: r.reduced for r in reduced(rows, ClusterConfig(reduction_dimension=2, part_rows=p)).collect()} for p in (1000, 50))
+    assert all(np.allclose(a[i], b[i]) for i in a) and len(a) == len(b) == 180
+
+
+def test_splitting_ends_within_the_limit(spark):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(0, i, int(t), v.tolist()) for i, (t, v) in enumerate(zip(rng.integers(1, 700, 60), rng.normal(size=(60, 5)), strict=True))], "tree_id long, node_index int, n_tokens int, embedding array<double>")
+    got = cluster_nodes(rows, ClusterConfig(reduction_dimension=3, max_clusters=3, max_length_in_cluster=1000, max_splits=1))
+    size = got.join(rows, "node_index").groupBy("cluster_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
+    assert size.where("n > 1 and t > 1000").count() == 0 and got.select("node_index").distinct().count() == 60
 
 
 def test_mixture_picks_planted_number():

@@ -3,26 +3,40 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from thicket.models import EmbeddingModel, HashedEmbedding, LeadSummary, OverlapAnswer, QAModel, SummarizationModel
 
 SELECTION = ("top_k", "threshold")
 
 
-def _int(name: str, value: object, least: int, none: bool = False) -> None:
-    if not (none and value is None) and (not isinstance(value, int) or isinstance(value, bool) or value < least):
-        raise ValueError(f"{name}: a whole number from {least} on, not {value!r}")
+def within(name: str, value: object, least: int, most: int | None = None) -> int:
+    """value, if it is a whole number of the range."""
+    if not isinstance(value, int) or isinstance(value, bool) or value < least or (most is not None and value > most):
+        raise ValueError(f"{name} is {value!r}, but must be a whole number of at least {least}" + (f" and at most {most}" if most is not None else ""))
+    return value
 
 
-def _is(name: str, value: object, kind: type, none: bool = False) -> None:
-    if not (none and value is None) and not isinstance(value, kind):
-        raise ValueError(f"{name}: a {kind.__name__}, not {value!r}")
+def kind_of(name: str, value: object, *kinds: type):  # noqa: ANN201
+    """value, if it is of one of the kinds."""
+    if not isinstance(value, kinds):
+        raise ValueError(f"{name} is {value!r}, but must be of type {' or '.join(k.__name__ for k in kinds)}")
+    return value
 
 
-def _selection(mode: str) -> None:
-    if mode not in SELECTION:
-        raise ValueError(f"selection_mode: {' or '.join(SELECTION)}, not {mode!r}")
+def one_of(name: str, value: object, known: object):  # noqa: ANN201
+    """value, if it is known."""
+    if value not in known:
+        raise ValueError(f"{name} is {value!r}, but must be one of {', '.join(map(str, known))}")
+    return value
+
+
+def _share(name: str, value: object, *kinds: type) -> None:
+    if not 0 <= kind_of(name, value, *kinds) <= 1:
+        raise ValueError(f"{name} is {value!r}, but must lie between 0 and 1")
+
+
+_NONE = type(None)
 
 
 @dataclass(frozen=True)
@@ -42,30 +56,39 @@ class TreeConfig:
 
     def __post_init__(self) -> None:
         for name in ("max_tokens", "num_layers", "top_k"):
-            _int(name, getattr(self, name), 1)
-        if not isinstance(self.threshold, int | float) or not 0 <= self.threshold <= 1:
-            raise ValueError("threshold: a number from 0 to 1")
-        _selection(self.selection_mode)
-        _is("summarization_model", self.summarization_model, SummarizationModel)
-        if not isinstance(self.embedding_models, dict) or not self.embedding_models:
-            raise ValueError("embedding_models: a dictionary from names to models, not empty")
-        for model in self.embedding_models.values():
-            _is("a value of embedding_models", model, EmbeddingModel)
-        if self.cluster_embedding_model not in self.embedding_models:
-            raise ValueError("cluster_embedding_model: one of the names in embedding_models")
+            within(name, getattr(self, name), 1)
+        _share("threshold", self.threshold, int, float)
+        one_of("selection_mode", self.selection_mode, SELECTION)
+        kind_of("summarization_model", self.summarization_model, SummarizationModel)
+        for name, model in kind_of("embedding_models", self.embedding_models, dict).items():
+            kind_of(f"embedding_models[{name!r}]", model, EmbeddingModel)
+        one_of("cluster_embedding_model", self.cluster_embedding_model, self.embedding_models)
 
 
 @dataclass(frozen=True)
 class ClusterConfig(TreeConfig):
-    """Trees whose layers are clusters.  fit_rows: a group's mixture is fitted on about so many of its rows, or all if fewer; every row is then assigned."""
+    """Trees whose layers are clusters, made by clustering_algorithm (None: the mixtures of operators.cluster) with
+    clustering_params for its settings.  part_rows: a group of more rows is fitted and assigned in parts of about so
+    many; the result is the same."""
 
     reduction_dimension: int = 10
     max_length_in_cluster: int = 3500
     cluster_threshold: float = 0.1
     max_clusters: int = 50
     seed: int = 224
-    fit_rows: int = 4000
+    part_rows: int = 4000
     max_splits: int = 30
+    clustering_algorithm: object | None = None
+    clustering_params: dict[str, object] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        super().__post_init__()
+        for name in ("reduction_dimension", "max_length_in_cluster", "max_clusters", "part_rows", "max_splits"):
+            within(name, getattr(self, name), 1)
+        _share("cluster_threshold", self.cluster_threshold, int, float)
+        kind_of("clustering_params", self.clustering_params, dict)
+        if self.clustering_algorithm is not None and not callable(getattr(self.clustering_algorithm, "perform_clustering", None)):
+            raise ValueError(f"clustering_algorithm is {self.clustering_algorithm!r}, but must have a perform_clustering method")
 
 
 @dataclass(frozen=True)
@@ -79,15 +102,14 @@ class RetrieverConfig:
     start_layer: int | None = None
 
     def __post_init__(self) -> None:
-        if not isinstance(self.threshold, float) or not 0 <= self.threshold <= 1:
-            raise ValueError("threshold: a float from 0 to 1")
-        _int("top_k", self.top_k, 1)
-        _selection(self.selection_mode)
-        if not isinstance(self.context_embedding_model, str):
-            raise ValueError("context_embedding_model: a name")
-        _is("embedding_model", self.embedding_model, EmbeddingModel)
-        _int("num_layers", self.num_layers, 0, none=True)
-        _int("start_layer", self.start_layer, 0, none=True)
+        _share("threshold", self.threshold, float)
+        within("top_k", self.top_k, 1)
+        one_of("selection_mode", self.selection_mode, SELECTION)
+        kind_of("context_embedding_model", self.context_embedding_model, str)
+        kind_of("embedding_model", self.embedding_model, EmbeddingModel)
+        for name in ("num_layers", "start_layer"):
+            if getattr(self, name) is not None:
+                within(name, getattr(self, name), 0)
 
 
 @dataclass(frozen=True)
@@ -104,11 +126,12 @@ class FlatConfig:
     encode: Callable[[str], object] | None = None
 
     def __post_init__(self) -> None:
-        _int("max_tokens", self.max_tokens, 1)
-        _int("top_k", self.top_k, 1)
-        _int("max_context_tokens", self.max_context_tokens, 1, none=True)
-        _is("embedding_model", self.embedding_model, EmbeddingModel, none=True)
-        _is("question_embedding_model", self.question_embedding_model, EmbeddingModel, none=True)
+        within("max_tokens", self.max_tokens, 1)
+        within("top_k", self.top_k, 1)
+        if self.max_context_tokens is not None:
+            within("max_context_tokens", self.max_context_tokens, 1)
+        for name in ("embedding_model", "question_embedding_model"):
+            kind_of(name, getattr(self, name), EmbeddingModel, _NONE)
 
     @property
     def embedder(self) -> EmbeddingModel:
@@ -121,10 +144,11 @@ class FlatConfig:
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """Of the whole engine.  embedding_model and summarization_model are shortcuts that set both sides, and exclude the settings they stand for."""
+    """Of the whole engine.  retriever: settings of the tree's retriever, or of flat retrieval over its leaves.
+    embedding_model and summarization_model are shortcuts that set both sides, and exclude the settings they stand for."""
 
     tree: ClusterConfig | None = None
-    retriever: RetrieverConfig | None = None
+    retriever: RetrieverConfig | FlatConfig | None = None
     qa_model: QAModel | None = None
     embedding_model: EmbeddingModel | None = None
     summarization_model: SummarizationModel | None = None
@@ -133,25 +157,21 @@ class EngineConfig:
     def __post_init__(self) -> None:
         from thicket.plans.build import BUILDERS
 
-        if self.tree_builder_type not in BUILDERS:
-            raise ValueError(f"tree_builder_type: one of {', '.join(BUILDERS)}")
-        _is("qa_model", self.qa_model, QAModel, none=True)
-        _is("embedding_model", self.embedding_model, EmbeddingModel, none=True)
-        _is("summarization_model", self.summarization_model, SummarizationModel, none=True)
-        _is("tree", self.tree, ClusterConfig, none=True)
-        _is("retriever", self.retriever, RetrieverConfig, none=True)
-        if self.embedding_model is not None and self.tree is not None and set(self.tree.embedding_models) != {"EMB"}:
-            raise ValueError("give either embedding_model or the tree's embedding_models")
-        if self.summarization_model is not None and self.tree is not None and not isinstance(self.tree.summarization_model, LeadSummary):
-            raise ValueError("give either summarization_model or the tree's summarization_model")
-
-    def resolved(self) -> tuple[ClusterConfig, RetrieverConfig, QAModel]:
-        from dataclasses import replace
+        one_of("tree_builder_type", self.tree_builder_type, BUILDERS)
+        kinds = {"qa_model": (QAModel,), "embedding_model": (EmbeddingModel,), "summarization_model": (SummarizationModel,), "tree": (ClusterConfig,), "retriever": (RetrieverConfig, FlatConfig)}
+        for name, kind in kinds.items():
+            kind_of(name, getattr(self, name), *kind, _NONE)
+        own = self.tree or ClusterConfig()
+        for shortcut, other, plain in (("embedding_model", "embedding_models", set(own.embedding_models) == {"EMB"}), ("summarization_model", "summarization_model", isinstance(own.summarization_model, LeadSummary))):
+            if getattr(self, shortcut) is not None and not plain:
+                raise ValueError(f"{shortcut} and tree.{other} both say which model to use; give one of them")
 
+    def resolved(self) -> tuple[ClusterConfig, RetrieverConfig | FlatConfig, QAModel]:
         tree, retriever = self.tree or ClusterConfig(), self.retriever or RetrieverConfig()
         if self.embedding_model is not None:
             tree = replace(tree, embedding_models={"EMB": self.embedding_model}, cluster_embedding_model="EMB")
-            retriever = replace(retriever, embedding_model=self.embedding_model, context_embedding_model="EMB")
+            name = "embedding_model_string" if isinstance(retriever, FlatConfig) else "context_embedding_model"
+            retriever = replace(retriever, embedding_model=self.embedding_model, **{name: "EMB"})
         if self.summarization_model is not None:
             tree = replace(tree, summarization_model=self.summarization_model)
         return tree, retriever, self.qa_model or OverlapAnswer()

@@ -17,7 +17,12 @@ BREAKS = r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 #: Where sentences, and the parts of a long one, are cut.
 SENTENCE, CLAUSE = r"[.!?\n]", r"[,;:]"
 
-#: What hosted models are asked.
+#: A token: a run of non-blanks.  Graphic ASCII and the letters up to U+167F, none of which is blank, are tested first, as two ranges cost far less than the whole class.
+TOKEN = rf"(?:[!-~\x{{C0}}-\x{{167F}}]++|[^{BLANK}])++"
+
+#: What hosted models are told and asked.
+SUMMARY_SYSTEM = "You are a helpful assistant."
+ANSWER_SYSTEM = "You are Question Answering Portal"
 SUMMARY_PROMPT = "Write a summary of the following, including as many key details as possible: {context}:"
 ANSWER_PROMPT = "using the folloing information {context}. Answer the following question in less than 5-7 words, if possible: {question}"
 CHAT_ANSWER_PROMPT = "Given Context: {context} Give the best full answer amongst the option to question {question}"
@@ -26,7 +31,7 @@ SEQ2SEQ_PROMPT = "{question} \\n {context}"
 
 def token_count(text: Column) -> Column:
     """The default tokenizer's count: runs of non-blanks."""
-    return F.regexp_count(text, F.lit(f"[^{BLANK}]+"))
+    return F.regexp_count(text, F.lit(TOKEN))
 
 
 def strip(text: Column) -> Column:
@@ -49,39 +54,40 @@ def _counted(pieces: Column) -> Column:
 
 
 def _pack(pieces: Column, most: int, overlap: int, keep: Callable[[Column], Column] | None = None) -> Column:
-    """Packs pieces(s, c) in order into chunks of at most ``most`` tokens, a lone piece excepted; joined by a space.
+    """Packs pieces(s, c) in order into chunks(text, n_tokens) of at most ``most`` tokens, a lone piece excepted; joined by a space, so that counts add up.
 
     With overlap, a chunk begins with the last so many pieces of the one before.
     ``keep`` turns a piece over the limit into chunks of its own instead, put out
     at once while the pending buffer stays as it is.
     """
-    none = F.array().cast("array<string>")
+    none = F.array().cast("array<struct<text:string,n_tokens:int>>")
+    chunk = lambda text, n: F.array(F.struct(text.alias("text"), n.alias("n_tokens")))
     if overlap:
         empty = F.struct(none.alias("chunks"), F.array().cast("array<struct<s:string,c:int>>").alias("buf"))
-        said = lambda a: F.array_join(F.transform(a["buf"], lambda p: p["s"]), " ")
         spent = lambda a: F.aggregate(a["buf"], F.lit(0), lambda n, p: n + p["c"])
+        said = lambda a: chunk(F.array_join(F.transform(a["buf"], lambda p: p["s"]), " "), spent(a))
         held = lambda a: F.size(a["buf"]) > 0
         more = lambda a, x: F.struct(a["chunks"].alias("chunks"), F.concat(a["buf"], F.array(x)).alias("buf"))
-        fresh = lambda a, x: F.struct(F.concat(a["chunks"], F.array(said(a))).alias("chunks"), F.concat(F.slice(a["buf"], F.greatest(F.lit(1), F.size(a["buf"]) - (overlap - 1)), F.lit(overlap)), F.array(x)).alias("buf"))
+        fresh = lambda a, x: F.struct(F.concat(a["chunks"], said(a)).alias("chunks"), F.concat(F.slice(a["buf"], F.greatest(F.lit(1), F.size(a["buf"]) - (overlap - 1)), F.lit(overlap)), F.array(x)).alias("buf"))
         own = lambda a, x: F.struct(F.concat(a["chunks"], keep(x["s"])).alias("chunks"), a["buf"].alias("buf"))
     else:
         empty = F.struct(none.alias("chunks"), F.lit(None).cast("string").alias("buf"), F.lit(0).alias("n"))
-        said = lambda a: a["buf"]
         spent = lambda a: a["n"]
+        said = lambda a: chunk(a["buf"], a["n"])
         held = lambda a: a["buf"].isNotNull()
         more = lambda a, x: F.struct(a["chunks"].alias("chunks"), F.concat_ws(" ", a["buf"], x["s"]).alias("buf"), (a["n"] + x["c"]).alias("n"))
-        fresh = lambda a, x: F.struct(F.concat(a["chunks"], F.array(a["buf"])).alias("chunks"), x["s"].alias("buf"), x["c"].alias("n"))
+        fresh = lambda a, x: F.struct(F.concat(a["chunks"], said(a)).alias("chunks"), x["s"].alias("buf"), x["c"].alias("n"))
         own = lambda a, x: F.struct(F.concat(a["chunks"], keep(x["s"])).alias("chunks"), a["buf"].alias("buf"), a["n"].alias("n"))
 
     def add(a: Column, x: Column) -> Column:
         step = F.when(held(a) & (spent(a) + x["c"] > most), fresh(a, x)).otherwise(more(a, x))
         return step if keep is None else F.when(x["c"] > most, own(a, x)).otherwise(step)
 
-    return F.aggregate(pieces, empty, add, lambda a: F.when(held(a), F.concat(a["chunks"], F.array(said(a)))).otherwise(a["chunks"]))
+    return F.aggregate(pieces, empty, add, lambda a: F.when(held(a), F.concat(a["chunks"], said(a))).otherwise(a["chunks"]))
 
 
-def split_text(text: Column, max_tokens: int = 100, overlap: int = 0) -> Column:
-    """The chunks of a text, in order of emission.
+def counted_chunks(text: Column, max_tokens: int = 100, overlap: int = 0) -> Column:
+    """The chunks(text, n_tokens) of a text, in order of emission; tokens are counted once, sentence by sentence.
 
     Sentences are packed greedily.  One that alone exceeds max_tokens is packed
     by its clauses and put out before the sentences that are still pending, so
@@ -91,6 +97,11 @@ def split_text(text: Column, max_tokens: int = 100, overlap: int = 0) -> Column:
     return _pack(_counted(sentences(text)), max_tokens, overlap, lambda s: _pack(_counted(subsentences(s)), max_tokens, overlap))
 
 
+def split_text(text: Column, max_tokens: int = 100, overlap: int = 0) -> Column:
+    """The texts of the chunks alone."""
+    return F.transform(counted_chunks(text, max_tokens, overlap), lambda c: c["text"])
+
+
 def one_line(text: Column) -> Column:
     """Lines joined by spaces; a final line break is dropped."""
     return F.regexp_replace(F.regexp_replace(text, f"(?:{BREAKS})$", ""), BREAKS, " ")

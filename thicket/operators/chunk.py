@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.functions.text import split_text, token_count
+from thicket.functions.text import counted_chunks
 
 
 def chunks(docs: DataFrame, max_tokens: int = 100, overlap: int = 0, encode: Callable[[str], object] | None = None) -> DataFrame:
@@ -18,8 +18,8 @@ def chunks(docs: DataFrame, max_tokens: int = 100, overlap: int = 0, encode: Cal
     length for a text, chunks are cut in Arrow batches by Python workers.
     """
     if encode is None:
-        out = docs.select("tree_id", F.posexplode(split_text(F.col("text"), max_tokens, overlap)).alias("chunk_index", "text"))
-        return out.select("tree_id", "chunk_index", "text", token_count(F.col("text")).alias("n_tokens"))
+        out = docs.select("tree_id", F.posexplode(counted_chunks(F.col("text"), max_tokens, overlap)).alias("chunk_index", "c"))
+        return out.select("tree_id", "chunk_index", "c.text", "c.n_tokens")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -1,24 +1,190 @@
 """Soft two-level clustering of nodes, split until clusters fit a token limit.
 
 Every group (a tree, a cluster to be split, a global cluster within it) is a
-unit of work.  A group's reducer and mixture are fitted on one of its salted
-parts, whose size has a bound, and all its rows are then assigned part by part,
-so that a group with a third of all rows is never in one task.  Equal vectors get
-equal labels, as labels are a function of the vector.
+unit of work.  A group is fitted on all its rows: in one task if it is small, by
+passes over its salted parts if not, so that a group with a third of all rows is
+never in one task.  Both work out the same sums, so size doesn't change the
+result.  Equal vectors get equal labels, as labels are a function of the vector.
 """
 
 from __future__ import annotations
 
 import pickle
+from abc import ABC, abstractmethod
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.config import ClusterConfig
-from thicket.operators.mixture import best_mixture, reduce_fit, soft_labels
-from thicket.scratch import stored
+from thicket.operators.mixture import Run, advance, axes_of, best_number, bic_of, bic_sweep, centres_of, mixture_fit, moments, numbers, scatter, soft_labels
+from thicket.scratch import drop, stored
+
+#: A sweep over component numbers is cut into so many tasks.
+SLICES = 8
+
+
+class ClusteringAlgorithm(ABC):
+    """What a tree's layers are clustered with; users' own algorithms derive from it."""
+
+    @abstractmethod
+    def perform_clustering(self, nodes: DataFrame, cfg: ClusterConfig, **params: object) -> DataFrame:
+        """(tree_id, cluster_id, node_index), a row for each cluster that a node is in, for nodes(tree_id, node_index, n_tokens, embedding)."""
+
+
+class MixtureClustering(ClusteringAlgorithm):
+    """Two levels of soft Gaussian mixtures; params are settings of ClusterConfig."""
+
+    def perform_clustering(self, nodes: DataFrame, cfg: ClusterConfig, **params: object) -> DataFrame:
+        return cluster_nodes(nodes, replace(cfg, **params))
+
+
+def _vectors(part: pd.DataFrame) -> np.ndarray:
+    return np.stack(part.sort_values("node_index").embedding.to_numpy()).astype(float)
+
+
+def _dims(n: int, cfg: ClusterConfig, shrink: bool) -> int:
+    """To how many dimensions a group of n rows is reduced; 0: it is one cluster as it is."""
+    if n < 2 or (not shrink and n <= cfg.reduction_dimension + 1):
+        return 0
+    return max(1, min(cfg.reduction_dimension, n - 2)) if shrink else cfg.reduction_dimension
+
+
+def _fit_whole(rows: DataFrame, cfg: ClusterConfig, shrink: bool) -> DataFrame:
+    """(group, model, n_labels) of groups that fit a task: each slice of the sweep is a task, then the best number is fitted."""
+
+    def reduced(part: pd.DataFrame) -> tuple[object, np.ndarray]:
+        x = _vectors(part)
+        reducer = axes_of(scatter(x), _dims(len(x), cfg, shrink))
+        return reducer, reducer(x)
+
+    def sweep(part: pd.DataFrame) -> pd.DataFrame:
+        n, at = len(part), int(part.slice.iloc[0])
+        ks = [k for k in numbers(n, cfg.max_clusters) if k % SLICES == at] if _dims(n, cfg, shrink) else [1] * (at == 1)
+        bics = bic_sweep(reduced(part)[1], ks, cfg.seed) if ks and n > 1 and _dims(n, cfg, shrink) else [0.0] * len(ks)
+        return pd.DataFrame({"group": pd.Series([part.group.iloc[0]] * len(ks), dtype=object), "k": ks, "bic": bics})
+
+    def final(part: pd.DataFrame) -> pd.DataFrame:
+        k = int(part.k.iloc[0])
+        model = None
+        if _dims(len(part), cfg, shrink):
+            reducer, x = reduced(part)
+            model = (reducer, mixture_fit(x, k, 0))
+        return pd.DataFrame({"group": [part.group.iloc[0]], "model": [pickle.dumps(model)], "n_labels": [k]})
+
+    # a slice without a number to try would be an empty task
+    slices = F.explode(F.sequence(F.lit(0), F.least(F.greatest(F.col("n"), F.lit(2)), F.lit(SLICES)).cast("int") - 1))
+    tried = rows.withColumn("slice", slices).groupBy("group", "slice").applyInPandas(sweep, "group string, k int, bic double")
+    best = tried.groupBy("group").agg(F.min(F.struct(F.round("bic", 9).alias("bic"), "k"))["k"].alias("k"))
+    return rows.join(best, "group").groupBy("group").applyInPandas(final, "group string, model binary, n_labels int")
+
+
+def _totals(parts: DataFrame) -> DataFrame:
+    """Sums of arrays pickled in parts(group, salt, total), first in about the square root of a group's number of parts."""
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        each = [pickle.loads(t) for t in part.total]
+        total = [sum(xs) for xs in zip(*each, strict=True)]
+        return pd.DataFrame({"group": [part.group.iloc[0]], "total": [pickle.dumps(total)]})
+
+    return parts.groupBy("group", F.floor(F.sqrt("salt")).alias("s")).applyInPandas(add, "group string, total binary").groupBy("group").applyInPandas(add, "group string, total binary")
+
+
+def _points(rows: DataFrame, cfg: ClusterConfig, shrink: bool) -> tuple[DataFrame, DataFrame]:
+    """(group, total), the scatter of each group, and (group, salt, n, x), the reduced rows of each part, by node_index."""
+
+    def scattered(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"group": [part.group.iloc[0]], "salt": [int(part.salt.iloc[0])], "total": [pickle.dumps([scatter(_vectors(part))])]})
+
+    sums = stored(_totals(rows.groupBy("group", "salt").applyInPandas(scattered, "group string, salt int, total binary")))
+    salts = rows.select("group", "salt").distinct().join(sums, "group").select(F.col("group").alias("for_group"), F.col("salt").alias("for_salt"), "total")
+
+    def reduced(part: pd.DataFrame, total: pd.DataFrame) -> pd.DataFrame:
+        n = int(part.n.iloc[0])
+        (t,) = pickle.loads(total.total.iloc[0])
+        return pd.DataFrame({"group": [part.group.iloc[0]], "salt": [int(part.salt.iloc[0])], "n": [n], "x": [pickle.dumps(axes_of(t, _dims(n, cfg, shrink))(_vectors(part)))]})
+
+    return sums, stored(rows.groupBy("group", "salt").cogroup(salts.groupBy("for_group", "for_salt")).applyInPandas(reduced, "group string, salt int, n long, x binary"))
+
+
+def _fit_parts(rows: DataFrame, cfg: ClusterConfig, shrink: bool) -> DataFrame:
+    """(group, model, n_labels) of groups in several parts: the same sums, taken by passes over the parts."""
+    sums, points = _points(rows, cfg, shrink)
+
+    def settled(ks_of, seed: int) -> DataFrame:  # noqa: ANN001
+        """(group, n, runs, live) after all rounds; runs begin from centres of part 0, which is dealt by a hash."""
+
+        def begin(part: pd.DataFrame) -> pd.DataFrame:
+            x, n = pickle.loads(part.x.iloc[0]), int(part.n.iloc[0])
+            return pd.DataFrame({"group": [part.group.iloc[0]], "n": [n], "runs": [pickle.dumps([Run(k, centres_of(x, k, seed)) for k in ks_of(part, n)])], "live": [True]})
+
+        schema = "group string, n long, runs binary, live boolean"
+
+        def look(batches):  # noqa: ANN001, ANN202
+            for part in batches:
+                totals = [pickle.dumps(moments(pickle.loads(x), pickle.loads(r))) for x, r in zip(part.x, part.runs, strict=True)]
+                yield pd.DataFrame({"group": part.group, "salt": part.salt, "total": totals})
+
+        def step(state: pd.DataFrame, total: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for s in state.itertuples():
+                runs, got = pickle.loads(s.runs), pickle.loads(total.total.iloc[0]) if len(total) else []
+                d = (np.sqrt(8 * (got[0].shape[1] - 1) + 9) - 3) / 2 if got else 0
+                for r, t in zip([r for r in runs if not r.done], got, strict=True):
+                    advance(r, t, round(d))
+                out.append((s.group, s.n, pickle.dumps(runs), not all(r.done for r in runs)))
+            return pd.DataFrame(out, columns=["group", "n", "runs", "live"])
+
+        first = points.where("salt = 0")
+        state = stored((first.join(best, "group") if best is not None else first.withColumn("k", F.lit(0))).groupBy("group").applyInPandas(begin, schema))
+        while state.where("live").limit(1).count():
+            seen = points.select("group", "salt", "x").join(state.where("live").select("group", "runs"), "group").mapInPandas(look, "group string, salt int, total binary")
+            after = stored(state.groupBy("group").cogroup(_totals(seen).groupBy("group")).applyInPandas(step, schema))
+            drop(state)
+            state = after
+        return state
+
+    best = None
+    swept = settled(lambda part, n: numbers(n, cfg.max_clusters), cfg.seed)
+
+    def choose(frames):  # noqa: ANN001, ANN202
+        for f in frames:
+            ks = []
+            for n, runs in zip(f.n, map(pickle.loads, f.runs), strict=True):
+                ks.append(best_number([r.k for r in runs], [bic_of(r.likelihood, n, r.k, r.model.mean.shape[1]) for r in runs]))
+            yield pd.DataFrame({"group": f.group, "k": np.array(ks, np.int32)})
+
+    best = stored(swept.mapInPandas(choose, "group string, k int"))
+    fitted = settled(lambda part, n: [int(part.k.iloc[0])], 0)
+
+    def model(frames):  # noqa: ANN001, ANN202
+        for f in frames:
+            both = [(axes_of(pickle.loads(t)[0], _dims(int(n), cfg, shrink)), pickle.loads(r)[0].model) for n, r, t in zip(f.n, f.runs, f.total, strict=True)]
+            yield pd.DataFrame({"group": f.group, "model": [pickle.dumps(b) for b in both], "n_labels": np.array([b[1].k for b in both], np.int32)})
+
+    return fitted.join(sums, "group").mapInPandas(model, "group string, model binary, n_labels int")
+
+
+def _salted(rows: DataFrame, cfg: ClusterConfig) -> DataFrame:
+    """rows with their group's size and the part they are dealt to."""
+    sized = rows.join(rows.groupBy("group").agg(F.count("*").alias("n")), "group")
+    return sized.withColumn("salt", F.pmod(F.xxhash64("node_index", F.lit(cfg.seed)), F.ceil(F.col("n") / cfg.part_rows)).cast("int"))
+
+
+def reduced(rows: DataFrame, cfg: ClusterConfig) -> DataFrame:
+    """(group, node_index, reduced): rows(group, node_index, embedding) on their group's principal axes, which are fitted on all of its rows."""
+    salted = stored(_salted(rows, cfg))
+    sums, _ = _points(salted, cfg, True)
+
+    def project(part: pd.DataFrame, total: pd.DataFrame) -> pd.DataFrame:
+        (t,) = pickle.loads(total.total.iloc[0])
+        x = axes_of(t, max(1, _dims(int(part.n.iloc[0]), cfg, True)))(np.stack(part.embedding.to_numpy()).astype(float))
+        return pd.DataFrame({"group": part.group, "node_index": part.node_index, "reduced": list(x)})
+
+    salts = salted.select("group", "salt").distinct().join(sums, "group").select(F.col("group").alias("for_group"), F.col("salt").alias("for_salt"), "total")
+    return salted.groupBy("group", "salt").cogroup(salts.groupBy("for_group", "for_salt")).applyInPandas(project, "group string, node_index int, reduced array<double>")
 
 
 def soft_cluster(rows: DataFrame, cfg: ClusterConfig, shrink: bool) -> DataFrame:
@@ -27,37 +193,31 @@ def soft_cluster(rows: DataFrame, cfg: ClusterConfig, shrink: bool) -> DataFrame
     shrink: reduce to min(dim, n - 2) dimensions, as the global level does, and
     leave no group whole; else groups of at most dim + 1 rows are one cluster.
     """
-    sized = rows.join(rows.groupBy("group").agg(F.count("*").alias("n")), "group")
-    salted = sized.withColumn("salt", F.pmod(F.xxhash64("node_index", F.lit(cfg.seed)), F.ceil(F.col("n") / cfg.fit_rows)).cast("int"))
-    dim, most, seed = cfg.reduction_dimension, cfg.max_clusters, cfg.seed
+    salted = stored(_salted(rows, cfg))
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("node_index")
-        n = int(part.n.iloc[0])
-        x = np.stack(part.embedding.to_numpy()).astype(float)
-        if len(x) < 2 or (not shrink and n <= dim + 1):
-            model, k = None, 1
-        else:
-            reducer = reduce_fit(x, max(1, min(dim, n - 2)) if shrink else dim)
-            mixture = best_mixture(reducer(x), most, seed)
-            model, k = (reducer, mixture), mixture.k
-        return pd.DataFrame({"group": [part.group.iloc[0]], "model": [pickle.dumps(model)], "n_labels": [k]})
+    columns = ["group", "node_index", "label", "n_labels", "sure"]
 
     def assign(part: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
         if not len(part):
-            return pd.DataFrame({"group": [], "node_index": [], "label": [], "n_labels": []})
+            return pd.DataFrame({c: [] for c in columns})
         model, k = pickle.loads(models.model.iloc[0]), int(models.n_labels.iloc[0])
-        if model is None:
-            labels = [[0]] * len(part)
-        else:
-            labels = soft_labels(model[1].posterior(model[0](np.stack(part.embedding.to_numpy()).astype(float))), cfg.cluster_threshold)
-        out = [(g, i, int(j), k) for g, i, js in zip(part.group, part.node_index, labels, strict=True) for j in js]
-        return pd.DataFrame(out, columns=["group", "node_index", "label", "n_labels"])
+        labels, sure = [[0]] * len(part), True
+        if model is not None:
+            p = model[1].posterior(model[0](np.stack(part.embedding.to_numpy()).astype(float)))
+            labels, sure = soft_labels(p, cfg.cluster_threshold), bool((p > cfg.cluster_threshold).any())
+        out = [(str(g), i, int(j), k, sure) for g, i, js in zip(part.group, part.node_index, labels, strict=True) for j in js]
+        return pd.DataFrame(out, columns=columns)
 
     # the models are pickled by this job's own tasks and read by them alone
-    models = stored(salted.where("salt = 0").groupBy("group").applyInPandas(fit, "group string, model binary, n_labels int"))
+    small = F.col("n") <= cfg.part_rows
+    models = _fit_whole(salted.where(small), cfg, shrink)
+    if salted.where(~small).limit(1).count():
+        models = models.unionByName(_fit_parts(salted.where(~small), cfg, shrink))
+    models = stored(models)
     salts = salted.select("group", "salt").distinct().join(models, "group").select(F.col("group").alias("for_group"), F.col("salt").alias("for_salt"), "model", "n_labels")
-    return salted.groupBy("group", "salt").cogroup(salts.groupBy("for_group", "for_salt")).applyInPandas(assign, "group string, node_index int, label int, n_labels int")
+    said = stored(salted.groupBy("group", "salt").cogroup(salts.groupBy("for_group", "for_salt")).applyInPandas(assign, "group string, node_index int, label int, n_labels int, sure boolean"))
+    # a part whose rows have their likeliest label for want of any counts only if the whole group is so
+    return said.join(said.groupBy("group").agg(F.max("sure").alias("any")), "group").where("sure = any").select(*columns[:-1])
 
 
 def two_level(rows: DataFrame, cfg: ClusterConfig) -> DataFrame:
@@ -72,12 +232,22 @@ def two_level(rows: DataFrame, cfg: ClusterConfig) -> DataFrame:
     return local.join(offset, "group").select(F.col("outer").alias("group"), "node_index", (F.col("label") + F.col("offset")).alias("label")).distinct()
 
 
+def _cut(work: DataFrame, most: int) -> DataFrame:
+    """(group, node_index): groups cut into runs of node_index within the limit.  A node of over half the limit is alone; of all others a run begins with each half of the limit."""
+    alone = F.col("n_tokens") * 2 > most
+    before = F.sum(F.when(alone, 0).otherwise(F.col("n_tokens"))).over(Window.partitionBy("group").orderBy("node_index").rowsBetween(Window.unboundedPreceding, -1))
+    run = F.when(alone, F.format_string("n%010d", "node_index")).otherwise(F.format_string("r%010d", F.floor(F.coalesce(before, F.lit(0)) * 2 / most).cast("int")))
+    return work.select(F.concat_ws("/", "group", run).alias("group"), "node_index")
+
+
 def cluster_nodes(nodes: DataFrame, cfg: ClusterConfig) -> DataFrame:
     """(tree_id, cluster_id, node_index) for nodes(tree_id, node_index, n_tokens, embedding).
 
     A cluster of several nodes whose tokens exceed max_length_in_cluster is
     clustered again; one that does not come apart, or has at most dim + 1 nodes,
-    is cut into ranges of node_index instead, so that splitting always ends.
+    is cut into ranges of node_index instead.  What is over the limit still after
+    max_splits turns is cut by its running number of tokens, so that splitting
+    ends and no cluster of several nodes is over the limit.
     cluster_id numbers a tree's clusters in order of their labels.
     """
     work = nodes.select(F.format_string("%020d", "tree_id").alias("group"), "node_index", "n_tokens", "embedding")
@@ -102,13 +272,11 @@ def cluster_nodes(nodes: DataFrame, cfg: ClusterConfig) -> DataFrame:
             break
         work = stored(named.join(state.where("split").select("group", "stuck"), "group").select("group", "node_index", "n_tokens", "embedding", "stuck"))
     else:
-        done.append(work.select("group", "node_index"))
+        done.append(_cut(work, cfg.max_length_in_cluster))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     tree = F.split_part(F.col("group"), F.lit("/"), F.lit(1)).cast("long")
-    from pyspark.sql import Window
-
     ids = out.select("group").distinct().withColumn("tree_id", tree)
     ids = ids.withColumn("cluster_id", F.row_number().over(Window.partitionBy("tree_id").orderBy("group")) - 1)
     return out.join(ids, "group").select("tree_id", "cluster_id", "node_index")
@@ -125,6 +293,3 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes without a parent, below the top layer."""
     top = nodes.groupBy("tree_id").agg(F.max("layer").alias("top"))
     return nodes.join(edges, (nodes["tree_id"] == edges["tree_id"]) & (nodes["node_index"] == edges["child_index"]), "left_anti").join(top, "tree_id").where("layer < top").drop("top")
-
-
-

@@ -1,11 +1,20 @@
-"""Dimension reduction and Gaussian mixtures of one group's vectors, in numpy."""
+"""Dimension reduction and Gaussian mixtures, as sums over rows that can be taken part by part.
+
+Everything fitted here is a function of sums over a group's rows: a scatter
+matrix gives the axes, and each step of expectation-maximisation needs only the
+mass, sum and second moments of every component.  So a group in one task and a
+group in a thousand parts are fitted alike.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
+ROUNDS, TOLERANCE, RIDGE = 100, 1e-3, 1e-6
+
 
 @dataclass
 class Reducer:
@@ -22,16 +31,30 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def reduce_fit(x: np.ndarray, dim: int) -> Reducer:
-    u = _unit(x)
-    mean = u.mean(0)
-    _, _, vt = np.linalg.svd(u - mean, full_matrices=False)
-    axes = vt[: max(1, dim)]
+def scatter(x: np.ndarray) -> np.ndarray:
+    """Number, sum and second moments of unit rows, as one array that adds up."""
+    u = np.hstack((np.ones((len(x), 1)), _unit(x)))
+    return u.T @ u
+
+
+def axes_of(total: np.ndarray, dim: int) -> Reducer:
+    """The reducer of rows with this scatter."""
+    mean = total[0, 1:] / total[0, 0]
+    _, vectors = np.linalg.eigh(total[1:, 1:] / total[0, 0] - np.outer(mean, mean))
+    axes = vectors.T[::-1][: max(1, dim)]
     # a sign for each axis that doesn't hang on the solver
     sign = np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])
     return Reducer(mean, (axes * np.where(sign == 0, 1, sign)[:, None]).T)
 
 
+def reduce_fit(x: np.ndarray, dim: int) -> Reducer:
+    return axes_of(scatter(x), dim)
+
+
+def _blocks(n: int, size: int = 4096) -> Iterator[slice]:
+    return (slice(lo, lo + size) for lo in range(0, n, size))
+
+
 @dataclass
 class Mixture:
     weight: np.ndarray
@@ -43,28 +66,36 @@ class Mixture:
         return len(self.weight)
 
     def log_joint(self, x: np.ndarray) -> np.ndarray:
-        d = x.shape[1]
-        out = np.empty((len(x), self.k))
-        for j in range(self.k):
-            y = (x - self.mean[j]) @ self.chol[j]
-            out[:, j] = np.log(np.maximum(self.weight[j], 1e-300)) + np.log(np.maximum(np.diag(self.chol[j]), 1e-300)).sum() - 0.5 * (d * np.log(2 * np.pi) + (y * y).sum(1))
-        return out
+        k, d = self.mean.shape
+        flat = self.chol.transpose(1, 0, 2).reshape(d, k * d)
+        shift = np.einsum("kd,kde->ke", self.mean, self.chol).ravel()
+        y = (x @ flat - shift).reshape(len(x), k, d)
+        size = np.log(np.maximum(self.weight, 1e-300)) + np.log(np.maximum(np.einsum("kdd->kd", self.chol), 1e-300)).sum(1)
+        return size - 0.5 * (d * np.log(2 * np.pi) + np.einsum("nkd,nkd->nk", y, y))
 
     def posterior(self, x: np.ndarray) -> np.ndarray:
-        z = self.log_joint(x)
-        z = np.exp(z - z.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True)
+        return np.vstack([_shares(self.log_joint(x[b]))[0] for b in _blocks(len(x))]) if len(x) else np.zeros((0, self.k))
 
     def bic(self, x: np.ndarray) -> float:
-        z = self.log_joint(x)
-        top = z.max(1)
-        like = (np.log(np.exp(z - top[:, None]).sum(1)) + top).sum()
-        d = x.shape[1]
-        return float(-2 * like + (self.k * d + self.k * d * (d + 1) / 2 + self.k - 1) * np.log(len(x)))
+        return bic_of(sum(_shares(self.log_joint(x[b]))[1] for b in _blocks(len(x))), len(x), *self.mean.shape)
+
+
+def bic_of(likelihood: float, n: int, k: int, d: int) -> float:
+    """Of k full-covariance components in d dimensions, from a log likelihood over n rows."""
+    return float(-2 * likelihood + (k * d + k * d * (d + 1) / 2 + k - 1) * np.log(n))
 
 
-def _start(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Hard assignments by k-means from spread-out centres."""
+def _shares(z: np.ndarray) -> tuple[np.ndarray, float]:
+    """Responsibilities and the log likelihood of rows of log joints."""
+    top = z.max(1, keepdims=True)
+    e = np.exp(z - top)
+    total = e.sum(1, keepdims=True)
+    return e / total, float((np.log(total) + top).sum())
+
+
+def centres_of(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Centres of k-means from spread-out rows of x."""
+    rng = np.random.default_rng(seed)
     centre = x[[int(rng.integers(len(x)))]]
     far = ((x - centre[0]) ** 2).sum(1)
     for _ in range(1, k):
@@ -72,61 +103,106 @@ def _start(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
         c = x[int(rng.choice(len(x), p=p))]
         centre = np.vstack((centre, c))
         far = np.minimum(far, ((x - c) ** 2).sum(1))
-    home = np.zeros(len(x), np.int64)
+    home = None
     for _ in range(20):
-        new = ((x * x).sum(1)[:, None] - 2 * x @ centre.T + (centre * centre).sum(1)).argmin(1)
-        if (new == home).all() and _:
+        new = _nearest(x, centre)
+        if home is not None and (new == home).all():
             break
         home = new
-        for j in range(k):
-            if (home == j).any():
-                centre[j] = x[home == j].mean(0)
-    return home
+        n = np.bincount(home, minlength=k)
+        total = np.stack([np.bincount(home, x[:, c], k) for c in range(x.shape[1])], 1)
+        centre = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centre)
+    return centre
+
 
+def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return ((centre * centre).sum(1) - 2 * x @ centre.T).argmin(1)
 
-def mixture_fit(x: np.ndarray, k: int, seed: int, rounds: int = 100, tol: float = 1e-3, ridge: float = 1e-6) -> Mixture:
+
+@dataclass
+class Run:
+    """An expectation-maximisation run of k components: where it stands between two passes over the rows."""
+
+    k: int
+    centres: np.ndarray
+    model: Mixture | None = None  # None: rows belong to their nearest centre
+    likelihood: float = -np.inf
+    rounds: int = 0
+    done: bool = False
+
+
+def moments(x: np.ndarray, runs: list[Run]) -> list[np.ndarray]:
+    """For each run that isn't done, the log likelihood of rows x and the mass, sum and second moments of its components, as one array that adds up."""
+    live = [r for r in runs if not r.done]
+    d = x.shape[1]
+    at = np.triu_indices(d)
+    out = [np.zeros((r.k + 1, 1 + d + len(at[0]))) for r in live]
+    for b in _blocks(len(x)):
+        part = x[b]
+        own = np.hstack((np.ones((len(part), 1)), part, part[:, at[0]] * part[:, at[1]]))
+        for r, total in zip(live, out, strict=True):
+            if r.model is None:
+                share = np.zeros((len(part), r.k))
+                share[np.arange(len(part)), _nearest(part, r.centres)] = 1
+            else:
+                share, like = _shares(r.model.log_joint(part))
+                total[-1, 0] += like
+            total[:-1] += share.T @ own
+    return out
+
+
+def advance(run: Run, total: np.ndarray, d: int) -> None:
+    """Moves a run on by the moments of all rows; it is done when the mean log likelihood rests."""
+    body, n = total[:-1], total[:-1, 0].sum()
+    if run.model is not None:
+        before, run.likelihood = run.likelihood, float(total[-1, 0])
+        run.rounds += 1
+        if run.k == 1 or run.rounds >= ROUNDS or abs(run.likelihood - before) < TOLERANCE * n:
+            run.done = True
+            return
+    mass = body[:, 0] + 10 * np.finfo(float).eps
+    mean = body[:, 1 : 1 + d] / mass[:, None]
+    at = np.triu_indices(d)
+    cov = np.zeros((run.k, d, d))
+    cov[:, at[0], at[1]] = cov[:, at[1], at[0]] = body[:, 1 + d :] / mass[:, None]
+    cov -= np.einsum("kd,ke->kde", mean, mean)
+    cov += RIDGE * np.eye(d)
+    run.model = Mixture(mass / mass.sum(), mean, np.linalg.inv(np.linalg.cholesky(cov)).transpose(0, 2, 1))
+
+
+def run_out(x: np.ndarray, runs: list[Run]) -> list[Run]:
+    """Runs until all are done, over rows that are in one place."""
+    while not all(r.done for r in runs):
+        for r, total in zip([r for r in runs if not r.done], moments(x, runs), strict=True):
+            advance(r, total, x.shape[1])
+    return runs
+
+
+def mixture_fit(x: np.ndarray, k: int, seed: int) -> Mixture:
     """Full-covariance mixture by expectation-maximisation; one component is fitted in closed form."""
-    n, d = x.shape
-    r = np.zeros((n, k))
-    r[np.arange(n), _start(x, k, np.random.default_rng(seed))] = 1
-    last = -np.inf
-    model = None
-    for _ in range(rounds):
-        mass = r.sum(0) + 10 * np.finfo(float).eps
-        mean = (r.T @ x) / mass[:, None]
-        chol = np.empty((k, d, d))
-        for j in range(k):
-            y = x - mean[j]
-            cov = (r[:, j, None] * y).T @ y / mass[j] + ridge * np.eye(d)
-            chol[j] = np.linalg.inv(np.linalg.cholesky(cov)).T
-        model = Mixture(mass / mass.sum(), mean, chol)
-        z = model.log_joint(x)
-        top = z.max(1, keepdims=True)
-        each = np.log(np.exp(z - top).sum(1, keepdims=True)) + top
-        r = np.exp(z - each)
-        like = float(each.mean())
-        if k == 1 or abs(like - last) < tol:
-            break
-        last = like
-    return model
+    return run_out(x, [Run(k, centres_of(x, k, seed))])[0].model
+
+
+def numbers(n: int, max_clusters: int) -> range:
+    """The numbers of components that are tried for n rows: up to min(max_clusters, n) - 1, or 1 alone."""
+    return range(1, max(2, min(max_clusters, n)))
+
+
+def bic_sweep(x: np.ndarray, ks: list[int], seed: int = 224) -> list[float]:
+    """The BIC of each number of components."""
+    runs = run_out(x, [Run(k, centres_of(x, k, seed)) for k in ks])
+    return [bic_of(r.likelihood, len(x), r.k, x.shape[1]) for r in runs]
+
+
+def best_number(ks: list[int], bics: list[float]) -> int:
+    """The number of the least BIC, to nine decimals; the fewest if it ties."""
+    return min(zip((round(b, 9) for b in bics), ks, strict=True))[1]
 
 
 def best_mixture(x: np.ndarray, max_clusters: int = 50, seed: int = 224) -> Mixture:
-    """Of 1 to min(max_clusters, n) - 1 components, those of the least BIC, fewest if it ties, fitted once more from seed 0.  One row has one component.
-
-    The sweep stops once ten numbers in a row have not bettered the least BIC:
-    the penalty grows with every component, and full covariances make it steep.
-    """
-    least, best, since = np.inf, 1, 0
-    for k in range(1, max(2, min(max_clusters, len(x)))):
-        b = mixture_fit(x, k, seed).bic(x)
-        if b < least - 1e-9:
-            least, best, since = b, k, 0
-        else:
-            since += 1
-            if since >= 10:
-                break
-    return mixture_fit(x, best, 0)
+    """The mixture of the number with the least BIC of all that are tried, fitted once more from seed 0."""
+    ks = list(numbers(len(x), max_clusters))
+    return mixture_fit(x, best_number(ks, bic_sweep(x, ks, seed)), 0)
 
 
 def soft_labels(p: np.ndarray, threshold: float) -> list[list[int]]:

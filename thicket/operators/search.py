@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.functions.vectors import METRICS, cosine_distance, distance, dot, square
+from thicket.scratch import stored
 
 #: Queries are broadcast in blocks of so many, so that what is broadcast has a bound.
 BLOCK = 4096
@@ -17,13 +19,18 @@ BLOCK = 4096
 DIGITS = 12
 
 
+def key_of(rows: DataFrame) -> tuple[str, ...]:
+    """What names a node: its tree and its number there, or the number alone in tables without tree_id."""
+    return ("tree_id", "node_index") if "tree_id" in rows.columns else ("node_index",)
+
+
 def _against(queries: DataFrame, rows: DataFrame, score: Column) -> DataFrame:
     """Every query with every row, and its score: the stated queries go to the rows in blocks of a bounded size, rows stay where they are."""
     n = queries.count()
     if n <= BLOCK:
         return rows.join(F.broadcast(queries), how="cross").withColumn("score", score)
     blocks = -(-n // BLOCK)
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    numbered = stored(queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
     parts = [rows.join(F.broadcast(numbered.where(F.col("_block") == b).drop("_block")), how="cross").withColumn("score", score) for b in range(blocks)]
     out = parts[0]
     for p in parts[1:]:
@@ -32,19 +39,20 @@ def _against(queries: DataFrame, rows: DataFrame, score: Column) -> DataFrame:
 
 
 def scored(queries: DataFrame, rows: DataFrame, metric: str = "cosine") -> DataFrame:
-    """(query_id, node_index, score) for queries(query_id, query) and rows(node_index, embedding): a distance, or the inner product, negated, so that less is nearer."""
+    """(query_id, the node's key, score) for queries(query_id, query) and rows(key, embedding): a distance, or the inner product, negated, so that less is nearer."""
+    key = key_of(rows)
     q, e = F.col("query"), F.col("embedding")
     if metric == "cosine":
         queries, rows = queries.withColumn("_nq", square(q)), rows.withColumn("_ne", square(e))
         score = cosine_distance(q, e, F.col("_nq"), F.col("_ne"))
     else:
         score = -dot(q, e) if metric == "inner_product" else distance(q, e, metric)
-    return _against(queries, rows, F.round(score, DIGITS)).select("query_id", "node_index", "score")
+    return _against(queries, rows, F.round(score, DIGITS)).select("query_id", *key, "score")
 
 
 def ranked(pairs: DataFrame, k: int | None = None) -> DataFrame:
-    """pairs with rk, 1 for the nearest of a query, ties by node_index; only the first k, which Spark cuts before the shuffle."""
-    out = pairs.withColumn("rk", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "node_index")))
+    """pairs with rk, 1 for the nearest of a query, ties by key; only the first k, which Spark cuts before the shuffle."""
+    out = pairs.withColumn("rk", F.row_number().over(Window.partitionBy("query_id").orderBy("score", *key_of(pairs))))
     return out if k is None else out.where(F.col("rk") <= k)
 
 
@@ -64,62 +72,67 @@ def block_scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return apart.sum(2) if metric == "L1" else apart.max(2) if metric == "Linf" else np.sqrt((apart * apart).sum(2))
 
 
+def _best(s: np.ndarray, keys: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) numbers of the k least scores of each query, ties by the rows' keys."""
+    if s.shape[1] <= k:
+        return np.divmod(np.arange(s.size), s.shape[1])
+    edge = np.partition(np.nan_to_num(s, nan=np.inf), k - 1, axis=1)[:, k - 1]
+    i, j = np.nonzero(~(s > edge[:, None]))
+    order = np.lexsort((*(x[j] for x in reversed(keys)), s[i, j], i))
+    i, j = i[order], j[order]
+    near = np.arange(len(i)) - np.searchsorted(i, np.arange(len(s)))[i] < k
+    return i[near], j[near]
+
+
 def top_k(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, node_index, score, rk): the k nearest rows of each query, ties by node_index; with the rows' columns ``carry``.
+    """(query_id, the node's key, score, rk): the k nearest rows of each query, ties by key; with the rows' columns ``carry``.
 
-    Queries, in blocks of a bounded size, go to the rows.  Every Arrow batch of
-    rows is scored as one matrix product and gives its own k best; only these
-    are shuffled, by query.  Rows and queries without a vector are left out.
+    A row's key is (tree_id, node_index), or node_index where rows have no
+    tree_id.  Queries, in blocks of a bounded size, go to the rows.  Every Arrow
+    batch of rows is scored as one matrix product and gives its own k best; only
+    these are shuffled, by query.  Rows and queries without a vector are left out.
     """
     if metric not in (*METRICS, "inner_product"):
         raise ValueError(f"unknown metric {metric!r}; supported are {', '.join(METRICS)} and inner_product")
+    key = key_of(rows)
     queries = queries.where("query is not null").select("query_id", "query")
     first = queries.limit(BLOCK + 1).toArrow()  # most often these are all
-    blocks = 1 if first.num_rows <= BLOCK else -(-queries.count() // BLOCK)
+    blocks = 1
+    if first.num_rows > BLOCK:  # embedded once, then read block by block
+        queries = stored(queries)
+        blocks = -(-queries.count() // BLOCK)
+    own = rows.select(*key, "embedding", *carry)
+    kinds = ", ".join([f"query_id {queries.schema['query_id'].dataType.simpleString()}", *(f"{c} {own.schema[c].dataType.simpleString()}" for c in key), "score double", *(f"{c} {own.schema[c].dataType.simpleString()}" for c in carry)])
     parts = []
     for b in range(blocks):
         took = first if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
         took = took.combine_chunks()
         if not took.num_rows:
             continue
-        ids, q = took.column("query_id").to_numpy(), _matrix(took.column("query").combine_chunks())
-        shared = rows.sparkSession.sparkContext.broadcast((ids, q))
+        shared = rows.sparkSession.sparkContext.broadcast((took.column("query_id").combine_chunks(), _matrix(took.column("query").combine_chunks())))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             ids, q = shared.value
             wide = metric in ("L1", "L2", "Linf")
             step = max(1, (1 << 22) // max(1, len(q) * (q.shape[1] if wide else 1)))
             for batch in batches:
-                batch = batch.filter(batch.column(1).is_valid())
+                batch = batch.filter(batch.column(len(key)).is_valid())
                 for lo in range(0, batch.num_rows, step):
-                    node = batch.column(0).slice(lo, step).to_numpy()
-                    s = np.round(block_scores(q, _matrix(batch.column(1).slice(lo, step)), metric), DIGITS)
-                    if s.shape[1] > k:
-                        edge = np.partition(np.nan_to_num(s, nan=np.inf), k - 1, axis=1)[:, k - 1]
-                        i, j = np.nonzero(~(s > edge[:, None]))
-                        order = np.lexsort((node[j], s[i, j], i))
-                        i, j = i[order], j[order]
-                        first = np.searchsorted(i, np.arange(len(q)))
-                        near = np.arange(len(i)) - first[i] < k
-                        i, j = i[near], j[near]
-                    else:
-                        i, j = np.divmod(np.arange(s.size), s.shape[1])
-                    more = [batch.column(2 + c).slice(lo, step).take(pa.array(j)) for c in range(len(carry))]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(node[j]), pa.array(s[i, j]), *more], ["query_id", "node_index", "score", *carry])
-
-        own = rows.select("node_index", "embedding", *carry)
-        kinds = ", ".join([f"query_id {queries.schema['query_id'].dataType.simpleString()}", f"node_index {own.schema['node_index'].dataType.simpleString()}", "score double", *(f"{c} {own.schema[c].dataType.simpleString()}" for c in carry)])
+                    part = batch.slice(lo, step)
+                    keys = [part.column(c).fill_null(-1).to_numpy(zero_copy_only=False) for c in range(len(key))]
+                    s = np.round(block_scores(q, _matrix(part.column(len(key))), metric), DIGITS)
+                    i, j = _best(s, keys, k)
+                    at = pa.array(j)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), *(part.column(c).take(at) for c in range(len(key))), pa.array(s[i, j]), *(part.column(len(key) + 1 + c).take(at) for c in range(len(carry)))], ["query_id", *key, "score", *carry])
+
         parts.append(own.mapInArrow(run, kinds))
     if not parts:
-        return ranked(scored(queries, rows, metric), k).join(rows.select("node_index", *carry), "node_index")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return ranked(out, k)
+        return ranked(rows.sparkSession.createDataFrame([], kinds), k)
+    return ranked(reduce(DataFrame.unionByName, parts), k)
 
 
 def beyond(queries: DataFrame, rows: DataFrame, threshold: float, metric: str = "cosine") -> DataFrame:
-    """(query_id, node_index, score, rk): the rows *farther* than a threshold, nearest first, as threshold selection is defined."""
+    """(query_id, the node's key, score, rk): the rows *farther* than a threshold, nearest first, as threshold selection is defined."""
     return ranked(scored(queries, rows, metric).where(F.col("score") > threshold))
 
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.config import ClusterConfig
+from thicket.config import ClusterConfig, TreeConfig
 from thicket.functions.text import context, token_count
 from thicket.models import embed, summarize
 from thicket.operators.chunk import chunks
-from thicket.operators.cluster import cluster_nodes
+from thicket.operators.cluster import MixtureClustering
 from thicket.operators.search import beyond, top_k
 from thicket.plans.tree import Tree
 from thicket.scratch import stored
@@ -38,7 +39,7 @@ def _embedded(nodes: DataFrame, cfg: ClusterConfig) -> DataFrame:
 
 
 def leaves(docs: DataFrame, cfg: ClusterConfig) -> DataFrame:
-    """Layer 0 of each docs(tree_id, text)."""
+    """Layer 0 of each docs(tree_id, text); each row is a tree."""
     return chunks(docs, cfg.max_tokens, 0, cfg.encode).select("tree_id", F.lit(0).alias("layer"), F.col("chunk_index").alias("node_index"), "text", "n_tokens")
 
 
@@ -58,6 +59,10 @@ def build_tree(docs: DataFrame, cfg: ClusterConfig | None = None) -> Tree:
     shared folder before the next begins; the driver sees one count a layer.
     """
     cfg = cfg or ClusterConfig()
+    clustering = cfg.clustering_algorithm or MixtureClustering()
+    twice = docs.groupBy("tree_id").agg(F.count("*").alias("n")).where("n > 1").select("tree_id").limit(5).collect()
+    if twice:
+        raise ValueError(f"each row of docs is a tree, but several have the tree_id {', '.join(str(r[0]) for r in twice)}")
     now = stored(leaves(docs, cfg))
     vectors = stored(_embedded(now, cfg))
     all_nodes, all_vectors, all_edges = [now], [vectors], []
@@ -67,7 +72,7 @@ def build_tree(docs: DataFrame, cfg: ClusterConfig | None = None) -> Tree:
         if not tall.limit(1).count():
             break
         work = live.join(tall, "tree_id", "left_semi").join(vectors.where(F.col("model") == cfg.cluster_embedding_model).select("tree_id", "node_index", "embedding"), ["tree_id", "node_index"])
-        found = stored(cluster_nodes(work.select("tree_id", "node_index", "n_tokens", "embedding"), cfg))
+        found = stored(clustering.perform_clustering(work.select("tree_id", "node_index", "n_tokens", "embedding"), cfg, **cfg.clustering_params))
         base = reduce(DataFrame.unionByName, all_nodes).groupBy("tree_id").agg(F.count("*").alias("base"))
         numbers = stored(number_parents(found, base))
         texts = found.join(live.select("tree_id", "node_index", "text"), ["tree_id", "node_index"]).groupBy("tree_id", "cluster_id").agg(context(F.col("text"), F.col("node_index")).alias("context"))
@@ -87,9 +92,26 @@ def build_tree(docs: DataFrame, cfg: ClusterConfig | None = None) -> Tree:
 def neighbours(nodes: DataFrame, mode: str = "top_k", k: int = 5, threshold: float = 0.5) -> DataFrame:
     """(node_index, neighbour, score, rk): for each of nodes(node_index, embedding) its neighbours among all of them, itself included."""
     queries = nodes.select(F.col("node_index").alias("query_id"), F.col("embedding").alias("query"))
-    out = top_k(queries, nodes, k) if mode == "top_k" else beyond(queries, nodes, threshold)
+    rows = nodes.select("node_index", "embedding")
+    out = top_k(queries, rows, k) if mode == "top_k" else beyond(queries, rows, threshold)
     return out.select(F.col("query_id").alias("node_index"), F.col("node_index").alias("neighbour"), "score", "rk")
 
 
+class TreeBuilder(ABC):
+    """What an engine builds trees with; users' own builders derive from it and are named in BUILDERS."""
+
+    def __init__(self, cfg: TreeConfig):
+        self.cfg = cfg
+
+    @abstractmethod
+    def build(self, docs: DataFrame) -> Tree:
+        """The trees of docs(tree_id, text)."""
+
+
+class ClusterTreeBuilder(TreeBuilder):
+    def build(self, docs: DataFrame) -> Tree:
+        return build_tree(docs, self.cfg)
+
+
 #: Builders by name.
-BUILDERS = {"cluster": build_tree}
+BUILDERS: dict[str, type[TreeBuilder]] = {"cluster": ClusterTreeBuilder}

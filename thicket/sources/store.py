@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.errors import AnalysisException
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from thicket.plans.tree import PARTS, Tree
 
@@ -23,15 +24,16 @@ def save_tree(tree: Tree, path: str) -> None:
 
 
 def load_tree(spark: SparkSession, path: str) -> Tree:
-    """A saved tree; ValueError if it can't be read or has other columns.  Nothing is unpickled."""
-    found = []
-    for name, schema in PARTS.items():
-        want = _parse_datatype_string(schema)
-        try:
-            df = spark.read.parquet(f"{path}/{name}")
-        except Exception as e:
-            raise ValueError(f"can't load a tree from {path}: {e}") from e
-        if not {(f.name, f.dataType.simpleString()) for f in want} <= set(df.dtypes):
-            raise ValueError(f"can't load a tree from {path}: {name} has columns {df.dtypes}")
-        found.append(df.select(*want.names))
-    return Tree(*found)
+    """A saved tree; ValueError if a part of it isn't there or has other columns.  Nothing is unpickled."""
+    return Tree(*(_part(spark, f"{path}/{name}", _parse_datatype_string(schema)) for name, schema in PARTS.items()))
+
+
+def _part(spark: SparkSession, path: str, want: StructType) -> DataFrame:
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException as e:
+        raise ValueError(f"{path} holds no part of a saved tree") from e
+    lacks = {(f.name, f.dataType.simpleString()) for f in want} - set(df.dtypes)
+    if lacks:
+        raise ValueError(f"{path} lacks the columns {sorted(lacks)}")
+    return df.select(*want.names)
