@@ -46,11 +46,42 @@ class Pieces:
     chars: np.ndarray  # sorted code points that are pieces
     char_ids: np.ndarray
     byte_ids: np.ndarray
-    pairs: np.ndarray
-    merged: np.ndarray
+    slots: np.ndarray  # packed pairs by hash, each at its slot or behind it; -1 where free
+    merged: np.ndarray  # by slot
     rank: np.ndarray
     space: int
 
+    def look(self, pair: np.ndarray) -> np.ndarray:
+        """The slot of each packed pair; a free one for a pair that is no merge."""
+        at = (_slot(pair) & (len(self.slots) - 1)).astype(np.int64)
+        there = self.slots[at]
+        on = np.flatnonzero((there != pair) & (there >= 0))
+        while len(on):
+            at[on] = (at[on] + 1) & (len(self.slots) - 1)
+            there = self.slots[at[on]]
+            on = on[(there != pair[on]) & (there >= 0)]
+        return at
+
+
+def _slot(pair: np.ndarray) -> np.ndarray:
+    return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+
+
+def _slotted(pairs: np.ndarray, merged: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Open addressing with linear probing, at most an eighth full."""
+    size = 1 << max(4, (8 * len(pairs)).bit_length())
+    slots, m, r = np.full(size, -1, np.int64), np.zeros(size, np.int32), np.full(size, _NONE, np.int32)
+    at = (_slot(pairs) & np.uint64(size - 1)).astype(np.int64)
+    left = np.arange(len(pairs))
+    while len(left):
+        free = left[slots[at[left]] < 0]
+        _, first = np.unique(at[free], return_index=True)
+        put = free[first]
+        slots[at[put]], m[at[put]], r[at[put]] = pairs[put], merged[put], rank[put]
+        left = np.setdiff1d(left, put)
+        at[left] = (at[left] + 1) & (size - 1)
+    return slots, m, r
+
 
 def load(path: str = MODEL) -> Pieces:
     """Reads a SentencePiece BPE model; on the driver, so that executors need no copy of the file."""
@@ -70,11 +101,11 @@ def load(path: str = MODEL) -> Pieces:
     order = {i: r for r, i in enumerate(sorted(plain.values(), key=lambda i: (-sp.get_score(i), i)))}
     pairs = {(plain[p[:k]], plain[p[k:]]): i for p, i in plain.items() for k in range(1, len(p)) if p[:k] in plain and p[k:] in plain}
     key = np.array([a * n + b for a, b in pairs], np.int64)
-    at = np.argsort(key)
-    merged = np.array(list(pairs.values()), np.int32)[at]
+    merged = np.array(list(pairs.values()), np.int32)
+    table = _slotted(key, merged, np.array([order[i] for i in merged.tolist()], np.int32))
     singles = sorted((ord(p), i) for p, i in plain.items() if len(p) == 1 and p != SPACE)
     flat = b"".join(out)
-    return Pieces(np.frombuffer(flat, np.uint8), np.cumsum([0, *map(len, out)]), np.array([c for c, _ in singles]), np.array([i for _, i in singles], np.int32), bytes_of, key[at], merged, np.array([order[i] for i in merged.tolist()], np.int32), plain[SPACE])
+    return Pieces(np.frombuffer(flat, np.uint8), np.cumsum([0, *map(len, out)]), np.array([c for c, _ in singles]), np.array([i for _, i in singles], np.int32), bytes_of, *table, plain[SPACE])
 
 
 def gather(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,38 +126,41 @@ def first_symbols(v: Pieces, words: np.ndarray, offsets: np.ndarray) -> tuple[np
     c = b[at]
     code = np.where(size == 1, c, np.where(size == 2, (c & 31) << 6 | b[at + 1] & 63, np.where(size == 3, (c & 15) << 12 | (b[at + 1] & 63) << 6 | b[at + 2] & 63, (c & 7) << 18 | (b[at + 1] & 63) << 12 | (b[at + 2] & 63) << 6 | b[at + 3] & 63)))
     place = np.minimum(np.searchsorted(v.chars, code), len(v.chars) - 1)
-    known = v.chars[place] == code
-    ids = np.where(known, v.char_ids[place], -1)
+    ids = np.where(v.chars[place] == code, v.char_ids[place], -1)
     ids[code == 32] = v.space
-    owner = np.searchsorted(offsets, at, "right") - 1
+    begins = np.zeros(len(words) + 1, np.int32)
+    np.add.at(begins, offsets[:-1], 1)
+    owner = np.cumsum(begins[:-1])[at].astype(np.int32) - np.int32(1)
+    if (ids >= 0).all():
+        return ids, owner
     spelled = np.where(ids >= 0, 1, size)
     out = np.repeat(ids, spelled)
     where = np.repeat(at, spelled) + np.arange(len(out)) - np.repeat(np.cumsum(spelled) - spelled, spelled)
-    return np.where(out >= 0, out, v.byte_ids[words[where]]).astype(np.int64), np.repeat(owner, spelled)
+    return np.where(out >= 0, out, v.byte_ids[words[where]]), np.repeat(owner, spelled)
 
 
 def merge(v: Pieces, ids: np.ndarray, owner: np.ndarray, key: np.ndarray, how: Dropout) -> tuple[np.ndarray, np.ndarray]:
-    """Ids after all merges, and their words' bounds; key: a hash of each word, of its document and its number there."""
+    """Ids after all merges, and their words' bounds; ids: a word's first symbols; key: a hash of each word, of its document and its number there."""
     n_words, n_pieces = len(key), len(v.offsets) - 1
-    place = np.arange(len(ids))
     done_ids, done_owner, done_place = [], [], []
     limit = np.uint64(min((1 << 64) - 1, int(how.rate * 2.0**64)))
+    ids = ids.astype(np.int32)
 
     def look(left: np.ndarray, right: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pair = left * n_pieces + right
-        k = np.minimum(np.searchsorted(v.pairs, pair), len(v.pairs) - 1)
-        there = v.pairs[k] == pair
+        """Rank and piece of each candidate merge, _NONE where there is none or it is skipped."""
+        slot = v.look(left.astype(np.int64) * n_pieces + right)
+        rank, into = v.rank[slot], v.merged[slot]
         if how.rate > 0:
-            i = np.flatnonzero(there)
-            skip = keyed(key[word[i]] + (at[i].astype(np.uint64) << np.uint64(32)) + v.merged[k[i]].astype(np.uint64), how.seed) < limit
-            there[i[skip]] = False
-        return np.where(there, v.rank[k], _NONE), np.where(there, v.merged[k], 0)
+            i = np.flatnonzero(rank < _NONE)
+            skip = keyed(key[word[i]] + (at[i].astype(np.uint64) << np.uint64(32)) + into[i].astype(np.uint64), how.seed) < limit
+            rank[i[skip]] = _NONE
+        return rank, into
 
-    begin = np.searchsorted(owner, np.arange(n_words + 1))
-    place = place - begin[owner]  # the place of a symbol's first character in its word
+    begin = np.searchsorted(owner, np.arange(n_words + 1)).astype(np.int32)
+    place = np.arange(len(ids), dtype=np.int32) - begin[owner]  # the place of a symbol's first character in its word
     rank = np.full(len(ids), _NONE, np.int32)
-    into = np.zeros(len(ids), np.int64)
-    inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(ids) else np.zeros(0, np.int64)
+    into = np.zeros(len(ids), np.int32)
+    inner = np.flatnonzero(owner[1:] == owner[:-1])
     rank[inner], into[inner] = look(ids[inner], ids[inner + 1], owner[inner], place[inner])
     while len(ids):
         heads = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
@@ -150,21 +184,26 @@ def merge(v: Pieces, ids: np.ndarray, owner: np.ndarray, key: np.ndarray, how: D
         ids[hit] = into[hit]
         keep = np.ones(len(ids), bool)
         keep[hit + 1] = False
-        moved = np.cumsum(keep) - 1
-        hit = moved[hit]
+        hit = hit - np.arange(len(hit))  # one symbol is gone before each later hit
         ids, owner, place, rank, into = ids[keep], owner[keep], place[keep], rank[keep], into[keep]
-        redo = np.union1d(hit, hit[(hit > 0)] - 1)
-        has_next = np.zeros(len(redo), bool)
-        inside = redo + 1 < len(ids)
-        has_next[inside] = owner[redo[inside]] == owner[redo[inside] + 1]
-        rank[redo] = _NONE
-        redo = redo[has_next]
+        # only pairs at a merged symbol are looked up again: with the one behind it, and with the one before
+        rank[hit] = _NONE
+        after = hit[hit + 1 < len(ids)]
+        after = after[owner[after] == owner[after + 1]]
+        before = hit[hit > 0] - 1
+        before = before[owner[before] == owner[before + 1]]
+        redo = np.concatenate((before, after))
         rank[redo], into[redo] = look(ids[redo], ids[redo + 1], owner[redo], place[redo])
     if not done_ids:
         return np.zeros(0, np.int32), np.zeros(n_words + 1, np.int64)
     ids, owner, place = (np.concatenate(x) for x in (done_ids, done_owner, done_place))
-    order = np.lexsort((place, owner))
-    return ids[order].astype(np.int32), np.searchsorted(owner[order], np.arange(n_words + 1))
+    # a symbol's place in the whole is its word's, then its own: each has one, so that they are dealt out rather than sorted
+    spot = np.zeros(begin[-1] + 1, bool)
+    at = begin[owner] + place
+    spot[at] = True
+    order = np.empty(len(ids), np.int32)
+    order[(np.cumsum(spot) - 1)[at]] = ids
+    return order, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n_words))))
 
 
 class Encoder:
@@ -236,7 +275,7 @@ def decode(v: Pieces, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     return data[keep], offsets - lead
 
 
-def _slices(col: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _slices(col: pa.Array, size: int = 1 << 17) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = buffers(col)
     at, n = 0, len(offsets) - 1
     while at < n:
