@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import DOCS, components, near_copies, shingles
 from thicket.llm.cell_dedup import Cells, deduplicate
-from thicket.llm.components import components as stars
+from thicket.llm.components import components as stars, forest
 from thicket.llm.token_group_join import NEAR, Similarity, classify, keep_one, opened
 
 
@@ -69,7 +69,7 @@ def test_stars(spark):
     assert stars(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("how", [Cells(), Cells(members=20, block=16, sample=100)])
+@pytest.mark.parametrize("how", [Cells(), Cells(members=20, block=16, sample=100), Cells(members=10, branch=3, gain=9.0, block=7, sample=40)])
 def test_cells_equal_all_pairs(spark, how):
     rng = np.random.default_rng(1)
     centre = rng.normal(size=(12, 16))
@@ -104,3 +104,28 @@ def test_cells_edges(spark):
     assert deduplicate(spark.createDataFrame([], schema)).count() == 0
     got = deduplicate(spark.createDataFrame([(1, [1.0], 0, 5), (1, [1.0], 0, 5), (None, [1.0], 0, 5)], schema)).collect()
     assert sorted((r.vec_id or -1, r.n_links) for r in got) == [(-1, 0), (1, 1), (1, 1)]
+
+
+def test_cells_give_a_row_for_each_vector(spark):
+    x = [float(i % 5) + 1 for i in range(8)]
+    rows = [(1, x, 0), (1, None, 0), (1, x, None), (2, [0.0] * 8, 0), (2, [v * 1e200 for v in x], 0), (3, [v * 1e-200 for v in x], 0), (4, [v * 5e-324 for v in x], 0), (None, x, 0), (5, [1e308] * 8, 1), (6, [1e308] * 7 + [0.0], 1)]
+    got = sorted(((-1 if r.vec_id is None else r.vec_id, r.n_links, r.component_id) for r in deduplicate(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=str)
+    assert len(got) == len(rows)
+    assert [r for r in got if r[0] in (1, 2, 3, 4)] == [(1, 0, 1), (1, 0, 1), (1, 3, 1), (2, 0, 2), (2, 3, 1), (3, 3, 1), (4, 3, 1)]
+    assert (5, 0, 5) in got and (6, 0, 6) in got and (-1, 0, None) in got
+
+
+def test_forest_is_that_of_links_taken_in_order():
+    rng = np.random.default_rng(8)
+    for n, m in ((1, 0), (5, 3), (40, 30), (40, 400), (300, 280)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        parent, want = list(range(n)), []
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            while parent[x] != x:
+                x = parent[x]
+            while parent[y] != y:
+                y = parent[y]
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                want.append(i)
+        assert forest(n, a, b).tolist() == want

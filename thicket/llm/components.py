@@ -10,18 +10,34 @@ from thicket.scratch import drop, stored
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Numbers of the links (a[i], b[i]) that join two trees, of n nodes, when taken in order."""
-    parent = list(range(n))
-    keep = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            keep.append(i)
-    return np.array(keep, np.int64)
+    """Numbers of the links (a[i], b[i]) that join two trees, of n nodes, when taken in order.
+
+    All trees at once, round by round, take the first link that leaves them; as
+    links differ by number, these are the ones that taking all in order would keep.
+    """
+    home, keep = np.arange(n), np.zeros(len(a), bool)
+    left = np.arange(len(a))
+    while True:
+        x, y = home[a[left]], home[b[left]]
+        out = x != y
+        left, x, y = left[out], x[out], y[out]
+        if not len(left):
+            return np.flatnonzero(keep)
+        first = np.full(n, len(a))
+        np.minimum.at(first, x, left)
+        np.minimum.at(first, y, left)
+        took = np.unique(first[first < len(a)])
+        keep[took] = True
+        x, y = home[a[took]], home[b[took]]
+        while True:  # trees that meet get the least number among them
+            low = np.minimum(home[x], home[y])
+            was = home.copy()
+            np.minimum.at(home, home[x], low)
+            np.minimum.at(home, home[y], low)
+            while (home != home[home]).any():
+                home = home[home]
+            if (home == was).all():
+                break
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

@@ -10,18 +10,21 @@ and reruns, retries and other layouts cut alike.
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.llm.wordgrid import Texts, buffers, column, give_back, is_space, keyed, mix
 from thicket.scratch import small_batches
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The vocabulary file, read on the driver; another can be named in the environment.
+MODEL = os.environ.get("THICKET_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 _NONE = np.iinfo(np.int32).max
 #: SentencePiece writes a space as this character; in a text it is spelled in bytes.
 SPACE = "▁"
@@ -50,6 +53,7 @@ class Pieces:
     merged: np.ndarray  # by slot
     rank: np.ndarray
     space: int
+    name: str  # of the vocabulary, by its content
 
     def look(self, pair: np.ndarray) -> np.ndarray:
         """The slot of each packed pair; a free one for a pair that is no merge."""
@@ -105,7 +109,8 @@ def load(path: str = MODEL) -> Pieces:
     table = _slotted(key, merged, np.array([order[i] for i in merged.tolist()], np.int32))
     singles = sorted((ord(p), i) for p, i in plain.items() if len(p) == 1 and p != SPACE)
     flat = b"".join(out)
-    return Pieces(np.frombuffer(flat, np.uint8), np.cumsum([0, *map(len, out)]), np.array([c for c, _ in singles]), np.array([i for _, i in singles], np.int32), bytes_of, *table, plain[SPACE])
+    name = hashlib.sha256(repr((sorted(pairs.items()), singles, out)).encode()).hexdigest()
+    return Pieces(np.frombuffer(flat, np.uint8), np.cumsum([0, *map(len, out)]), np.array([c for c, _ in singles]), np.array([i for _, i in singles], np.int32), bytes_of, *table, plain[SPACE], name)
 
 
 def gather(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,15 +301,21 @@ def _who(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return out
 
 
-def _encoder(shared, how: Dropout, held: dict = {}) -> Encoder:  # noqa: ANN001, B006
+def _encoder(pieces: Pieces, how: Dropout, held: dict = {}) -> Encoder:  # noqa: B006
     """A worker's encoder, kept between its tasks."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), how)
+    key = (pieces.name, how)
     if key not in held:
         held.clear()
-        held[key] = Encoder(shared.value, how)
+        held[key] = Encoder(pieces, how)
     return held[key]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _copy, a number for each of the rows that are equal in doc_id and text, and _at, a row's place, by which the order of docs can be had again."""
+    placed = docs.withColumn("_at", F.monotonically_increasing_id())
+    return placed.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("_at")) - 1)
+
+
 def encoded(docs: DataFrame, keep: list[str], how: Dropout = Dropout(), path: str = MODEL) -> DataFrame:
     """docs' columns ``keep``, then ids array<int>, a row for each row of docs.
 
@@ -321,7 +332,7 @@ def encoded(docs: DataFrame, keep: list[str], how: Dropout = Dropout(), path: st
     schema = ", ".join([*(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names, strict=True)), "ids array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(shared, how)
+        enc = _encoder(shared.value, how)
         for batch in batches:
             who = _who(batch, [f"_by_{c}" for c in by])
             for lo, hi, data, offsets in _slices(column(batch, "_text")):
@@ -357,13 +368,15 @@ def decoded(rows: DataFrame, keep: list[str], path: str = MODEL) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, how: Dropout = Dropout(), path: str = MODEL) -> DataFrame:
-    """(doc_id, n_chars, n_tokens, ids_sha256, lossless): every text, encoded and decoded again where it lies; ids_sha256 is over the ids as little-endian int32."""
-    import hashlib
+    """(doc_id, n_chars, n_tokens, ids_sha256, lossless), a row for each row of docs: every text, encoded and decoded again where it lies; ids_sha256 is over the ids as little-endian int32.
 
+    A null text counts as an empty one.  Rows equal in id and text are cut
+    alike.  An empty table gives an empty result.  Other columns are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(shared, how)
+        enc = _encoder(shared.value, how)
         for batch in batches:
             who = _who(batch, ["doc_id"])
             for lo, hi, data, offsets in _slices(column(batch, "text")):
