@@ -494,16 +494,58 @@ def test_blocks():
         html_crf.blocks(bad)
 
 
-def test_held_out_pages():
+@pytest.mark.parametrize(("unnamed", "most"), [(0.0, 0.02), (0.33, 0.035), (1.0, 0.07)])
+def test_held_out_pages(unnamed, most):
     chain = html_crf.trained()
     wrong = total = 0
-    for page, labels in html_crf.labelled_pages(150, seed=77):
+    for page, labels in html_crf.labelled_pages(150, 77, unnamed):
         found = html_crf.blocks(page)
         assert len(found) == len(labels)
         got = html_crf.viterbi(chain, [chain.numbers(found)])[0]
         wrong += int((got != np.array(labels)).sum())
         total += len(labels)
-    assert wrong <= 0.02 * total
+    assert wrong <= most * total
+
+
+def test_elements_without_text_end_where_they_should():
+    said = lambda page: [b.text for b in html_crf.blocks(page)]
+    for gone in ('<object data="x"/>', "<svg/>", "<svg><path d='M0'/><text>no</text></svg>", "<math><mi>x</mi></math>", "<canvas>no</canvas>", "<template><p>no</p></template>", "<noscript><p>no</p></noscript>", "<iframe src=x/>", "<iframe>no</iframe>", "<script>if (a<b) '</p>'</script>", "<style/>", "<textarea><p>no</textarea>"):
+        assert said(f"<article>{gone}<p>one text here.</p></article>") == ["one text here."], gone
+    assert said("<div><svg><path></div><p>behind</p>") == ["behind"] and said("<svg><g><p>broke out</p>") == ["broke out"]
+    assert said("<p title=it's>hello world</p><p a=\"x>y\" b='>' c>v</p><p q=\"open>w</p>") == ["hello world", "v", "w"]
+    assert said("<p>a</p><script>var x = '<p>b</p>'") == ["a"] and said("<object><p>no</p></object>yes") == ["yes"]
+
+
+#: Pages of layouts that the labelled ones don't have: main text is what stands between [[ and ]].
+LAYOUTS = [
+    """<html><head><title>T</title></head><body><div id="top"><table width="100%"><tr><td><a href="/">Home</a></td><td><a href="/a">Archive</a></td><td><a href="/b">About us</a></td></tr></table></div>
+    <table><tr><td valign="top"><a href="/1">First link</a><br><a href="/2">Second link</a></td><td><h2>[[The long road to the harbour]]</h2><p>[[On the first morning the ships lay still, and nobody spoke of the storm that had taken the northern pier.]]</p><p>[[By noon the wind had turned; men came down from the village with ropes, lanterns and whatever else they could carry.]]</p></td></tr></table><div class="bottom"><p>&copy; 2004 The Harbour Press. All rights reserved.</p></div></body></html>""",
+    """<body><header class="site-header"><div class="logo">Daily News</div><nav aria-label="primary"><ul><li><a href="/w">World</a><li><a href="/s">Sport</a><li><a href="/c">Culture</a></ul></nav></header>
+    <main><article class="story"><h1>[[Rivers rise after a week of rain]]</h1><p>[[Officials said on Monday that the river had risen by two metres, the highest level since records began.]]</p><figure><img src="x.jpg"></figure><p>[[Residents were asked to move cars and valuables to higher ground before the evening.]]</p><h2>[[What happens next]]</h2><ul><li>[[The dam will be opened in stages, starting at midnight.]]</li><li>[[Schools in three districts stay closed until Thursday.]]</li></ul></article>
+    <aside class="related"><h3>Related stories</h3><ul><li><a href="/1">Floods in pictures</a></li><li><a href="/2">How dams work</a></li></ul></aside></main><section class="comments"><h3>2 comments</h3><div class="comment"><p>My cellar is full of water again.</p></div><div class="comment"><p>Stay safe everyone!</p></div></section><footer><p>Contact | Imprint | Privacy</p></footer></body>""",
+    """<body><div class="cookie-banner"><p>We use cookies to improve your experience. <a href="#">Accept</a></p></div><div class="wrapper"><div class="content"><div class="post"><h2>[[A simple bread recipe]]</h2><div class="entry"><p>[[Mix flour, water, salt and yeast in a large bowl until no dry flour is left.]]</p><blockquote><p>[[My grandmother always said that patience is the only ingredient that you cannot buy.]]</p></blockquote><p>[[Let it rest for twelve hours, then fold it twice and bake it in a very hot oven.]]</p></div><div class="share-buttons"><a href="#">Share</a> <a href="#">Tweet</a></div></div></div><div class="sidebar"><div class="widget"><h3>Search</h3><form><input type="text"><button>Go</button></form></div><div class="widget ad"><p>Buy the best mixer now!</p></div></div></div></body>""",
+    """<body><ul class="menu"><li><a href="/">Start</a></li><li><a href="/docs">Docs</a></li></ul><section id="main-content"><h1>[[Reading sensors with two wires]]</h1><p>[[The bus needs only a clock and a data line, which all devices share.]]</p><pre>[[open(bus, address); read(bus, 2); close(bus)]]</pre><p>[[Each device answers to its own address, and stays silent otherwise.]]</p><ol><li>[[Connect both lines to the pull-up resistors.]]</li><li>[[Switch the power on and look for the start signal.]]</li></ol></section><div class="newsletter"><p>Subscribe to our newsletter for weekly updates.</p><form><input name="mail"><button>Subscribe</button></form></div><footer class="page-footer"><ul><li><a href="/imprint">Imprint</a></li><li><a href="/terms">Terms</a></li></ul></footer></body>""",
+]
+
+
+def test_layouts_by_another_hand():
+    import re
+
+    chain = html_crf.trained()
+    hit = found = wanted = 0
+    for page in LAYOUTS:
+        want = set(re.findall(r"\[\[(.*?)\]\]", page))
+        got = set(html_crf.main_text(chain, [page.replace("[[", "").replace("]]", "")])[0].split("\n")) - {""}
+        hit, found, wanted = hit + len(want & got), found + len(got), wanted + len(want)
+    assert 2 * hit >= 0.9 * (found + wanted)
+
+
+def test_extract_long_page_and_empty_table(spark):
+    long = "<article>" + "".join(f"<p>Sentence number {i} of a very long page, with some words.</p>" for i in range(20000)) + "</article>"
+    schema = "page_id long, url string, html string"
+    row = html_crf.extract(spark.createDataFrame([(1, "u", long)], schema)).first()
+    assert row.text.count("\n") == 19999 and row.n_chars == len(row.text)
+    assert html_crf.extract(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_viterbi_is_the_best_path():

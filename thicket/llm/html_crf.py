@@ -24,15 +24,22 @@ from thicket.scratch import small_batches
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-UNSEEN = "script style template noscript iframe svg math object canvas textarea title"
+#: Elements whose content is text up to their own end tag, and others whose content isn't shown.
+RAW = "script style textarea title iframe noembed noframes xmp"
+UNSEEN = frozenset("template noscript svg math object canvas audio video".split())
+#: Start tags that end a drawing or formula that was left open.
+_BREAKOUT = frozenset("b big blockquote body center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre ruby s small span strike strong sub sup table tt u ul var".split())
 CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BREAKS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
+#: Attributes: values in quotes may hold >, values without may hold quotes.
+_ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?)*+"""
 _TOKEN = re.compile(
     r"<!--(?s:.*?)(?:--!?>|\Z)|<!\[CDATA\[(?s:.*?)(?:\]\]>|\Z)|<[!?][^>]*+>?"
-    rf"|<({'|'.join(UNSEEN.split())})\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>(?s:.*?)(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|([^<]++)|(<)",
+    rf"|<({'|'.join(RAW.split())})(?=[\s/>]){_ATTRS}(?<!/)>(?s:.*?)</\1(?=[\s/>])[^>]*+>"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRS})>|([^<]++)|(<)",
     re.I,
 )
+_RAW = frozenset(RAW.split())
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -53,7 +60,7 @@ def blocks(page: str) -> list[Block]:
     names: list[str] = []
     marks: list[tuple[str, ...]] = [()]
     text: list[str] = []
-    linked = links = 0
+    linked = links = unseen = 0
 
     def flush() -> None:
         nonlocal linked
@@ -68,13 +75,16 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     def close(upto: int) -> None:
-        nonlocal links
+        nonlocal links, unseen
         links -= names[upto:].count("a")
+        unseen -= sum(n in UNSEEN for n in names[upto:])
         del names[upto:], marks[upto + 1 :]
 
     for m in _TOKEN.finditer(page):
         _, slash, name, attrs, said, stray = m.groups()
         if said is not None or stray:
+            if unseen:
+                continue
             said = said or stray
             text.append(said)
             if links:
@@ -84,6 +94,15 @@ def blocks(page: str) -> list[Block]:
             if name == "br":
                 text.append(" ")
                 continue
+            if name in _RAW:
+                # one that has no end tag: what is behind a script or style isn't text
+                if not slash and not attrs.endswith("/") and name in ("script", "style"):
+                    break
+                continue
+            if name in UNSEEN and not slash and attrs.endswith("/"):
+                continue
+            if unseen and not slash and name in _BREAKOUT and names[-1:] and (open_ := [k for k, n in enumerate(names) if n in ("svg", "math")]):
+                close(open_[0])
             if name not in INLINE:
                 flush()
             if slash:
@@ -111,6 +130,7 @@ def blocks(page: str) -> list[Block]:
                     if _HIDDEN.search(attrs):
                         own.append("c:hidden")
                 names.append(name)
+                unseen += name in UNSEEN
                 marks.append((*marks[-1], *own) if name not in INLINE else marks[-1])
                 links += name == "a"
     flush()
@@ -173,18 +193,30 @@ class Chain:
         return [[k for f in fs if (k := get(f, -1)) >= 0] for fs in features(found)]
 
 
-def _padded(pages: list[list[list[int]]], emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scores [page, place, label] and lengths."""
-    size = np.array([len(p) for p in pages])
-    flat = [k for p in pages for fs in p for k in fs]
-    per = np.array([len(fs) for p in pages for fs in p])
-    owner = np.repeat(np.arange(len(per)), per)
-    total = np.stack([np.bincount(owner, emit[flat, y], len(per)) for y in (0, 1)], 1)
-    scores = np.zeros((len(pages), int(size.max()), 2))
-    page = np.repeat(np.arange(len(pages)), size)
-    place = np.arange(len(page)) - np.repeat(np.cumsum(size) - size, size)
-    scores[page, place] = total
-    return scores, size
+@dataclass
+class Laid:
+    """Feature numbers of some pages' blocks, in one array, and where each block stands."""
+
+    size: np.ndarray  # blocks of each page
+    flat: np.ndarray
+    owner: np.ndarray
+    page: np.ndarray
+    place: np.ndarray
+
+    @classmethod
+    def of(cls, pages: list[list[list[int]]]) -> Laid:
+        size = np.array([len(p) for p in pages])
+        per = np.array([len(fs) for p in pages for fs in p])
+        flat = np.array([k for p in pages for fs in p for k in fs], np.int64)
+        page = np.repeat(np.arange(len(pages)), size)
+        return cls(size, flat, np.repeat(np.arange(len(per)), per), page, np.arange(len(page)) - np.repeat(np.cumsum(size) - size, size))
+
+    def scores(self, emit: np.ndarray) -> np.ndarray:
+        """[page, place, label]"""
+        out = np.zeros((len(self.size), int(self.size.max()), 2))
+        for y in (0, 1):
+            out[self.page, self.place, y] = np.bincount(self.owner, emit[self.flat, y], len(self.page))
+        return out
 
 
 def viterbi(chain: Chain, pages: list[list[list[int]]]) -> list[np.ndarray]:
@@ -198,7 +230,8 @@ def viterbi(chain: Chain, pages: list[list[list[int]]]) -> list[np.ndarray]:
             to += 1
         own = order[at:to]
         at = to
-        scores, size = _padded([pages[i] for i in own], chain.emit)
+        laid = Laid.of([pages[i] for i in own])
+        scores, size = laid.scores(chain.emit), laid.size
         best = chain.begin + scores[:, 0]
         back = np.zeros(scores.shape, np.int64)
         for t in range(1, scores.shape[1]):
@@ -225,21 +258,18 @@ def fit(pages: list[tuple[list[Block], list[int]]], rounds: int = 100, step: flo
                 number.setdefault(f, len(number))
     chain = Chain(number, np.zeros((len(number), 2)), np.zeros((2, 2)), np.zeros(2))
     ids = [chain.numbers(found) for found, _ in pages]
-    size = np.array([len(p) for p in ids])
-    longest = int(size.max())
+    laid = Laid.of(ids)
+    longest = int(laid.size.max())
     gold = np.full((len(ids), longest), -1)
     for i, (_, labels) in enumerate(pages):
         gold[i, : len(labels)] = labels
     live = gold >= 0
     hot = np.stack([(gold == y) for y in (0, 1)], 2).astype(float)
-    flat = np.array([k for p in ids for fs in p for k in fs])
-    per = np.array([len(fs) for p in ids for fs in p])
-    owner = np.repeat(np.arange(len(per)), per)
     pair_gold = np.einsum("nti,ntj->ij", hot[:, :-1], hot[:, 1:])
     squares = [np.full_like(x, 1e-6) for x in (chain.emit, chain.step, chain.begin)]
     lse = lambda x, axis: np.log(np.exp(x - x.max(axis, keepdims=True)).sum(axis)) + x.max(axis)
     for _ in range(rounds):
-        scores, _ = _padded(ids, chain.emit)
+        scores = laid.scores(chain.emit)
         fwd, bwd = np.zeros(scores.shape), np.zeros(scores.shape)
         fwd[:, 0] = chain.begin + scores[:, 0]
         for t in range(1, longest):
@@ -255,15 +285,20 @@ def fit(pages: list[tuple[list[Block], list[int]]], rounds: int = 100, step: flo
             joint = np.exp(fwd[:, t - 1, :, None] + chain.step[None] + (scores[:, t] + bwd[:, t])[:, None, :] - z[:, None, None])
             pair += (joint * live[:, t, None, None]).sum(0)
         error = (hot - prob)[live]
-        grads = [np.stack([np.bincount(flat, error[owner, y], len(number)) for y in (0, 1)], 1) - decay * len(ids) * chain.emit, pair_gold - pair, (hot[:, 0] - prob[:, 0]).sum(0)]
+        grads = [np.stack([np.bincount(laid.flat, error[laid.owner, y], len(number)) for y in (0, 1)], 1) - decay * len(ids) * chain.emit, pair_gold - pair, (hot[:, 0] - prob[:, 0]).sum(0)]
         for x, g, s in zip((chain.emit, chain.step, chain.begin), grads, squares, strict=True):
             s += g * g
             x += step * g / np.sqrt(s)
     return chain
 
 
-def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[int]]]:
-    """n invented pages of many layouts, with a label (1: content) for each leaf block, from a seed."""
+def labelled_pages(n: int = 600, seed: int = 11, unnamed: float = 0.33) -> list[tuple[str, list[int]]]:
+    """n invented pages of many layouts, with a label (1: content) for each leaf block, from a seed.
+
+    On a share ``unnamed`` of the pages every class and id is an invented word or
+    a code as build tools make them, so that the chain has to go by tags, text
+    and neighbours there.
+    """
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     chance = lambda p: rng.random() < p
@@ -276,9 +311,13 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[int]]]:
         w = [x + "." if chance(0.1) and stop else x for x in w]
         return (" ".join(w)).capitalize() + ("." if stop else "")
 
+    plain = [False]
+
     def named(words: str) -> str:
         if chance(0.25):
             return ""
+        if plain[0]:
+            return f' class="{pick([word(), word() + "-" + word(), "css-" + format(int(rng.integers(1 << 24)), "x"), pick("abcdefgh") + str(int(rng.integers(99)))])}"'
         w = pick(words.split())
         w = pick([w, f"{w}-{pick(['box', 'wrap', 'area', 'list', 'main', 'inner', 'top', 'block', 'section'])}", f"{pick(['site', 'page', 'the', 'js', 'l'])}-{w}", w.capitalize() + "Box"])
         return f' {pick(["class", "class", "id"])}="{w}"'
@@ -297,7 +336,7 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[int]]]:
             tags, words = PARTS[kind]
             tag = pick(tags)
             attrs = named(words)
-            if not attrs and tag in ("div", "p", "section", "ul", "ol", "article", "ins"):
+            if not attrs and not plain[0] and tag in ("div", "p", "section", "ul", "ol", "article", "ins"):
                 attrs = f' class="{pick(words.split())}"'
             if kind in ("menu", "share"):
                 k = int(rng.integers(2, 8))
@@ -349,13 +388,14 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[int]]]:
                     out.append(part(pick(["ad", "side", "share", "form", "note"])))
             return "".join(out)
 
+        plain[0] = chance(unnamed)
         out = [part(k) for k in ("head", "menu", "note", "ad") if chance(0.5)]
         if chance(0.2):
             out.append(part("side"))
         shell = pick(["article", "article", "main", "div", "div", "section", "none"])
         inner = story()
         if shell != "none":
-            attrs = named(BODY) if shell != "div" or chance(0.15) else f' class="{pick(BODY.split())}"'
+            attrs = named(BODY) if shell != "div" or plain[0] or chance(0.15) else f' class="{pick(BODY.split())}"'
             inner = f"<{shell}{attrs}>{inner}</{shell}>"
             if chance(0.4):
                 outer = pick(["main", "div", "section"])
