@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import DOCS, components, near_copies, shingles
 from thicket.llm.cell_dedup import Cells, deduplicate
 from thicket.llm.components import components as stars, forest
-from thicket.llm.token_group_join import NEAR, Similarity, classify, keep_one, opened
+from thicket.llm.token_group_join import NEAR, Similarity, bitmaps, classify, folded, keep_one, opened
 
 
 def frame(spark, rows):
@@ -40,6 +40,34 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, c in want.items() if i == c)
 
 
+def test_keep_one_hangs_on_the_rows_alone(spark):
+    a, b, c = "one two three four five six seven", "some other text of a few words more", "yet another one that nobody else has"
+    rows = [(1, a), (1, b), (2, b), (2, c), (1, a), (None, c), (None, "no id and no like of it here at all"), (3, None), (3, None), (4, ""), (None, None)]
+    want = sorted([(1, a), (1, b), (2, c), (None, "no id and no like of it here at all"), (3, None), (4, ""), (None, None)], key=str)
+    df = frame(spark, rows).withColumn("_a", F.lit("clash")).withColumn("n", F.lit(1))
+    for parts in (1, 3):
+        assert sorted(((r.doc_id, r.text) for r in keep_one(df.repartition(parts)).collect()), key=str) == want
+    assert keep_one(frame(spark, [])).count() == 0
+
+
+def test_long_and_hot_texts(spark):
+    long = " ".join(f"w{i % 5000}x{i}" for i in range(30000))
+    near = [long + f" tail{i}" for i in range(40)] + ["the very same line"] * 60
+    got = classify(frame(spark, list(enumerate(near))), Similarity(group=4)).collect()
+    assert {r.component_id for r in got} == {0, 40} and max(r.n_shingles for r in got) == 29999
+
+
+def test_bitmaps_never_overrate_what_is_outside():
+    rng = np.random.default_rng(4)
+    for n, m in ((5, 900), (900, 5), (60, 60), (1, 1)):
+        a, b = (np.unique(rng.integers(0, 1 << 62, k, dtype=np.uint64)) for k in (n, m))
+        b = np.unique(np.concatenate((b, a[: len(a) // 2])))
+        x, y = (np.frombuffer(bitmaps(s, np.array([0, len(s)]))[0], np.uint8)[None] for s in (a, b))
+        w = min(x.shape[1], y.shape[1])
+        outside = np.bitwise_count(folded(x, w) & ~folded(y, w)).sum()
+        assert 8 * x.shape[1] >= 8 * len(a) and outside <= len(set(a.tolist()) - set(b.tolist()))
+
+
 def test_union_bound_loses_nothing():
     rng = np.random.default_rng(0)
     sim = Similarity(n=1, percent=80)

@@ -305,8 +305,8 @@ def test_prefix_targets(spark):
     assert second.text.startswith(first.text) and prefix_targets.unescape(first.text[first.loss_start : first.loss_end]) == "a[/INST]\\"
     assert prefix_targets.parse(second.text) == [(r[2], r[3] or "") for r in rows[:5]]
     assert ex[1, 2].loss_start == ex[1, 2].loss_end == 0
-    for ordered in (True, False):
-        got = {r.conv_id: r for r in prefix_targets.read_back(out, ordered).collect()}
+    for back in (prefix_targets.read_back(out), prefix_targets.digest(df)):
+        got = {r.conv_id: r for r in back.collect()}
         for conv in (1, 2, 3, 4, None):
             own = [r for r in rows if r[0] == conv]
             own = sorted(own, key=lambda r: (-1 if r[1] is None else r[1], r[2] or "", r[3] or ""))
@@ -314,7 +314,15 @@ def test_prefix_targets(spark):
             assert got[conv].n_turns == len(own)
             assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own).encode()).hexdigest()
             assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
-    assert prefix_targets.expand(df.where("false")).count() == 0
+    assert prefix_targets.expand(df.where("false")).count() == 0 and prefix_targets.digest(df.where("false")).count() == 0
+
+
+def test_long_conversations_go_in_bounded_batches(spark):
+    turns = [(5, i, "assistant" if i % 2 else "user", "x" * 2000) for i in range(1200)]
+    sizes = [b.nbytes for b in prefix_targets._expand(iter([pa.RecordBatch.from_pylist([dict(zip(("conv_id", "turn", "role", "text"), t, strict=True)) for t in turns])]))]
+    assert len(sizes) > 100 and max(sizes) < 3 * prefix_targets.BATCH
+    got = prefix_targets.digest(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).first()
+    assert (got.n_turns, got.n_examples, got.loss_chars) == (1200, 600, 1200000)
 
 
 @settings(max_examples=100, deadline=None)
@@ -462,8 +470,10 @@ def test_mix(spark):
     want = curriculum.targets(sorted(size.items(), key=lambda x: (x[0] is None, x[0] or "")), curriculum.Curriculum())
     for s, n, t, _ in want:
         assert target[s] == pytest.approx(t) and abs(taken[s] - t) <= largest[s] + 1
+    places = [-1.0 if r.first_position is None else r.first_position for r in got]
+    assert places == sorted(places)
     key = lambda rs: sorted((r.doc_id, r.taken) for r in rs)
-    assert key(got) == key(curriculum.report(both.repartition(7)).collect())
+    assert key(got) == key(curriculum.report(both.repartition(7)).collect()) == key(curriculum.report(both, most=1).collect())
     out = curriculum.mixed(both)
     assert out.columns == both.columns
     n = Counter(r.doc_id for r in out.collect())

@@ -42,18 +42,11 @@ def targets(sizes: list[tuple[object, int]], plan: Curriculum) -> list[tuple[obj
     n = len(plan.weights)
     weight = [plan.weights[i % n] for i in range(len(sizes))]
     cap = [plan.most * s for _, s in sizes]
-    got, open_, left = [0.0] * len(sizes), [i for i in range(len(sizes)) if cap[i] > 0], plan.share * sum(s for _, s in sizes)
-    while open_:
-        per = left / sum(weight[i] for i in open_)
-        over = [i for i in open_ if per * weight[i] >= cap[i]]
-        if not over:
-            for i in open_:
-                got[i] = per * weight[i]
-            break
-        for i in over:
-            got[i] = cap[i]
-            left -= cap[i]
-        open_ = [i for i in open_ if i not in over]
+    got, left, open_ = [0.0] * len(sizes), plan.share * sum(s for _, s in sizes), sum(weight)
+    # those that reach their cap first are taken first; what is left goes to the others by weight
+    for i in sorted(range(len(sizes)), key=lambda i: cap[i] / weight[i]):
+        got[i] = min(cap[i], left * weight[i] / open_)
+        left, open_ = left - got[i], open_ - weight[i]
     return [(s, size, got[i], i % len(plan.ramps)) for i, (s, size) in enumerate(sizes)]
 
 
@@ -113,9 +106,14 @@ def placed(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
     return out.select("_a", "_b", "doc_id", "rows", "size", "source_size", "target", (F.col("n") * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
-def report(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, first_position), a row for each row of docs."""
-    return placed(docs, plan).withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows")))).select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("copies", F.lit(1))["position"].alias("first_position"))
+def report(docs: DataFrame, plan: Curriculum = Curriculum(), most: int = 4096) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, first_position), a row for each row of docs, range-sorted by the training position of the first copy; rows of which the mix takes nothing come first."""
+    first = placed(docs, plan).withColumn("first_position", F.try_element_at("copies", F.lit(1))["position"])
+    # rows that repeat very often are spelled out in several tasks
+    parts = first.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / most)))).drop("copies")
+    order = ["first_position", "doc_id", "_a", "_part"]
+    own = parts.repartitionByRange(*order).sortWithinPartitions(*order)
+    return own.withColumn("_row", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.col("rows") - F.col("_part") * most)))).select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
 def mixed(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:

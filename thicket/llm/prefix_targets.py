@@ -22,7 +22,9 @@ OTHER = ("[ROLE] ", " [/ROLE] ", " [/TURN]")
 CONTROL = ("<s>", "</s>", "[SYS]", "[/SYS]", "[INST]", "[/INST]", "[ANS]", "[ROLE]", "[/ROLE]", "[/TURN]")
 _ESCAPE = re.compile("|".join([r"\\", *map(re.escape, CONTROL)]))
 _UNESCAPE = re.compile(r"\\(.)", re.S)
-SCHEMA = "conv_id long, example int, text string, loss_start int, loss_end int, n_turns int"
+SCHEMA = "conv_id long, example long, text string, loss_start long, loss_end long, n_turns long"
+#: Examples go on in batches of about so many code points at most, or alone.
+BATCH = 1 << 22
 
 
 def escape(text: str) -> str:
@@ -75,16 +77,20 @@ def expand(conversations: DataFrame) -> DataFrame:
     behind the last reply, and conversations without one, give one more example
     with an empty loss, so that no turn is lost.  An empty table gives no rows.
     Other columns are not read.  A conversation is read as a stream of its
-    sorted turns; only its formatted prefix is held.
+    sorted turns; only its formatted prefix and a batch of bounded size are held.
     """
+    return _turns(conversations).mapInArrow(_expand, SCHEMA)
+
+
+def _turns(conversations: DataFrame) -> DataFrame:
     rows = small_batches(conversations).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_expand, SCHEMA)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
     now, began = None, False
-    prefix, size, turns, number, open_ = ["<s>"], 3, 0, 0, False
+    prefix, size, turns, number, open_, held = ["<s>"], 3, 0, 0, False, 0
 
     def close() -> None:
         if began and open_:
@@ -94,6 +100,7 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, _, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if not began or conv != now:
                 close()
+                held += size
                 began, now, prefix, size, turns, number = True, conv, ["<s>"], 3, 0, 0
             before, body, after = render(role, text)
             prefix += [before, body, after]
@@ -105,24 +112,33 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 prefix = ["".join(prefix)]
                 out.append((now, number, prefix[0], start, start + len(body), turns))
                 number += 1
-                if len(out) >= 512:
+                held += size
+                if held >= BATCH or len(out) >= 512:
                     yield _batch(out)
+                    held = 0
     close()
     yield _batch(out)
 
 
 def _batch(out: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*out, strict=True)) if out else [()] * 6
-    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
     batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "example", "text", "loss_start", "loss_end", "n_turns"])
     out.clear()
     return batch
 
 
-def read_back(examples: DataFrame, ordered: bool = False) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples), parsed from the formatted examples of each conversation.  ordered: they come as expand() left them, so that no shuffle is needed."""
-    rows = examples if ordered else examples.repartition("conv_id").sortWithinPartitions("conv_id", "example")
-    return rows.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
+_DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
+
+
+def read_back(examples: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples), parsed from the formatted examples of each conversation, in any order."""
+    return examples.repartition("conv_id").sortWithinPartitions("conv_id", "example").mapInArrow(_read_back, _DIGEST)
+
+
+def digest(conversations: DataFrame) -> DataFrame:
+    """read_back() of expand(), example by example as they are made: as whole prefixes repeat in every example, what a long conversation expands to is never held, shuffled or written."""
+    return _turns(conversations).mapInArrow(lambda batches: _read_back(_expand(batches)), _DIGEST)
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,11 +37,11 @@ def op6_cell_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from thicket.llm.prefix_targets import expand, read_back
+    from thicket.llm.prefix_targets import digest
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
-    return read_back(expand(rows.union(spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], rows.schema))), ordered=True)
+    return digest(rows.union(spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], rows.schema)))
 
 
 def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:

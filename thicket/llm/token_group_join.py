@@ -1,11 +1,14 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Equal shingle sets are one class.  Classes fall into groups of similar ones; a
-matrix keeps, for each group, the union of its members' tokens.  No two sets can
-be similar unless each overlaps the other's group union enough, so overlaps with
-unions bound similarity, and only group pairs that qualify are opened and
-compared set by set.  Links are exact; of each opened pair of groups only a
-spanning forest of links is kept, so that copies never expand into all pairs.
+matrix keeps, for each group, the union of its members' tokens, as a bitmap.  No
+two sets can be similar unless each overlaps the other's group union enough, so
+overlaps with unions bound similarity, and only groups that qualify for a set are
+opened and compared set by set.  Links are exact; of each opened pair of groups
+only a spanning forest of links is kept.  Groups are first opened for themselves
+and for one other of their hub's; then only what is not connected yet is compared,
+so that a cluster of near copies expands neither into all pairs nor into all
+pairs of groups.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +27,6 @@ from thicket.scratch import drop, small_batches, stored
 from thicket.llm.wordgrid import Texts, chunks, column, keyed, mix, ngrams
 
 _U = np.uint64
-BUCKETS = 128
 #: With so few sets in candidate groups, their places are broadcast (some 60 MB at most); with more, they meet the texts in a shuffled join.
 BROADCAST_ROWS = 500_000
 
@@ -121,16 +124,26 @@ def digests(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
-def histograms(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """How many members of each set are in each of 128 hash buckets, 255 at most: a byte each.  Two sets differ in at least as many members as the sum of their histograms' differences."""
-    cell = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * BUCKETS + (keyed(sets, 13) >> _U(57)).astype(np.int64)
-    return np.minimum(255, np.bincount(cell, minlength=(len(bounds) - 1) * BUCKETS)).astype(np.uint8)
+def bitmaps(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Of each set, the hashes of its members in a bitmap of 8 to 16 times as many bits: a power of two, so that a large one folds onto a small one's size."""
+    n = np.diff(bounds)
+    width = np.maximum(64, 1 << (np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) + 3))
+    ends = np.cumsum(width)
+    bits = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
+    bits[np.repeat(ends - width, n) + (keyed(sets, 13) & np.repeat(width - 1, n).astype(_U)).astype(np.int64)] = True
+    packed = np.packbits(bits).tobytes()
+    return [packed[(e - w) // 8 : e // 8] for e, w in zip(ends.tolist(), width.tolist(), strict=True)]
 
 
-def signatures(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """(doc_id, n, da, db, prefix, hist): the size and name of each row's set, and, if it can link with another set, its rarest tokens and its histogram."""
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Rows of bitmaps, folded onto ``width`` bytes."""
+    return np.bitwise_or.reduce(bits.reshape(len(bits), -1, width), axis=1) if bits.shape[1] > width else bits
+
+
+def signatures(docs: DataFrame, sim: Similarity, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n, da, db, prefix, least, bits) and columns ``keep``: the size and name of each row's set, and, if it can link with another set, its rarest tokens, its least token in a keyed hash, which similar sets mostly share, and its bitmap."""
     order_of = docs.sparkSession.sparkContext.broadcast(sketch(docs, sim))
-    names = ["doc_id", "n", "da", "db", "prefix", "hist"]
+    names = ["doc_id", "n", "da", "db", "prefix", "least", "bits", *keep]
 
     def run(batches):  # noqa: ANN001, ANN202
         rare = order_of.value
@@ -145,9 +158,13 @@ def signatures(docs: DataFrame, sim: Similarity) -> DataFrame:
                 tokens = sets[order][rank < take[owner]].view(np.int64)
                 da, db = digests(sets, bounds)
                 offsets = np.concatenate(([0], np.cumsum(take))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(da), pa.array(db), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens)), pa.array([h.tobytes() if k else b"" for h, k in zip(histograms(sets, bounds).reshape(-1, BUCKETS), take, strict=True)], pa.binary())], names)
+                least, some = np.zeros(len(t), np.int64), np.flatnonzero(size > 0)
+                if len(some):
+                    least[some] = np.minimum.reduceat(keyed(sets, 14), bounds[:-1][some]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(da), pa.array(db), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens)), pa.array(least), pa.array([h if k else None for h, k in zip(bitmaps(sets, bounds), take, strict=True)], pa.binary()), *(column(batch, c).slice(lo, hi - lo) for c in keep)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, da long, db long, prefix array<long>, hist binary")
+    schema = ", ".join(["doc_id long, n long, da long, db long, prefix array<long>, least long, bits binary", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).mapInArrow(run, schema)
 
 
 def opened(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, sim: Similarity) -> list[tuple[int, int]]:
@@ -196,50 +213,84 @@ def opened(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, sim: Simil
 
 
 def links(docs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
-    """(a, b): links between classes' least ids that connect what similar sets connect; classes(rep, n, da, prefix, hist)."""
-    tokens = classes.select("rep", F.explode("prefix").alias("token"))
+    """(id, component_id) of classes that links connect with others, by number; classes(cid, rep, n, da, prefix, least, bits).
+
+    Groups are classes of one size of bitmap with the same least token, in parts
+    of about sim.group.  Pairs of groups that share enough prefix tokens are
+    candidates, as no two sets link that don't.
+    """
+    tokens = classes.select("cid", F.explode("prefix").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = stored(tokens.join(common, "token"))
-    hubs = shared.groupBy("rep").agg(F.max(F.struct("df", "token")).alias("hub"), F.count("*").alias("k")).where(f"k >= {sim.shared}")
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("hub.df") / sim.group))
-    members = stored(hubs.select("rep", F.xxhash64("hub.token", part).alias("gid")).join(classes.select("rep", "n", "da", "hist"), "rep"))
-    matrix = stored(shared.join(members.select("rep", "n", "gid"), "rep").groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    able = shared.groupBy("cid").agg(F.count("*").alias("k")).where(f"k >= {sim.shared}").select("cid")
+    alike = stored(able.join(classes.select("cid", "rep", "n", "da", "least", "bits"), "cid"))
+    kind = ["least", F.octet_length("bits").alias("width")]
+    count = alike.groupBy(*kind).agg(F.ceil(F.count("*") / sim.group).alias("parts"))
+    gid = lambda part: F.xxhash64("least", "width", part)
+    members = stored(alike.withColumn("width", F.octet_length("bits")).join(count, ["least", "width"]).select("cid", "rep", "n", "da", "bits", gid(F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("gid"), gid(F.lit(0).cast("bigint")).alias("first")))
+    matrix = stored(shared.join(members.select("cid", "n", "gid"), "cid").groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high")))
     a, b = matrix.alias("a"), matrix.alias("b")
     fit = f"a.token = b.token and a.gid < b.gid and 100 * a.high >= {sim.percent} * b.low and 100 * b.high >= {sim.percent} * a.low"
-    pairs = a.join(b, F.expr(fit)).groupBy(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).agg(F.count("*").alias("overlap")).where(f"overlap >= {sim.shared}").select("ga", "gb")
-    alone = members.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
-    tiles = pairs.union(alone).withColumn("tile", F.xxhash64("ga", "gb"))
+    pairs = stored(a.join(b, F.expr(fit)).groupBy(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).agg(F.count("*").alias("overlap")).where(f"overlap >= {sim.shared}").select("ga", "gb"))
+    unions = stored(members.groupBy("gid", "first", F.pmod("cid", F.lit(16)).alias("s")).applyInArrow(_union, _UNION).groupBy("gid", "first").applyInArrow(_union, _UNION))
+    # first each group for itself, and with the first group of its kind; then, of all pairs, what is in different components still
+    alone = unions.where("members > 1").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
+    hub = unions.where("gid != first").select(F.least("gid", "first").alias("ga"), F.greatest("gid", "first").alias("gb"))
+    begun = stored(_compared(docs, members, unions, alone.union(hub.join(pairs, ["ga", "gb"], "left_semi")), sim))
+    joined = stored(components(begun))
+    placed = members.join(joined, F.col("cid") == F.col("id"), "left").select(*members.columns, F.coalesce("component_id", "cid").alias("comp"))
+    whole = placed.groupBy("gid").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
+    rest = _compared(docs, placed, unions.join(whole, "gid"), pairs.join(hub, ["ga", "gb"], "left_anti"), sim, placed=True)
+    found = components(begun.union(stored(rest)))
+    for df in (shared, alike, members, unions, matrix, pairs):
+        drop(df)
+    return found
+
+
+def _compared(docs: DataFrame, members: DataFrame, unions: DataFrame, pairs: DataFrame, sim: Similarity, placed: bool = False) -> DataFrame:
+    """(a, b): links between classes of the pairs of groups, a spanning forest for each pair that is opened.  placed: members have a component, and one that is alone in the other group needs no comparing."""
+    tiles = stored(pairs.withColumn("tile", F.xxhash64("ga", "gb")))
     sides = tiles.select("tile", F.col("ga").alias("gid"), F.col("gb").alias("other"), F.lit(0).alias("side")).union(tiles.where("ga != gb").select("tile", F.col("gb").alias("gid"), F.col("ga").alias("other"), F.lit(1).alias("side")))
-    shapes = stored(members.groupBy("gid").applyInArrow(_envelope, "other long, high long, least binary, most binary"))
-    queries = sides.join(members, "gid").join(shapes, "other").select("tile", "side", "rep", "da", "n", "hist", "high", "least", "most").mapInArrow(_qualify(sim), "tile long, side int, rep long, da long")
-    qualified = stored(queries)
+    against = sides.join(members, "gid").join(unions.select(F.col("gid").alias("other"), "low", F.col("bits").alias("union"), *(("least", "most") if placed else ())), "other")
+    if placed:
+        against = against.where("not (least = most and least = comp)")
+    qualified = stored(against.select("tile", "side", "cid", "rep", "da", "n", "low", "bits", "union").mapInArrow(_qualify(sim), "tile long, side int, cid long, rep long, da long"))
     both = qualified.groupBy("tile").agg(F.count("*").alias("k"), F.min("side").alias("s0"), F.max("side").alias("s1"))
     met = both.join(tiles.select("tile", (F.col("ga") == F.col("gb")).alias("own")), "tile").where("k > 1 and s0 = 0 and (own or s1 = 1)").select("tile")
-    places = stored(qualified.join(met, "tile").groupBy("rep", "da").agg(F.collect_list(F.struct("tile", "side")).alias("places")))
+    places = stored(qualified.join(met, "tile").groupBy("cid", "rep", "da").agg(F.collect_list(F.struct("tile", "side")).alias("places")))
     few = places.count() <= BROADCAST_ROWS and qualified.count() <= 8 * BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(places) if few else places, "rep").select("rep", "da", "text", F.explode("places").alias("p")).select("p.tile", "p.side", "rep", "da", "text")
-    found = stored(texts.repartition("tile").sortWithinPartitions("tile", "side", "rep").mapInArrow(_open_tiles(sim), "a long, b long"))
-    for df in (shared, members, shapes, matrix, qualified, places):
-        drop(df)
-    return found
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(places) if few else places, "rep").select("cid", "da", "text", F.explode("places").alias("p")).select("p.tile", "p.side", "cid", "da", "text")
+    return texts.repartition("tile").sortWithinPartitions("tile", "side", "cid").mapInArrow(_open_tiles(sim), "a long, b long")
+
+
+_UNION = "gid long, first long, members long, low long, bits binary"
 
 
-def _envelope(group: pa.Table) -> pa.Table:
-    """A group's largest set, and for each bucket the least and the most of its members' counts."""
-    h = np.frombuffer(b"".join(x.as_py() for x in group.column("hist")), np.uint8).reshape(-1, BUCKETS)
-    return pa.table({"other": group.column("gid").slice(0, 1), "high": pa.array([max(group.column("n").to_pylist())], pa.int64()), "least": pa.array([h.min(0).tobytes()], pa.binary()), "most": pa.array([h.max(0).tobytes()], pa.binary())})
+def _union(group: pa.Table) -> pa.Table:
+    """A group's number of members, least size and token union; of members, or of parts of them."""
+    bits = np.bitwise_or.reduce(np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint8).reshape(group.num_rows, -1), axis=0)
+    parts = "members" in group.column_names
+    count = sum(group.column("members").to_pylist()) if parts else group.num_rows
+    low = min(group.column("low" if parts else "n").to_pylist())
+    return pa.table({"gid": group.column("gid").slice(0, 1), "first": group.column("first").slice(0, 1), "members": pa.array([count], pa.int64()), "low": pa.array([low], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
 
 def _qualify(sim: Similarity):  # noqa: ANN202
-    """Bounds a set's overlap with every member of the other group: it differs from each by at least its distance from the group's envelope, bucket by bucket."""
+    """Keeps the sets whose overlap with the other group's token union can reach what a link with any of its members needs: a set has at least as many members outside of the union as its bitmap has bits outside of the union's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, lo, hi = (np.frombuffer(b"".join(x.as_py() for x in column(batch, c)), np.uint8).reshape(-1, BUCKETS).astype(np.int32) for c in ("hist", "least", "most"))
-            n, high = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("n", "high"))
-            differ = (np.maximum(0, lo - h) + np.maximum(0, h - hi)).sum(1)
-            ok = differ * (100 + sim.percent) <= (100 - sim.percent) * (n + high)
-            yield batch.select(["tile", "side", "rep", "da"]).filter(pa.array(ok))
+            own, other = column(batch, "bits"), column(batch, "union")
+            shape = np.stack([pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (own, other)], 1)
+            n, low = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("n", "low"))
+            outside = np.zeros(batch.num_rows, np.int64)
+            for a, b in np.unique(shape, axis=0).tolist():
+                rows = np.flatnonzero((shape[:, 0] == a) & (shape[:, 1] == b))
+                at, width = pa.array(rows), min(a, b)
+                q, u = (folded(np.frombuffer(b"".join(x.take(at).to_pylist()), np.uint8).reshape(len(rows), -1), width) for x in (own, other))
+                outside[rows] = np.bitwise_count(q & ~u).sum(1)
+            ok = 100 * (n - outside) >= sim.percent * np.maximum(n, low)
+            yield batch.select(["tile", "side", "cid", "rep", "da"]).filter(pa.array(ok))
 
     return run
 
@@ -265,7 +316,7 @@ def _open_tiles(sim: Similarity):  # noqa: ANN202
             return batch
 
         for batch in batches:
-            tile, side, rep, da = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("tile", "side", "rep", "da"))
+            tile, side, cid, da = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("tile", "side", "cid", "da"))
             for lo, hi, t in chunks(column(batch, "text"), lower=True):
                 sets, bounds = shingle_sets(t, sim.n)
                 name, _ = digests(sets, bounds)
@@ -274,7 +325,7 @@ def _open_tiles(sim: Similarity):  # noqa: ANN202
                         close()
                         now = tile[i]
                     if name[i - lo] == da[i]:  # another row of the same id may have another text
-                        held[int(side[i]), int(rep[i])] = sets[bounds[i - lo] : bounds[i - lo + 1]].copy()
+                        held[int(side[i]), int(cid[i])] = sets[bounds[i - lo] : bounds[i - lo + 1]].copy()
                 if len(out[0]) > 10000:
                     yield flush()
         close()
@@ -294,22 +345,40 @@ def classify(docs: DataFrame, sim: Similarity = EXACT90) -> DataFrame:
     its own class.  A null id has its class's component, null if it has none.  An empty table
     gives an empty result.  Other columns are not read.
     """
-    signed = stored(signatures(docs, sim))
-    sets = signed.where("n > 0 and doc_id is not null").groupBy("da", "db").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("hist").alias("hist"))
-    classes = stored(sets)
-    found = links(docs, classes, sim)
-    comp = components(found)
-    named = classes.select("da", "db", "rep").join(comp, F.col("rep") == F.col("id"), "left").select("da", "db", F.coalesce("component_id", "rep").alias("component_id"))
+    signed, named = _named(docs, sim)
     out = signed.where("n > 0").select("doc_id", "n", "da", "db").join(named, ["da", "db"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.union(signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def _named(docs: DataFrame, sim: Similarity, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The signatures of docs, and (da, db, comp, component_id): the component of each class that has an id, by number and by least id."""
+    signed = stored(signatures(docs, sim, keep))
+    sets = signed.where("n > 0 and doc_id is not null").groupBy("da", "db").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("least").alias("least"), F.first("bits").alias("bits"))
+    # a class is named by a number of its own, as rows of one id may be of several classes
+    classes = stored(sets.withColumn("cid", F.monotonically_increasing_id()))
+    by_class = stored(classes.select("da", "db", "rep", "cid").join(links(docs, classes, sim), F.col("cid") == F.col("id"), "left").select("da", "db", "rep", F.coalesce("component_id", "cid").alias("comp")))
+    least = stored(by_class.groupBy("comp").agg(F.min("rep").alias("component_id")))
+    return signed, stored(by_class.join(least, "comp").select("da", "db", "comp", "component_id"))
+
+
 def keep_one(docs: DataFrame, sim: Similarity = NEAR) -> DataFrame:
-    """The row of docs with the least id of each component, all columns.  Rows that repeat a kept id go but for one; rows without an id stay unless their class has one."""
-    from pyspark.sql import Window
+    """Of each component of docs the row with the least id, and of those the least in a hash of the whole row; all columns.
 
-    keep = classify(docs, sim).where("component_id <=> doc_id").select("doc_id").distinct()
+    Rows that are equal in every column are one row.  Rows of one id with texts
+    that don't link all stay.  Rows without an id belong to their class's
+    component; rows without words link with nothing and stay.  The result hangs
+    on the rows alone, not on their order.  An empty table stays empty.
+    """
     names = [f"`{c.replace('`', '``')}`" for c in docs.columns]
-    rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*names).alias("_row")).join(keep, F.col("_id").eqNullSafe(F.col("doc_id")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.lit(0)))
-    return rows.withColumn("_no", first).where("_no = 1 or _id is null").select(*[F.col(f"_row.{n}") for n in names])
+    # maps can't be hashed or compared
+    whole = [F.col(n) for n, f in zip(names, docs.schema, strict=True) if "map<" not in f.dataType.simpleString()]
+    nulls = F.array(*[c.isNull() for c in whole])
+    rows = docs.select("doc_id", "text", F.struct(*names).alias("_row"), F.xxhash64(F.lit(1), nulls, *whole).alias("_a"), F.xxhash64(F.lit(2), nulls, *whole).alias("_b"))
+    signed, named = _named(small_batches(rows), sim, ("_a", "_b"))
+    wordless, has = F.col("n") == 0, F.col("comp").isNotNull()
+    pick = lambda x, y, z: F.when(wordless, x).when(has, y).otherwise(z)
+    of = [pick(F.lit(0), F.lit(1), F.lit(2)).alias("k0"), pick(F.col("_a"), F.col("comp"), F.col("da")).alias("k1"), pick(F.col("_b"), F.lit(0).cast("bigint"), F.col("db")).alias("k2")]
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_a").alias("_a"), F.col("_b").alias("_b"))
+    kept = signed.join(named, ["da", "db"], "left").groupBy(*of).agg(F.min(order).alias("k")).select("k._a", "k._b")
+    once = rows.groupBy("_a", "_b").agg(F.first("_row").alias("_row"))
+    return once.join(stored(kept), ["_a", "_b"], "left_semi").select(*[F.col(f"_row.{n}") for n in names])
