@@ -125,9 +125,9 @@ def digests(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def bitmaps(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Of each set, the hashes of its members in a bitmap of 8 to 16 times as many bits: a power of two, so that a large one folds onto a small one's size."""
+    """Of each set, the hashes of its members in a bitmap of 2 to 4 times as many bits: a power of two, so that a large one folds onto a small one's size."""
     n = np.diff(bounds)
-    width = np.maximum(64, 1 << (np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) + 3))
+    width = np.maximum(64, 1 << (np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) + 1))
     ends = np.cumsum(width)
     bits = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
     bits[np.repeat(ends - width, n) + (keyed(sets, 13) & np.repeat(width - 1, n).astype(_U)).astype(np.int64)] = True
@@ -141,9 +141,9 @@ def folded(bits: np.ndarray, width: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, sim: Similarity, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n, da, db, prefix, least, bits) and columns ``keep``: the size and name of each row's set, and, if it can link with another set, its rarest tokens, its least token in a keyed hash, which similar sets mostly share, and its bitmap."""
+    """(doc_id, n, da, db, prefix, bits) and columns ``keep``: the size and name of each row's set, and, if it can link with another set, its rarest tokens and its bitmap."""
     order_of = docs.sparkSession.sparkContext.broadcast(sketch(docs, sim))
-    names = ["doc_id", "n", "da", "db", "prefix", "least", "bits", *keep]
+    names = ["doc_id", "n", "da", "db", "prefix", "bits", *keep]
 
     def run(batches):  # noqa: ANN001, ANN202
         rare = order_of.value
@@ -158,35 +158,31 @@ def signatures(docs: DataFrame, sim: Similarity, keep: tuple[str, ...] = ()) ->
                 tokens = sets[order][rank < take[owner]].view(np.int64)
                 da, db = digests(sets, bounds)
                 offsets = np.concatenate(([0], np.cumsum(take))).astype(np.int32)
-                least, some = np.zeros(len(t), np.int64), np.flatnonzero(size > 0)
-                if len(some):
-                    least[some] = np.minimum.reduceat(keyed(sets, 14), bounds[:-1][some]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(da), pa.array(db), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens)), pa.array(least), pa.array([h if k else None for h, k in zip(bitmaps(sets, bounds), take, strict=True)], pa.binary()), *(column(batch, c).slice(lo, hi - lo) for c in keep)], names)
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(da), pa.array(db), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens)), pa.array([h if k else None for h, k in zip(bitmaps(sets, bounds), take, strict=True)], pa.binary()), *(column(batch, c).slice(lo, hi - lo) for c in keep)], names)
 
-    schema = ", ".join(["doc_id long, n long, da long, db long, prefix array<long>, least long, bits binary", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)])
+    schema = ", ".join(["doc_id long, n long, da long, db long, prefix array<long>, bits binary", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).mapInArrow(run, schema)
 
 
-def opened(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, sim: Similarity) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two groups (or within one, sets_b None), members numbered on through both.
+def opened(sets_a: list[np.ndarray], sets_b: list[np.ndarray], sim: Similarity, own: bool = False) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two groups, and if own within the first, members numbered on through both.
 
-    A set stays only if its overlap with the other group's token union, which
-    no overlap with a member can exceed, reaches what a link needs.
+    A set stays only if its overlap with the token union of what it is compared
+    with, which no overlap with a member can exceed, reaches what a link needs.
     """
-    both = sets_a + (sets_b or [])
+    both, k = sets_a + sets_b, len(sets_a)
     size = np.array([len(s) for s in both])
     alive = np.ones(len(both), bool)
-    if sets_b is not None:
-        k = len(sets_a)
-        for own, other in ((range(k), sets_b), (range(k, len(both)), sets_a)):
+    for mine, other in ((range(0 if own else k), sets_b), (range(k, len(both)), sets_a)):
+        if len(mine) and other:
             union = np.unique(np.concatenate(other))
-            flat = np.concatenate([both[i] for i in own])
+            flat = np.concatenate([both[i] for i in mine])
             at = np.minimum(np.searchsorted(union, flat), len(union) - 1)
-            hit = np.add.reduceat((union[at] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(size[list(own)])[:-1])))
-            alive[list(own)] = 100 * hit >= sim.percent * size[list(own)]
-        left, right = np.flatnonzero(alive[:k]), k + np.flatnonzero(alive[k:])
-    else:
-        left = right = np.arange(len(both))
+            hit = np.add.reduceat((union[at] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(size[list(mine)])[:-1])))
+            alive[list(mine)] = 100 * hit >= sim.percent * size[list(mine)]
+    left, right = np.flatnonzero(alive[:k]), k + np.flatnonzero(alive[k:])
+    if own:
+        right = np.concatenate((left, right))
     if not len(left) or not len(right):
         return []
     kept = np.unique(np.concatenate((left, right)))
@@ -213,54 +209,61 @@ def opened(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, sim: Simil
 
 
 def links(docs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
-    """(id, component_id) of classes that links connect with others, by number; classes(cid, rep, n, da, prefix, least, bits).
+    """(id, component_id) of classes that links connect with others, by number; classes(cid, rep, n, da, prefix, bits).
 
-    Groups are classes of one size of bitmap with the same least token, in parts
-    of about sim.group.  Pairs of groups that share enough prefix tokens are
+    Groups are classes of one size of bitmap whose most shared rare token is the
+    same, in parts of about sim.group.  Pairs of groups that share enough prefix tokens are
     candidates, as no two sets link that don't.
     """
     tokens = classes.select("cid", F.explode("prefix").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = stored(tokens.join(common, "token"))
-    able = shared.groupBy("cid").agg(F.count("*").alias("k")).where(f"k >= {sim.shared}").select("cid")
-    alike = stored(able.join(classes.select("cid", "rep", "n", "da", "least", "bits"), "cid"))
-    kind = ["least", F.octet_length("bits").alias("width")]
-    count = alike.groupBy(*kind).agg(F.ceil(F.count("*") / sim.group).alias("parts"))
-    gid = lambda part: F.xxhash64("least", "width", part)
-    members = stored(alike.withColumn("width", F.octet_length("bits")).join(count, ["least", "width"]).select("cid", "rep", "n", "da", "bits", gid(F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("gid"), gid(F.lit(0).cast("bigint")).alias("first")))
+    hubs = shared.groupBy("cid").agg(F.max(F.struct("df", "token")).alias("hub"), F.count("*").alias("k")).where(f"k >= {sim.shared}")
+    alike = hubs.select("cid", "hub").join(classes.select("cid", "rep", "n", "da", "bits"), "cid")
+    gid = lambda part: F.xxhash64("hub.token", F.octet_length("bits"), part)
+    part = F.pmod(F.xxhash64("cid"), F.ceil(F.col("hub.df") / sim.group))
+    members = stored(alike.select("cid", "rep", "n", "da", "bits", gid(part).alias("gid"), gid(F.lit(0).cast("bigint")).alias("first")))
     matrix = stored(shared.join(members.select("cid", "n", "gid"), "cid").groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high")))
     a, b = matrix.alias("a"), matrix.alias("b")
     fit = f"a.token = b.token and a.gid < b.gid and 100 * a.high >= {sim.percent} * b.low and 100 * b.high >= {sim.percent} * a.low"
     pairs = stored(a.join(b, F.expr(fit)).groupBy(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).agg(F.count("*").alias("overlap")).where(f"overlap >= {sim.shared}").select("ga", "gb"))
     unions = stored(members.groupBy("gid", "first", F.pmod("cid", F.lit(16)).alias("s")).applyInArrow(_union, _UNION).groupBy("gid", "first").applyInArrow(_union, _UNION))
-    # first each group for itself, and with the first group of its kind; then, of all pairs, what is in different components still
-    alone = unions.where("members > 1").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
-    hub = unions.where("gid != first").select(F.least("gid", "first").alias("ga"), F.greatest("gid", "first").alias("gb"))
-    begun = stored(_compared(docs, members, unions, alone.union(hub.join(pairs, ["ga", "gb"], "left_semi")), sim))
+    # first each group within itself and with the first group of its token; then, of all pairs, what is in different components still
+    near = unions.select("gid", "first").join(pairs, F.least("gid", "first").eqNullSafe(F.col("ga")) & F.greatest("gid", "first").eqNullSafe(F.col("gb")), "left_semi")
+    alone = unions.where("members > 1").select("gid", "first").join(near, ["gid"], "left_anti").select("gid", F.col("gid").alias("first"))
+    tiles = stored(near.union(alone).select(F.col("gid").alias("ga"), F.col("first").alias("gb")))
+    begun = _compared(docs, members, unions, tiles, sim, own=True)
     joined = stored(components(begun))
-    placed = members.join(joined, F.col("cid") == F.col("id"), "left").select(*members.columns, F.coalesce("component_id", "cid").alias("comp"))
-    whole = placed.groupBy("gid").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
-    rest = _compared(docs, placed, unions.join(whole, "gid"), pairs.join(hub, ["ga", "gb"], "left_anti"), sim, placed=True)
-    found = components(begun.union(stored(rest)))
-    for df in (shared, alike, members, unions, matrix, pairs):
+    placed = stored(members.join(joined, F.col("cid") == F.col("id"), "left").select(*members.columns, F.coalesce("component_id", "cid").alias("comp")))
+    # two groups that are of one component as a whole, or have been compared, give no new link
+    whole = stored(placed.groupBy("gid").agg(F.min("comp").alias("least"), F.max("comp").alias("most")))
+    ends = [whole.select(F.col("gid").alias(g), F.col("least").alias(f"{g}0"), F.col("most").alias(f"{g}1")) for g in ("ga", "gb")]
+    met = tiles.select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb"))
+    apart = pairs.join(met, ["ga", "gb"], "left_anti").join(ends[0], "ga").join(ends[1], "gb").where("not (ga0 = ga1 and gb0 = gb1 and ga0 = gb0)")
+    rest = _compared(docs, placed, unions.join(whole, "gid"), apart.select("ga", "gb"), sim)
+    found = components(begun.union(rest))
+    for df in (shared, members, unions, matrix, pairs, tiles, begun, joined, placed, whole, rest):
         drop(df)
     return found
 
 
-def _compared(docs: DataFrame, members: DataFrame, unions: DataFrame, pairs: DataFrame, sim: Similarity, placed: bool = False) -> DataFrame:
-    """(a, b): links between classes of the pairs of groups, a spanning forest for each pair that is opened.  placed: members have a component, and one that is alone in the other group needs no comparing."""
+def _compared(docs: DataFrame, members: DataFrame, unions: DataFrame, pairs: DataFrame, sim: Similarity, own: bool = False) -> DataFrame:
+    """(a, b): links between classes of the pairs of groups, a spanning forest for each pair that is opened.  own: links within the first of each pair too, which may be paired with itself; else members have a component, and those that are of the other group's only one are left out."""
     tiles = stored(pairs.withColumn("tile", F.xxhash64("ga", "gb")))
     sides = tiles.select("tile", F.col("ga").alias("gid"), F.col("gb").alias("other"), F.lit(0).alias("side")).union(tiles.where("ga != gb").select("tile", F.col("gb").alias("gid"), F.col("ga").alias("other"), F.lit(1).alias("side")))
-    against = sides.join(members, "gid").join(unions.select(F.col("gid").alias("other"), "low", F.col("bits").alias("union"), *(("least", "most") if placed else ())), "other")
-    if placed:
+    against = sides.join(members, "gid").join(unions.select(F.col("gid").alias("other"), "low", F.col("bits").alias("union"), *(() if own else ("least", "most"))), "other")
+    if not own:
         against = against.where("not (least = most and least = comp)")
-    qualified = stored(against.select("tile", "side", "cid", "rep", "da", "n", "low", "bits", "union").mapInArrow(_qualify(sim), "tile long, side int, cid long, rep long, da long"))
+    qualified = stored(against.select("tile", "side", "cid", "rep", "da", "n", "low", "bits", "union").mapInArrow(_qualify(sim, own), "tile long, side int, cid long, rep long, da long"))
     both = qualified.groupBy("tile").agg(F.count("*").alias("k"), F.min("side").alias("s0"), F.max("side").alias("s1"))
-    met = both.join(tiles.select("tile", (F.col("ga") == F.col("gb")).alias("own")), "tile").where("k > 1 and s0 = 0 and (own or s1 = 1)").select("tile")
+    met = both.where("k > 1 and s0 = 0" + ("" if own else " and s1 = 1")).select("tile")
     places = stored(qualified.join(met, "tile").groupBy("cid", "rep", "da").agg(F.collect_list(F.struct("tile", "side")).alias("places")))
     few = places.count() <= BROADCAST_ROWS and qualified.count() <= 8 * BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(places) if few else places, "rep").select("cid", "da", "text", F.explode("places").alias("p")).select("p.tile", "p.side", "cid", "da", "text")
-    return texts.repartition("tile").sortWithinPartitions("tile", "side", "cid").mapInArrow(_open_tiles(sim), "a long, b long")
+    found = stored(texts.repartition("tile").sortWithinPartitions("tile", "side", "cid").mapInArrow(_open_tiles(sim, own), "a long, b long"))
+    for df in (tiles, qualified, places):
+        drop(df)
+    return found
 
 
 _UNION = "gid long, first long, members long, low long, bits binary"
@@ -275,8 +278,8 @@ def _union(group: pa.Table) -> pa.Table:
     return pa.table({"gid": group.column("gid").slice(0, 1), "first": group.column("first").slice(0, 1), "members": pa.array([count], pa.int64()), "low": pa.array([low], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
 
-def _qualify(sim: Similarity):  # noqa: ANN202
-    """Keeps the sets whose overlap with the other group's token union can reach what a link with any of its members needs: a set has at least as many members outside of the union as its bitmap has bits outside of the union's."""
+def _qualify(sim: Similarity, own: bool = False):  # noqa: ANN202
+    """Keeps, besides the first group's if it is compared within itself, the sets whose overlap with the other group's token union can reach what a link with any of its members needs: a set has at least as many members outside of the union as its bitmap has bits outside of the union's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,12 +293,14 @@ def _qualify(sim: Similarity):  # noqa: ANN202
                 q, u = (folded(np.frombuffer(b"".join(x.take(at).to_pylist()), np.uint8).reshape(len(rows), -1), width) for x in (own, other))
                 outside[rows] = np.bitwise_count(q & ~u).sum(1)
             ok = 100 * (n - outside) >= sim.percent * np.maximum(n, low)
+            if own:
+                ok |= column(batch, "side").to_numpy() == 0
             yield batch.select(["tile", "side", "cid", "rep", "da"]).filter(pa.array(ok))
 
     return run
 
 
-def _open_tiles(sim: Similarity):  # noqa: ANN202
+def _open_tiles(sim: Similarity, own: bool = False):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: int | None = None
         held: dict[tuple[int, int], np.ndarray] = {}
@@ -304,7 +309,7 @@ def _open_tiles(sim: Similarity):  # noqa: ANN202
         def close() -> None:
             ids = sorted(held)
             sides = [[held[i] for i in ids if i[0] == s] for s in (0, 1)]
-            for x, y in opened(sides[0], sides[1] or None, sim) if sides[0] else []:
+            for x, y in opened(sides[0], sides[1], sim, own) if sides[0] else []:
                 out[0].append(ids[x][1])
                 out[1].append(ids[y][1])
             held.clear()
@@ -353,7 +358,7 @@ def classify(docs: DataFrame, sim: Similarity = EXACT90) -> DataFrame:
 def _named(docs: DataFrame, sim: Similarity, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The signatures of docs, and (da, db, comp, component_id): the component of each class that has an id, by number and by least id."""
     signed = stored(signatures(docs, sim, keep))
-    sets = signed.where("n > 0 and doc_id is not null").groupBy("da", "db").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("least").alias("least"), F.first("bits").alias("bits"))
+    sets = signed.where("n > 0 and doc_id is not null").groupBy("da", "db").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     # a class is named by a number of its own, as rows of one id may be of several classes
     classes = stored(sets.withColumn("cid", F.monotonically_increasing_id()))
     by_class = stored(classes.select("da", "db", "rep", "cid").join(links(docs, classes, sim), F.col("cid") == F.col("id"), "left").select("da", "db", "rep", F.coalesce("component_id", "cid").alias("comp")))
