@@ -351,50 +351,72 @@ def test_spans(spark):
     assert span_dedup.deduplicated(df.where("false")).count() == 0
 
 
-def plain_dedup(rows, least, most_words):
+def plain_dedup(rows, least, most_words, marks=".!?"):
     """Cut texts of (id, text): sentences by regex, every run hashed in a dict, first run of a kind kept."""
     import re
 
     sents = {}
     for i, t in rows:
-        parts = re.findall(r"(?s)[^\n]*?(?:[.!?](?=[\x20\x09-\x0D]|$)|\n|$)", t or "")
+        parts = re.findall(rf"(?s)[^\n]*?(?:[{marks}](?=[\x20\x09-\x0D]|$)|\n|$)", t or "")
         sents[i] = [p for p in parts if WORD.search(p)]
     runs = {}
     for i in sorted(sents):
         w = [words(p) for p in sents[i]]
         for a in range(len(w)):
-            b = a
-            while b < len(w) and (b - a < least or sum(map(len, w[a:b])) < most_words):
-                b += 1
-            if b - a >= least and sum(map(len, w[a:b])) >= most_words:
+            for b in range(a + 1, len(w) + 1):
+                enough = lambda lo, hi, w=w: hi - lo >= least and sum(map(len, w[lo:hi])) >= most_words
+                if not enough(a, b) or (enough(a, b - 1) and enough(a + 1, b)):
+                    if enough(a, b):
+                        break
+                    continue
                 key = tuple(p.strip(" \t\n\v\f\r").translate({k: k + 32 for k in range(65, 91)}) for p in sents[i][a:b])
                 runs.setdefault(key, []).append((i, a, b))
     gone = {(i, k) for own in runs.values() for i, a, b in own[1:] for k in range(a, b)}
     return {i: [" ".join(words(p)) for k, p in enumerate(sents[i]) if (i, k) not in gone] for i in sents}
 
 
-def test_spans_equal_plain_version(spark):
+@pytest.mark.parametrize("how", [span_dedup.Spans(), span_dedup.Spans(sentences=2, words=6, marks=".!?")])
+def test_spans_equal_plain_version(spark, how):
     import random
 
     rng = random.Random(5)
     line = lambda: " ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.randint(1, 7)))
     pool = [line() for _ in range(6)]
-    rows = [(i, "".join(rng.choice(pool) + rng.choice([". ", "! ", "\n", "?\n", ". ", ".x "]) for _ in range(rng.randint(0, 25)))) for i in range(80)] + [(80, None), (81, "")]
-    how = span_dedup.Spans(sentences=2, words=6, long=10**9)
+    rows = [(i, "".join(rng.choice(pool) + rng.choice([". ", "! ", "\n", "?\n", ", ", ".x "]) for _ in range(rng.randint(0, 25)))) for i in range(80)] + [(80, None), (81, "")]
     got = span_dedup.deduplicated(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS), how).collect()
-    want = plain_dedup(rows, 2, 6)
+    want = plain_dedup(rows, how.sentences, how.words, how.marks)
     assert sum(r.n_removed for r in got) > 100
     for r in got:
         assert words(r.text) == " ".join(want[r.doc_id]).split() and r.n_sentences - r.n_removed == len(want[r.doc_id])
 
 
+def test_spans_of_the_corpus_equal_plain_version(spark):
+    rows = [(r.doc_id, r.text) for r in corpus(spark).collect()]
+    got = {r.doc_id: words(r.text) for r in span_dedup.deduplicated(corpus(spark)).collect()}
+    how = span_dedup.Spans()
+    want = {i: " ".join(x).split() for i, x in plain_dedup(rows, how.sentences, how.words, how.marks).items()}
+    assert {i: [w.lower() for w in x] for i, x in got.items()} == {i: [w.lower() for w in x] for i, x in want.items()}
+
+
+def test_passages_inside_running_text_are_caught(spark):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefghijkl"), rng.integers(2, 9)))
+    text = lambda n: " ".join(word() + rng.choice(["", "", "", "", "", ",", "."]) for _ in range(n))
+    passages = [text(60) for _ in range(10)]
+    rows = [(i, f"{text(80)} {word()} {passages[i % 10]} {text(80)}", "en", "s", 0) for i in range(30)] + [(30 + i, text(300), "en", "s", 0) for i in range(20)]
+    got = {r.doc_id: words(r.text) for r in span_dedup.deduplicated(spark.createDataFrame(rows, DOCS)).collect()}
+    for i, t, *_ in rows:
+        gone = len(words(t)) - len(got[i])
+        assert 48 <= gone <= 64 if 10 <= i < 30 else gone == 0
+
+
 def test_long_passages_are_caught_whatever_their_ends(spark):
     rng = np.random.default_rng(6)
     word = lambda: "".join(rng.choice(list("abcdefghijkl"), rng.integers(2, 9)))
     text = lambda n: " ".join(word() + ("." if rng.random() < 0.03 else "") for _ in range(n))
     passages = [text(60) for _ in range(10)]
     rows = [(i, f"{text(80)} {passages[i % 10]} {text(80)}", "en", "s", 0) for i in range(30)] + [(100 + i, text(300), "en", "s", 0) for i in range(20)]
-    got = {r.doc_id: r for r in span_dedup.deduplicated(spark.createDataFrame(rows, DOCS)).collect()}
+    got = {r.doc_id: r for r in span_dedup.deduplicated(spark.createDataFrame(rows, DOCS), span_dedup.Spans(one_in=5)).collect()}
     for i in range(10, 30):
         left = words(got[i].text)
         p = words(passages[i % 10])

@@ -18,48 +18,35 @@ from pyspark.sql import functions as F
 from thicket.scratch import drop, small_batches, stored, without
 from thicket.llm.wordgrid import Texts, _powers, chunks, column, is_space, keyed, mix
 
-_END = np.zeros(256, bool)
-_END[[ord(c) for c in ".!?"]] = True
-_CLAUSE = np.zeros(256, bool)
-_CLAUSE[[ord(c) for c in ",;:"]] = True
-
 
 @dataclass(frozen=True)
 class Spans:
-    """A span is the shortest run of at least ``sentences`` sentences with at
-    least ``words`` words.  A sentence of over ``long`` words is cut at commas,
-    semicolons and colons too, and behind one word in ``one_in``, chosen by its
-    hash, so that a passage whose ends hang in longer sentences, or that has no
-    ends at all, still holds whole ones."""
+    """A span is a run of at least ``sentences`` sentences with at least ``words``
+    words that is the shortest such from its first sentence on, or up to its last.  A sentence ends at a line break and behind one of
+    ``marks`` before white space; clauses count as sentences, as a passage that
+    is set into a running text shares its first and last sentence with that.
+    one_in: where texts have no such ends, they can be cut behind one word in
+    so many too, chosen by its hash."""
 
     sentences: int = 2
-    words: int = 12
-    long: int = 16
-    one_in: int = 5
+    words: int = 14
+    marks: str = ".!?,;:"
+    one_in: int | None = None
 
 
 def sentences(t: Texts, how: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start byte, first word, words, document) of each sentence with a word.
-
-    A sentence ends behind . ! ? before white space, and at a line break.  Bytes
-    up to the next sentence's start belong to it, so sentences tile a text.
-    """
+    """(start byte, first word, words, document) of each sentence with a word.  Bytes up to the next sentence's start belong to it, so sentences tile a text."""
     n = len(t.data)
     if not len(t.start):
         e = np.zeros(0, np.int64)
         return e, e, e, e
+    end = np.zeros(256, bool)
+    end[[ord(c) for c in how.marks]] = True
     blank = np.ones(n + 1, bool)
     blank[:n] = is_space(t.data)
-    cuts = np.union1d(np.flatnonzero((t.data == 10) | (_END[t.data] & blank[1:])) + 1, t.offsets[:-1])
-    cuts = cuts[cuts < n]
-    first = np.searchsorted(t.start, cuts)
-    count = np.diff(np.append(first, len(t.start)))
-    # sentences that are too long are cut at clauses and at words chosen by content
-    commas = np.flatnonzero(_CLAUSE[t.data] & blank[1:]) + 1
-    more = commas[count[np.searchsorted(cuts, commas, "right") - 1] > how.long]
-    word = np.flatnonzero(np.repeat(count > how.long, count))
-    word = word[keyed(t.hash_ranges(t.start[word], t.end[word]), 21) % np.uint64(how.one_in) == 0]
-    cuts = np.union1d(cuts, np.concatenate((more, t.end[word])))
+    cuts = np.union1d(np.flatnonzero((t.data == 10) | (end[t.data] & blank[1:])) + 1, t.offsets[:-1])
+    if how.one_in:
+        cuts = np.union1d(cuts, t.end[keyed(t.word_hashes(), 21) % np.uint64(how.one_in) == 0])
     cuts = cuts[cuts < n]
     first = np.searchsorted(t.start, cuts)
     count = np.diff(np.append(first, len(t.start)))
@@ -78,11 +65,13 @@ def spans(t: Texts, how: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         return e.astype(np.uint64), e, e, e
     unit = t.hash_ranges(t.start[first], t.end[first + count - 1])
     total = np.concatenate(([0], np.cumsum(count)))
-    at = np.arange(m)
-    stop = np.maximum(at + how.sentences, np.searchsorted(total, total[:-1] + how.words))
     begins = np.searchsorted(doc, np.arange(len(t) + 1))
-    at = at[stop <= begins[doc + 1]]
-    stop = stop[at]
+    each = np.arange(m)
+    stop = np.maximum(each + how.sentences, np.searchsorted(total, total[:-1] + how.words))
+    start = np.minimum(each + 1 - how.sentences, np.searchsorted(total, total[1:] - how.words, "right") - 1)
+    ahead, back = stop <= begins[doc + 1], start >= begins[doc]
+    runs = np.unique(np.concatenate((each[ahead] * (m + 1) + stop[ahead], start[back] * (m + 1) + each[back] + 1)))
+    at, stop = runs // (m + 1), runs % (m + 1)
     up, down = _powers(m + 1)
     sums = np.zeros(m + 1, np.uint64)
     np.cumsum(unit * up[:m], out=sums[1:])
@@ -90,13 +79,15 @@ def spans(t: Texts, how: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_r", F.xxhash64("doc_id", "text"))
+    """docs with two hashes, _r and _s, that name a row by id and text, nulls apart."""
+    own = [F.col("doc_id"), F.col("text"), F.col("doc_id").isNull(), F.col("text").isNull()]
+    return docs.withColumn("_r", F.xxhash64(F.lit(1), *own)).withColumn("_s", F.xxhash64(F.lit(2), *own))
 
 
 def repeated(docs: DataFrame, how: Spans) -> DataFrame:
-    """(_r, covered array<struct<pos, k>>): for each row that has some, the spans whose like is met before.
+    """(_r, _s, covered array<struct<pos, k>>): for each row that has some, the spans whose like is met before.
 
-    "Before" is in the order of doc_id (null first), row hash, place.  Counting
+    "Before" is in the order of doc_id (null first), row hashes, place.  Counting
     comes first, with map-side combine, so that only spans that repeat are
     ordered; the least place of a kind is a map-side combined minimum too, so a
     passage in a third of all documents fills no task.
@@ -107,16 +98,16 @@ def repeated(docs: DataFrame, how: Spans) -> DataFrame:
             for lo, hi, t in chunks(column(batch, "text"), lower=True):
                 h, doc, pos, k = spans(t, how)
                 take = pa.array(doc + lo)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), column(batch, "doc_id").take(take), column(batch, "_r").take(take), pa.array(pos.astype(np.int32)), pa.array(k.astype(np.int32))], ["h", "doc_id", "_r", "pos", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), column(batch, "doc_id").take(take), column(batch, "_r").take(take), column(batch, "_s").take(take), pa.array(pos.astype(np.int32)), pa.array(k.astype(np.int32))], ["h", "doc_id", "_r", "_s", "pos", "k"])
 
-    own = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "_r", "text")
-    every = stored(own.mapInArrow(run, "h long, doc_id long, _r long, pos int, k int"))
+    own = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "_r", "_s", "text")
+    every = stored(own.mapInArrow(run, "h long, doc_id long, _r long, _s long, pos int, k int"))
     # counts and minima are tables of their own: a join that has an aggregate in its stage can't be split where a key is hot
     again = stored(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     met = stored(every.join(again, "h"))
-    first = stored(met.groupBy("h").agg(F.min(F.struct("doc_id", "_r", "pos")).alias("first")))
-    late = met.join(first, "h").where("not (_r = first._r and pos = first.pos)")
-    out = stored(late.groupBy("_r").agg(F.collect_set(F.struct("pos", "k")).alias("covered")))
+    first = stored(met.groupBy("h").agg(F.min(F.struct("doc_id", "_r", "_s", "pos")).alias("first")))
+    late = met.join(first, "h").where("not (_r = first._r and _s = first._s and pos = first.pos)")
+    out = stored(late.groupBy("_r", "_s").agg(F.collect_set(F.struct("pos", "k")).alias("covered")))
     for df in (every, again, met, first):
         drop(df)
     return out
@@ -135,7 +126,7 @@ def deduplicated(docs: DataFrame, how: Spans = Spans()) -> DataFrame:
     docs = small_batches(without(docs, "n_sentences", "n_removed"))
     names = {c: f"`{c.replace('`', '``')}`" for c in docs.columns}
     rows = docs.select(F.struct(*[n for c, n in names.items() if c != "text"]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = _keyed(rows).join(repeated(docs, how), "_r", "left").select("_row", "text", "covered")
+    both = _keyed(rows).join(repeated(docs, how), ["_r", "_s"], "left").select("_row", "text", "covered")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
