@@ -46,28 +46,23 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Each round joins every node's larger neighbours to its least neighbour, then
     its smaller ones (large star, small star): joins and map-side combined
     minima only, so that a node with a third of all links needs no list of them.
-    The rounds, logarithmic in practice, end when a round changes nothing.
-    Null ids and self links are ignored; no links give an empty table.
+    Minima are tables of their own, as only joins of tables can be split where a
+    node is hot.  The rounds, logarithmic in practice, end when every node hangs
+    on one that hangs on none.  Null ids and self links are ignored; no links
+    give an empty table.
     """
     edges = stored(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
     for _ in range(rounds):
+        n, t = edges.select(F.count("*"), F.count_distinct("u")).first()
+        if n == t and not edges.join(edges.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").limit(1).count():
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(edges.select(F.col("v"), F.col("v")).distinct())
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # minima and joins are tables of their own: only a join that has no aggregate in its stage can be split where a node is hot
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        met = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        large = stored(met.distinct())
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = stored(large.groupBy("u").agg(F.min("v").alias("m")))
-        met_low = stored(large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v"))
-        small = met_low.distinct()
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         after = stored(small)
-        n, s, t = after.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
-        for df in (edges, least, met, large, low, met_low):
+        for df in (edges, least, large, low):
             drop(df)
-        edges, mark = after, (n, s)
-        if mark == before and n == t:
-            break
-        before = mark
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(edges.select(F.col("v"), F.col("v")).distinct())
+        edges = after
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

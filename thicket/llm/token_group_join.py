@@ -241,10 +241,10 @@ def links(docs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
     met = tiles.select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb"))
     apart = pairs.join(met, ["ga", "gb"], "left_anti").join(ends[0], "ga").join(ends[1], "gb").where("not (ga0 = ga1 and gb0 = gb1 and ga0 = gb0)")
     rest = _compared(docs, placed, unions.join(whole, "gid"), apart.select("ga", "gb"), sim)
-    found = components(begun.union(rest))
-    for df in (shared, members, unions, matrix, pairs, tiles, begun, joined, placed, whole, rest):
+    more = rest.limit(1).count() > 0
+    for df in (shared, members, unions, matrix, pairs, tiles, begun, placed, whole):
         drop(df)
-    return found
+    return components(joined.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(rest)) if more else joined
 
 
 def _compared(docs: DataFrame, members: DataFrame, unions: DataFrame, pairs: DataFrame, sim: Similarity, own: bool = False) -> DataFrame:
