@@ -1,9 +1,9 @@
 """Quality classifier by co-training.
 
 Two logistic classifiers see a document apart: one its words, one its metadata
-(language, source, length).  Over some rounds each labels the documents it is
-surest of for the other to learn from; then both are calibrated on labelled rows
-that neither has seen, combined, and score every document.
+(language, source, length).  Over some rounds each scores all unlabelled documents
+and labels those it is surest of for the other to learn from; then both are
+calibrated on labelled rows that neither has seen, combined, and score every document.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.scratch import small_batches, stored
-from thicket.llm.wordgrid import Texts, chunks, column, keyed, ngrams
+from thicket.scratch import drop, small_batches, stored
+from thicket.llm.wordgrid import Texts, buffers, chunks, code_points, column, keyed, mix, ngrams
 
 _U = np.uint64
 #: Sizes of the two views' weight tables; the last place is the constant.
@@ -26,17 +26,16 @@ WORDS, META = 1 << 16, 1 << 12
 
 @dataclass(frozen=True)
 class CoTraining:
-    """The classifiers are fitted on samples: the ``labelled`` labelled rows and
-    the ``pool`` others least in a keyed hash of their id (or all, if fewer).
+    """The classifiers are fitted on the ``labelled`` labelled documents least in
+    a keyed hash of their id (or all, if fewer), and on what they give each other.
     A ``calibrate``-th of the labelled sample is set apart for calibration.  In
-    each of ``rounds`` rounds a view hands on ``give`` documents of the pool, in
-    the shares of the labelled classes, if it is at least
-    ``sure`` of them.  The cut is
+    each of ``rounds`` rounds a view hands on ``give`` of all unlabelled documents,
+    in the shares of the labelled classes, in turn the surest of each source, if
+    it is at least ``sure`` of them.  The cut is
     the highest, up to 0.5, that loses a share of ``lose`` of the good
     calibration rows."""
 
     labelled: int = 8000
-    pool: int = 8000
     calibrate: int = 4
     rounds: int = 3
     give: int = 800
@@ -89,18 +88,23 @@ def word_view(t: Texts) -> Sparse:
     return Sparse(place.astype(np.int32), (value / np.maximum(norm[owner], 1e-12)).astype(np.float32), np.searchsorted(owner, np.arange(len(t) + 1)), WORDS)
 
 
-def meta_view(lang: list, source: list, n_chars: list) -> Sparse:
-    """Language, source, binary order of length, and pairs of these."""
-    texts = []
-    for a, b, c in zip(lang, source, n_chars, strict=True):
-        size = "null" if c is None else str(int(2 * np.log2(max(0, c) + 1)))
-        texts.append(f"l={a} s={b} n={size} ln={a}/{size}")
-    raw = "\n".join(texts).encode() if texts else b""
-    ends = np.cumsum([len(x.encode()) + 1 for x in texts]) if texts else np.zeros(0, np.int64)
-    offsets = np.minimum(np.concatenate(([0], ends)).astype(np.int64), len(raw))
-    t = Texts(np.frombuffer(raw, np.uint8), offsets)
-    place = (t.word_hashes() % _U(META - 1)).astype(np.int32)
-    return Sparse(place, np.full(len(place), 0.5, np.float32), t.bounds.copy(), META)
+def _values(col: pa.Array, key: int) -> np.ndarray:
+    """A hash of each value of a string column, worked out once for each distinct one; null is a value of its own."""
+    coded = col.dictionary_encode()
+    kinds = buffers(coded.dictionary)
+    t = Texts(*kinds)
+    hashes = keyed(t.hash_ranges(kinds[1][:-1], kinds[1][1:]) + np.diff(kinds[1]).astype(_U), key)
+    at = coded.indices.fill_null(len(hashes)).to_numpy(zero_copy_only=False)
+    return np.append(hashes, keyed(np.zeros(1, _U), key + 100))[at]
+
+
+def meta_view(lang: pa.Array, source: pa.Array, size: np.ndarray) -> Sparse:
+    """Language, source, half binary orders of length (-1: none), and pairs of language and length."""
+    order = np.where(size < 0, -1, (2 * np.log2(np.maximum(size, 0) + 1)).astype(np.int64))
+    length = keyed(order.astype(_U), 63)
+    said = _values(lang, 61)
+    place = np.stack((said, _values(source, 62), length, keyed(said + mix(length), 64)), 1) % _U(META - 1)
+    return Sparse(place.ravel().astype(np.int32), np.full(place.size, 0.5, np.float32), np.arange(len(size) + 1) * 4, META)
 
 
 def fit(x: Sparse, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None, steps: int, decay: float = 1e-5) -> np.ndarray:
@@ -152,47 +156,33 @@ class Model:
         return p(z[:, 0]), p(z[:, 1]), p(z @ self.both[0] + self.both[1])
 
 
-def cotrain(words: Sparse, meta: Sparse, y: np.ndarray, how: CoTraining, ids: np.ndarray) -> Model:
-    """The model from sampled rows; y: 0, 1, or -1 for the pool."""
-    known = np.flatnonzero(y >= 0)
-    apart = keyed(ids[known], how.seed + 1) % _U(how.calibrate) == 0
-    cal, own = known[apart], known[~apart]
-    pool = np.flatnonzero(y < 0)
-    views = [words, meta]
-    label = [y.astype(float), y.astype(float)]
-    rows, weights = [own, own], [None, None]
-    good = float(y[own].mean()) if len(own) else 1.0
-    for turn in range(how.rounds + 1):
-        for v in (0, 1):
-            x, t = views[v].take(rows[v]), label[v][rows[v]]
-            weight = np.where(y[rows[v]] >= 0, 1.0, 0.5)
-            weights[v] = fit(x, t, weight, weights[v], how.steps) if len(t) else np.zeros(views[v].width)
-        if turn == how.rounds or not len(pool):
-            break
-        for v in (0, 1):
-            other = 1 - v
-            left = np.setdiff1d(pool, rows[other])
-            if not len(left):
-                continue
-            p = 1 / (1 + np.exp(-np.clip(views[v].take(left).dot(weights[v]), -30, 30)))
-            order = np.argsort(p, kind="stable")
-            bad_n = round(how.give * (1 - good))
-            low, high = order[:bad_n], order[::-1][: how.give - bad_n]
-            low, high = low[p[low] <= 1 - how.sure], high[p[high] >= how.sure]
-            label[other][left[low]], label[other][left[high]] = 0, 1
-            rows[other] = np.concatenate((rows[other], left[low], left[high]))
-    z = np.stack([views[v].take(cal).dot(weights[v]) for v in (0, 1)], 1)
-    t = y[cal].astype(float)
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+@dataclass
+class Sample:
+    """Documents with both views, by id."""
+
+    ids: np.ndarray
+    views: list[Sparse]
+
+    def take(self, rows: np.ndarray) -> Sample:
+        return Sample(self.ids[rows], [v.take(rows) for v in self.views])
+
+
+def calibrated(weights: list[np.ndarray], sample: Sample, y: np.ndarray, how: CoTraining) -> Model:
+    """Both views calibrated on rows that neither has seen, combined, and cut."""
+    z = np.stack([sample.views[v].dot(weights[v]) for v in (0, 1)], 1)
     each = []
     for v in (0, 1):
-        a, b = _calibrated(z[:, v : v + 1], t)
+        a, b = _calibrated(z[:, v : v + 1], y)
         each.append((float(a[0]), float(b)))
-    logits = np.stack([k * z[:, v] + c for v, (k, c) in enumerate(each)], 1)
-    both = _calibrated(logits, t)
+    both = _calibrated(np.stack([k * z[:, v] + c for v, (k, c) in enumerate(each)], 1), y)
     model = Model(weights[0].astype(np.float32), weights[1].astype(np.float32), each, both, 0.5)
-    if len(t) and t.min() < t.max():
+    if len(y) and y.min() < y.max():
         p = model.probability(z[:, 0], z[:, 1])[2]
-        good_p, bad_p = np.sort(p[t == 1]), np.sort(p[t == 0])
+        good_p, bad_p = np.sort(p[y == 1]), np.sort(p[y == 0])
         lose = int(len(good_p) * how.lose)
         # between the last good row that may go and the bad row below it
         below = bad_p[bad_p < good_p[lose]]
@@ -207,49 +197,126 @@ def _join(parts: list[Sparse], width: int) -> Sparse:
     return Sparse(np.concatenate([p.place for p in parts]), np.concatenate([p.value for p in parts]), np.concatenate([[0]] + [p.bounds[1:] + o for p, o in zip(parts, off, strict=False)]).astype(np.int64), width)
 
 
-def train(docs: DataFrame, labels: DataFrame, how: CoTraining) -> Model:
-    """Fits on the samples.  A document is good if a label row says quality 1 and no row of it says quality 0 or toxic 1; a null quality is no label, a null toxic is 0."""
-    spark = docs.sparkSession
-    said = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min((F.col("quality") > 0) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int").alias("y"))
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(said, "doc_id", "left")
-    rank = F.xxhash64(F.lit(how.seed), "doc_id")
-    chosen = [ids.where(cond).orderBy(rank, "doc_id").limit(n).select("doc_id", F.coalesce("y", F.lit(-1)).alias("y")) for cond, n in (("y is not null", how.labelled), ("y is null", how.pool))]
-    sample = stored(chosen[0].union(chosen[1]))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
-    rows = own.join(F.broadcast(sample), "doc_id")  # at most labelled + pool ids
+def _read(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+
+
+def _views(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Sparse, Sparse]]:
+    """(first row, end row, both views) of the texts of a batch, chunk by chunk."""
+    null = column(batch, "text").is_null().to_numpy(zero_copy_only=False)
+    for lo, hi, t in chunks(column(batch, "text"), lower=True):
+        size = np.where(null[lo:hi], -1, t.per_doc(code_points(t.data)))
+        yield lo, hi, word_view(t), meta_view(column(batch, "lang").slice(lo, hi - lo), column(batch, "source").slice(lo, hi - lo), size)
+
+
+def _gathered(docs: DataFrame, ids: DataFrame) -> Sample:
+    """The documents of so many ids as the driver can hold, their number being a parameter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, *views in _views(batch):
+                lists = [pa.ListArray.from_arrays(pa.array(v.bounds.astype(np.int32)), pa.array(x)) for v in views for x in (v.place, v.value.astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), *lists], ["doc_id", "p0", "v0", "p1", "v1"])
+
+    rows = _read(docs).join(F.broadcast(ids.select("doc_id")), "doc_id").mapInArrow(run, "doc_id long, p0 array<int>, v0 array<float>, p1 array<int>, v1 array<float>")
+    # rows that repeat an id are told apart by their views, so that the order of equal ids is always the same
+    got = rows.toArrow()
+    keys = [list(zip(*(got.column(c).combine_chunks().value_lengths().to_pylist() for c in ("p0", "p1")), strict=True)), got.column("doc_id").to_pylist()]
+    order = np.array(sorted(range(got.num_rows), key=lambda i: (keys[1][i], keys[0][i])), np.int64)
+    views = []
+    for v, width in ((0, WORDS), (1, META)):
+        parts = zip(got.column(f"p{v}").chunks, got.column(f"v{v}").chunks, strict=True)
+        views.append(_join([Sparse(p.flatten().to_numpy(zero_copy_only=False), x.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(p.value_lengths().to_numpy(zero_copy_only=False)))), width) for p, x in parts], width))
+    return Sample(got.column("doc_id").to_numpy(), views).take(order)
+
+
+def scored(docs: DataFrame, weights: list[np.ndarray]) -> DataFrame:
+    """(doc_id, source, z0, z1): each document's scores by both views."""
+    shared = docs.sparkSession.sparkContext.broadcast([w.astype(np.float32) for w in weights])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = [x.astype(float) for x in shared.value]
         for batch in batches:
-            for lo, hi, t in chunks(column(batch, "text"), lower=True):
-                w = word_view(t)
-                yield pa.RecordBatch.from_arrays([*(column(batch, c).slice(lo, hi - lo) for c in ("doc_id", "y", "lang", "source", "n_chars")), pa.ListArray.from_arrays(pa.array(w.bounds.astype(np.int32)), pa.array(w.place)), pa.ListArray.from_arrays(pa.array(w.bounds.astype(np.int32)), pa.array(w.value.astype(np.float32)))], ["doc_id", "y", "lang", "source", "n_chars", "place", "value"])
+            for lo, hi, *views in _views(batch):
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), column(batch, "source").slice(lo, hi - lo), *(pa.array(v.dot(x)) for v, x in zip(views, w, strict=True))], ["doc_id", "source", "z0", "z1"])
+
+    return _read(docs).mapInArrow(run, "doc_id long, source string, z0 double, z1 double")
+
+
+def surest(rows: DataFrame, view: int, good: float, how: CoTraining) -> list[tuple[int, int]]:
+    """(doc_id, label) of the documents that a view hands on, of rows(doc_id, source, z0, z1)."""
+    bad_n = round(how.give * (1 - good))
+    edge = float(np.log(how.sure / (1 - how.sure)))
+    z, tie = F.round(f"z{view}", 9), F.xxhash64(F.lit(how.seed + 2), "doc_id")
+    out = []
+    for label, n, keep, order in ((0, bad_n, z <= -edge, z), (1, how.give - bad_n, z >= edge, -z)):
+        turn = F.row_number().over(Window.partitionBy("source").orderBy("order", "tie", "doc_id"))
+        first = rows.where(keep).select("doc_id", "source", order.alias("order"), tie.alias("tie")).withColumn("turn", turn).where(F.col("turn") <= n)
+        out += [(r.doc_id, label) for r in first.orderBy("turn", "order", "tie", "doc_id").limit(n).select("doc_id").collect()]
+    return out
+
 
-    got = rows.mapInArrow(run, "doc_id long, y int, lang string, source string, n_chars long, place array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("n_chars", "ascending")])
-    words = _join([Sparse(p.flatten().to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(p.value_lengths().to_numpy(zero_copy_only=False)))), WORDS) for p, v in zip(got.column("place").chunks, got.column("value").chunks, strict=True)], WORDS)
-    meta = meta_view(*(got.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
-    y, ids = got.column("y").to_numpy(), got.column("doc_id").to_numpy().astype(_U)
-    del got
-    return cotrain(words, meta, y, how, ids)
+def train(docs: DataFrame, labels: DataFrame, how: CoTraining) -> Model:
+    """Co-trains both views.  A document is good if a label row says quality 1 and no row of it says quality 0 or toxic 1; a null quality is no label, a null toxic is 0."""
+    spark = docs.sparkSession
+    said = stored(labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min((F.col("quality") > 0) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int").alias("y")))
+    there = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    labelled = stored(there.join(said, "doc_id").orderBy(F.xxhash64(F.lit(how.seed), "doc_id"), "doc_id").limit(how.labelled))
+    sample = _gathered(docs, labelled)
+    label_of = {r.doc_id: r.y for r in labelled.collect()}
+    y = np.array([label_of[i] for i in sample.ids.tolist()], float)
+    apart = keyed(sample.ids.astype(_U), how.seed + 1) % _U(how.calibrate) == 0
+    own, cal = np.flatnonzero(~apart), np.flatnonzero(apart)
+    known = sample.take(own)
+    learned: list[list[tuple[Sparse, np.ndarray]]] = [[(known.views[v], y[own])] for v in (0, 1)]
+    weights: list[np.ndarray | None] = [None, None]
+    given: list[set[int]] = [set(), set()]
+    two_kinds = len(own) > 0 and y[own].min() < y[own].max()
+    for turn in range(how.rounds + 1):
+        for v in (0, 1):
+            x, t = _join([p for p, _ in learned[v]], known.views[v].width), np.concatenate([t for _, t in learned[v]])
+            weight = np.where(np.arange(len(t)) < len(own), 1.0, 0.5)
+            weights[v] = fit(x, t, weight, weights[v], how.steps) if len(t) else np.zeros(known.views[v].width)
+        if turn == how.rounds or not two_kinds:
+            break
+        every = scored(docs, weights).where("doc_id is not null").groupBy("doc_id").agg(F.min("source").alias("source"), F.max("z0").alias("z0"), F.max("z1").alias("z1"))
+        rest = stored(every.join(said, "doc_id", "left_anti"))
+        handed = []
+        for v in (0, 1):
+            before = spark.createDataFrame([(i,) for i in sorted(given[1 - v])], "doc_id long")
+            handed.append(dict(surest(rest.join(F.broadcast(before), "doc_id", "left_anti"), v, float(y[own].mean()), how)))
+        new = sorted(set(handed[0]) | set(handed[1]))
+        if not new:
+            break
+        got = _gathered(docs, spark.createDataFrame([(i,) for i in new], "doc_id long"))
+        for v in (0, 1):
+            mine = np.array([k for k, i in enumerate(got.ids.tolist()) if i in handed[v]], np.int64)
+            if len(mine):
+                learned[1 - v].append((got.views[1 - v].take(mine), np.array([handed[v][i] for i in got.ids[mine].tolist()], float)))
+            given[1 - v] |= set(handed[v])
+        drop(rest)
+    return calibrated(weights, sample.take(cal), y[cal], how)
 
 
 def classify(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining()) -> DataFrame:
-    """(doc_id, p_text, p_meta, p_good, kept), a row for each row of docs(doc_id, text, lang, source, n_chars).
+    """(doc_id, p_text, p_meta, p_good, kept), a row for each row of docs(doc_id, text, lang, source).
 
     labels(doc_id, quality, toxic) may cover any part of docs.  Null and empty
     texts have no words and get the text view's constant; null metadata is a
-    value of its own.  Repeated rows each get a row.  Without labels every
-    probability is 0.5, and kept.  An empty table gives an empty result.  Other
-    columns are not read.
+    value of its own, a length is that of the text.  Repeated rows each get a
+    row and are scored alike.  Ties between equally sure documents go by a keyed
+    hash of the id.  Without labels every probability is 0.5, and kept.  An
+    empty table gives an empty result.  Other columns are not read.
     """
-    model = train(small_batches(docs), labels, how)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = small_batches(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, how))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        words, meta = m.words.astype(float), m.meta.astype(float)
         for batch in batches:
-            meta = meta_view(*(column(batch, c).to_pylist() for c in ("lang", "source", "n_chars"))).dot(m.meta.astype(float))
-            for lo, hi, t in chunks(column(batch, "text"), lower=True):
-                a, b, p = m.probability(word_view(t).dot(m.words.astype(float)), meta[lo:hi])
+            for lo, hi, x, y in _views(batch):
+                a, b, p = m.probability(x.dot(words), y.dot(meta))
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(a), pa.array(b), pa.array(p), pa.array(p >= m.cut)], ["doc_id", "p_text", "p_meta", "p_good", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).mapInArrow(run, "doc_id long, p_text double, p_meta double, p_good double, kept boolean")
+    return _read(docs).mapInArrow(run, "doc_id long, p_text double, p_meta double, p_good double, kept boolean")
