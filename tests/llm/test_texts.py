@@ -253,7 +253,7 @@ def test_language_model(spark):
     count = Counter(w for i, ws in rows.items() if not held[i] for w in ws)
     ends = sum(not h for h in held.values())
     n, v = sum(count.values()) + ends, len(count) + 1
-    got = {r.doc_id: r for r in maxent_lm.score(df, maxent_lm.MaxEnt(known=500, clustered=400)).collect()}
+    got = {r.doc_id: r for r in maxent_lm.score(df, maxent_lm.MaxEnt(known=4, clustered=400)).collect()}
     assert set(got) == set(rows)
     for i, ws in rows.items():
         r = got[i]
@@ -267,7 +267,7 @@ def test_language_model(spark):
 def test_language_model_is_a_distribution():
     """Class shares sum to 1 whatever the history, and words to 1 within a class."""
     rng = np.random.default_rng(0)
-    how = maxent_lm.MaxEnt(own=3, groups=4, table=64)
+    how = maxent_lm.MaxEnt(own=3, groups=4)
     w, b = rng.normal(size=(64, how.classes)).astype(np.float32), rng.normal(size=how.classes).astype(np.float32)
     rows = rng.integers(0, 64, (5, 4)).astype(np.int32)
     total = sum(np.exp(maxent_lm.target_logs(w, b, rows, np.full(5, c))) for c in range(how.classes))
@@ -285,6 +285,21 @@ def test_gradient_steps_sum_repeated_rows():
     assert got == pytest.approx(want, abs=1e-4)
 
 
+def test_language_model_is_the_same_whatever_the_layout(spark):
+    df = corpus(spark)
+    how = maxent_lm.MaxEnt(slice=8)
+    scores = [sorted((r.doc_id, round(r.score, 3)) for r in maxent_lm.score(d, how).collect()) for d in (df, df.repartition(7), df.orderBy("text").coalesce(1))]
+    assert scores[0] == scores[1] == scores[2]
+
+
+def test_language_model_counts_repeated_rows(spark):
+    df = docs(spark, ["a b c a", "b b", None, "a"])
+    one = {r.doc_id: r for r in maxent_lm.score(df).collect()}
+    two = maxent_lm.score(df.union(df)).collect()
+    assert len(two) == 8 and {r.train_tokens for r in two} == {2 * one[0].train_tokens}
+    assert len({(r.doc_id, round(r.score, 6), r.n_known) for r in two}) == 4
+
+
 def test_language_model_edges(spark):
     assert maxent_lm.score(docs(spark, [])).count() == 0
     got = {r.doc_id: r for r in maxent_lm.score(docs(spark, ODD, extra=True)).collect()}
@@ -450,6 +465,26 @@ def test_held_out_accuracy(spark):
     assert auc > 0.9
 
 
+def test_cotraining_hangs_on_the_rows_alone(spark):
+    df, labels = corpus(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    how = cotrain.CoTraining(give=40)
+    key = lambda d: sorted((r.doc_id, round(r.p_good, 9), r.kept) for r in cotrain.classify(d, labels, how).collect())
+    once = key(df)
+    twice = key(df.union(df).repartition(5))
+    assert twice[::2] == twice[1::2] and [x[0] for x in twice[::2]] == [x[0] for x in once]
+
+
+def test_surest_go_in_turn_by_source(spark):
+    rows = [(i, "hot" if i < 900 else f"s{i % 3}", float(i % 50) - 20, 0.0) for i in range(1000)] + [(2000, None, 99.0, 0.0)]
+    got = cotrain.surest(spark.createDataFrame(rows, "doc_id long, source string, z0 double, z1 double"), 0, 0.8, cotrain.CoTraining(give=50))
+    place = {r[0]: r for r in rows}
+    good, bad = [i for i, y in got if y], [i for i, y in got if not y]
+    assert len(good) == 40 and len(bad) == 10 and 2000 in good
+    assert all(place[i][2] >= 2.2 for i in good) and all(place[i][2] <= -2.2 for i in bad)
+    assert len({place[i][1] for i in good}) == 5 and sum(place[i][1] == "hot" for i in good) <= 10
+    assert cotrain.surest(spark.createDataFrame(rows, "doc_id long, source string, z0 double, z1 double"), 1, 0.8, cotrain.CoTraining()) == []
+
+
 def test_cotraining_edges(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert cotrain.classify(docs(spark, []), labels).count() == 0

@@ -2,14 +2,17 @@
 
 P(word | history) = P(class | history) * P(word | class).  The class factor is a
 softmax over a few dozen word classes, with hashed n-gram and skip features of
-the words before; its weights are trained by distributed gradient updates:
-every task descends over its own texts from the shared weights, and the weights
-are averaged, round by round.  The word factor needs only counts, taken by Spark
-over the whole training part.  Scoring runs in sparse numpy batches.
+the words before; its weights are trained by distributed gradient updates: texts
+are dealt into slices by a hash, each slice descends from the shared weights, and
+the weights are averaged, round by round, so that what is learned hangs on the
+texts alone and not on cores or files.  The word factor is the share of its count
+in its class, taken by Spark over the whole training part.  Scoring runs in sparse
+numpy batches.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,21 +25,30 @@ from thicket.scratch import drop, small_batches, stored
 from thicket.llm.wordgrid import Held, Texts, chunks, column, keyed
 
 ALPHA = 0.1
+#: Weights are summed in so many parts.
+SLICES = 64
+
+
+def _power(x: float, least: int = 1) -> int:
+    """The least power of two from x, and from ``least``, on."""
+    return max(least, 1 << max(0, math.ceil(math.log2(max(x, 1)))))
 
 
 @dataclass(frozen=True)
 class MaxEnt:
     """own: the most frequent words, each a class of its own; groups: classes
-    of all other words, by the words they follow.  table: rows of hashed weights
-    (a power of two).  known: frequent words whose counts every task holds in
-    sorted hash arrays; the counts of all others are joined.  rounds: averaged
-    passes, each over a different ``rounds``-th of the training texts, so that
-    all are used once."""
+    of all other words, by the words they follow.  table: rows of hashed weights,
+    and known: frequent words whose counts every task holds in sorted hash arrays,
+    both for each square root of distinct words, to the next power of two; the
+    counts of all other words are joined.  rounds: averaged passes, each over a
+    different ``rounds``-th of the training texts, so that all are used once.
+    slice: tokens of a slice, for each row of the table."""
 
     own: int = 31
     groups: int = 32
-    table: int = 1 << 15
-    known: int = 1 << 17
+    table: int = 16
+    known: int = 64
+    slice: int = 64
     anchors: int = 64
     clustered: int = 1 << 13
     rounds: int = 3
@@ -44,6 +56,9 @@ class MaxEnt:
     batch: int = 2048
     held_out: int = 10
 
+    def rows(self, words: int) -> int:
+        return _power(self.table * math.sqrt(max(1, words)), SLICES)
+
     @property
     def classes(self) -> int:
         return self.own + self.groups + 1  # and the end of a text
@@ -186,7 +201,7 @@ def _frequent(counted: DataFrame, most: int) -> pa.Table:
 
 
 def vocabulary(train: DataFrame, counted: DataFrame, how: MaxEnt) -> Vocabulary:
-    top = _frequent(counted, how.known)
+    top = _frequent(counted, _power(how.known * math.sqrt(counted.count())))
     h, n, e = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy(), top.column("e").to_numpy()
     cls = np.full(len(h), how.own, np.int64)
     own = min(how.own, len(h))
@@ -224,12 +239,13 @@ def vocabulary(train: DataFrame, counted: DataFrame, how: MaxEnt) -> Vocabulary:
         live = np.flatnonzero(held[1])
         yield pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), pa.array(held[0][live].astype(np.int64)), pa.array(held[1][live].astype(np.int64))], ["c", "mass", "kinds"])
 
+    # the last class, that of text ends, has no words
     for c, m, d in rest.mapInArrow(per_class, "c int, mass long, kinds long").groupBy("c").agg(F.sum("mass"), F.sum("kinds")).collect():
         mass[c], kinds[c] = m, d
     return Vocabulary(h[order], n[order], cls[order], by_ending, mass, kinds)
 
 
-def features(t: Texts, hashes: np.ndarray, cls: np.ndarray, how: MaxEnt) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(t: Texts, hashes: np.ndarray, cls: np.ndarray, how: MaxEnt, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(feature rows by token, target class, document) for each word and each text's end: the word before, the two before, and skips to the second and third before by class and word."""
     n = t.n_words
     docs = np.arange(len(t))
@@ -253,7 +269,7 @@ def features(t: Texts, hashes: np.ndarray, cls: np.ndarray, how: MaxEnt) -> tupl
 
     one, two, three = back(seq, 1), back(seq, 2), back(kind + np.uint64(1), 3)
     c1, c2 = back(kind + np.uint64(1), 1), back(kind + np.uint64(1), 2)
-    mask = np.uint64(how.table - 1)
+    mask = np.uint64(table - 1)
     rows = np.stack([keyed(one, 41) & mask, keyed(c1 * np.uint64(1009) + c2, 42) & mask, keyed(two, 43) & mask, keyed(c1 * np.uint64(1000003) + c2 * np.uint64(1009) + three, 44) & mask], 1)
     return rows.astype(np.int32), target, doc
 
@@ -292,7 +308,7 @@ def _run_sums(x: np.ndarray, order: np.ndarray, first: np.ndarray, size: np.ndar
 
 
 def _descend(weights: np.ndarray, bias: np.ndarray, squares: np.ndarray, rows: np.ndarray, target: np.ndarray, step: float) -> None:
-    """One adaptive gradient step over some tokens, in place: sparse rows are summed first, then scaled by each row's own past.  Biases stay at the class shares, which the weights correct."""
+    """One adaptive gradient step over some tokens, in place: sparse rows are summed first, then scaled by each row's own past.  squares has one more place than weights has rows, for the bias."""
     grad = _logits(weights, bias, rows)
     np.exp(grad, out=grad)
     grad /= grad.sum(1, keepdims=True)
@@ -308,53 +324,88 @@ def _descend(weights: np.ndarray, bias: np.ndarray, squares: np.ndarray, rows: n
         squares[live] = past
         total *= (step / np.sqrt(past + 1.0))[:, None]
         weights[live] -= total
+    total = grad.sum(0)
+    squares[-1] += total @ total / len(total)
+    bias -= (step / np.sqrt(squares[-1] + 1.0)) * total
+
 
+def train_weights(train: DataFrame, vocab: Vocabulary, how: MaxEnt, n_ends: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, bias) by averaged rounds: in each, every slice of that round's texts descends from the shared weights; means are weighted by how many tokens touched a row.
 
-def train_weights(train: DataFrame, vocab: Vocabulary, how: MaxEnt) -> tuple[np.ndarray, np.ndarray]:
-    """Weights by averaged rounds: in each, every task descends over its texts of that round from the shared weights; means are weighted by how many tokens touched a row."""
-    n_docs = max(1.0, vocab.mass.sum() * 1e-3)
+    A text's round and slice, and its place there, are told by a hash of it; a
+    slice is cut into gradient steps by number of tokens.
+    """
+    table = how.rows(int(vocab.kinds.sum()))
     share = vocab.mass + ALPHA
-    share[-1] = n_docs
+    share[-1] = n_ends + ALPHA
     bias = np.log(share / share.sum()).astype(np.float32)
-    weights = np.zeros((how.table, how.classes), np.float32)
-    squares = np.zeros(how.table, np.float32)
+    weights = np.zeros((table, how.classes), np.float32)
+    squares = np.zeros(table + 1, np.float32)
     spark = train.sparkSession
-    slices = 64
-    per = how.table // slices
-    trainers = max(spark.sparkContext.defaultParallelism, train.rdd.getNumPartitions() // READS)
+    per = table // SLICES
+    n_slices = max(1, math.ceil((vocab.mass.sum() + n_ends) / how.rounds / (how.slice * table)))
+    key = F.xxhash64(F.lit(51), F.col("doc_id"), F.col("text"), F.col("doc_id").isNull())
+    dealt = train.select("text", key.alias("key")).withColumn("round", F.pmod("key", F.lit(how.rounds))).withColumn("part", F.pmod(F.floor(F.pmod("key", F.lit(1 << 40)) / how.rounds), F.lit(n_slices)).cast("int"))
     for turn in range(how.rounds):
         shared = spark.sparkContext.broadcast((vocab, weights, bias, squares))
 
-        def run(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            v, w0, b, s0 = shared.value
-            w, s = w0.copy(), s0.copy()
-            seen = np.zeros(how.table, np.float32)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            v, w0, b0, s0 = shared.value
+            now: int | None = None
+            w = b = s = seen = None
+            left: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def step(rows: np.ndarray, target: np.ndarray) -> None:
+                _descend(w, b, s, rows, target, how.step)
+                for k in range(rows.shape[1]):
+                    np.add.at(seen, rows[:, k], np.float32(1))
+                seen[-1] += len(rows)
+
+            def steps(all_: bool) -> None:
+                rows, target = (np.concatenate(x) for x in zip(*left, strict=True))
+                whole = len(rows) if all_ else len(rows) - len(rows) % how.batch
+                for lo in range(0, whole, how.batch):
+                    step(rows[lo : lo + how.batch], target[lo : lo + how.batch])
+                left[:] = [(rows[whole:], target[whole:])] if whole < len(rows) else []
+
+            def close() -> Iterator[pa.RecordBatch]:
+                if now is None:
+                    return
+                if left:
+                    steps(True)
+                both = np.concatenate(((w - w0) * seen[:-1, None], seen[:-1, None], (s - s0)[:-1, None]), 1).astype(np.float32)
+                for i in np.flatnonzero((seen[:-1] > 0).reshape(SLICES, per).any(1)).tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([both[i * per : (i + 1) * per].tobytes()], pa.binary())], ["slice", "counts"])
+                own = np.concatenate(((b - b0) * seen[-1], seen[-1:], (s - s0)[-1:])).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([SLICES], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["slice", "counts"])
+
             for batch in batches:
-                mine = keyed(np.nan_to_num(column(batch, "doc_id").to_numpy(zero_copy_only=False).astype(np.float64), nan=-1).astype(np.int64), 51) % np.uint64(how.rounds) == turn
-                for _, _, t in chunks(column(batch, "text").filter(pa.array(mine)), lower=True, size=1 << 18):
-                    h = t.word_hashes()
-                    rows, target, _ = features(t, h, v.classify(t, v.place(h)), how)
-                    for lo in range(0, len(rows), how.batch):
-                        _descend(w, b, s, rows[lo : lo + how.batch], target[lo : lo + how.batch], how.step)
-                    for k in range(rows.shape[1]):
-                        seen += np.bincount(rows[:, k], minlength=how.table).astype(np.float32)
-            touched = seen > 0
-            both = np.concatenate(((w - w0) * seen[:, None], seen[:, None], (s - s0)[:, None]), 1).astype(np.float32)
-            live = np.flatnonzero(touched.reshape(slices, per).any(1))
-            for i in live:
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([both[i * per : (i + 1) * per].tobytes()], pa.binary())], ["slice", "counts"])
-
-        for i, c in _summed(train.select("doc_id", "text").coalesce(trainers).mapInArrow(run, "slice int, counts binary"), slices):
+                parts = column(batch, "part").to_numpy()
+                cuts = np.concatenate(([0], np.flatnonzero(parts[1:] != parts[:-1]) + 1, [len(parts)])) if len(parts) else [0]
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                    if parts[lo] != now:
+                        yield from close()
+                        now, w, b, s, seen = int(parts[lo]), w0.copy(), b0.copy(), s0.copy(), np.zeros(table + 1, np.float32)
+                    for _, _, t in chunks(column(batch, "text").slice(lo, hi - lo), lower=True, size=1 << 18):
+                        h = t.word_hashes()
+                        rows, target, _ = features(t, h, v.classify(t, v.place(h)), how, table)
+                        left.append((rows, target))
+                        if sum(len(r) for r, _ in left) >= 16 * how.batch:
+                            steps(False)
+            yield from close()
+
+        mine = dealt.where(F.col("round") == turn).select("part", "key", "text").repartitionById(n_slices, F.col("part")).sortWithinPartitions("part", "key")
+        for i, c in _summed(mine.mapInArrow(run, "slice int, counts binary"), SLICES):
+            if i == SLICES:
+                bias = bias + c[: how.classes] / max(float(c[how.classes]), 1e-9)
+                squares[-1] += c[-1]
+                continue
             c = c.reshape(per, how.classes + 2)
             at = slice(i * per, (i + 1) * per)
             weights[at] += c[:, : how.classes] / np.maximum(c[:, how.classes : how.classes + 1], 1e-9)
-            squares[at] += c[:, how.classes + 1]
+            squares[:-1][at] += c[:, how.classes + 1]
         shared.unpersist()
-    return weights, bias
-
-
-#: Input splits a gradient task reads, if that leaves a task for each core: what the tasks send, the weights each, stays a small share of the input.
-READS = 8
+    return weights, bias.astype(np.float32)
 
 
 def score(docs: DataFrame, how: MaxEnt = MaxEnt()) -> DataFrame:
@@ -369,8 +420,9 @@ def score(docs: DataFrame, how: MaxEnt = MaxEnt()) -> DataFrame:
     word a class.  With nothing to learn from, counts are 0.  An empty table gives an empty
     result.  Other columns are not read.
 
-    Counts of frequent words lie in sorted arrays of fixed size in every task;
-    all other words are joined to their counts, summed first by text.
+    Repeated rows each get a row and count each time.  Counts of frequent words
+    lie in sorted arrays in every task; all other words are joined to their
+    counts, summed first by text.
     """
     rows = _rows(small_batches(docs), how)
     train = rows.where("not held_out")
@@ -379,7 +431,7 @@ def score(docs: DataFrame, how: MaxEnt = MaxEnt()) -> DataFrame:
     n_words, v_words = int(vocab.mass.sum()), int(vocab.kinds.sum())
     n_ends = train.count()
     n, v = n_words + n_ends, v_words + (n_ends > 0)
-    weights, bias = train_weights(train, vocab, how) if n_ends else (np.zeros((how.table, how.classes), np.float32), np.zeros(how.classes, np.float32))
+    weights, bias = train_weights(train, vocab, how, n_ends) if n_ends else (np.zeros((SLICES, how.classes), np.float32), np.zeros(how.classes, np.float32))
     # a class's unseen word has ALPHA as well; own classes have no unseen one
     unseen = np.r_[np.zeros(how.own), np.ones(how.groups), 0]
     inside = np.log10(np.maximum(vocab.mass + ALPHA * (vocab.kinds + unseen), 1e-300))
@@ -393,7 +445,7 @@ def score(docs: DataFrame, how: MaxEnt = MaxEnt()) -> DataFrame:
                 h = t.word_hashes()
                 at = vo.place(h)
                 cls = vo.classify(t, at)
-                feats, target, doc = features(t, h, cls, how)
+                feats, target, doc = features(t, h, cls, how, len(w))
                 total = np.zeros(len(t))
                 for a in range(0, len(feats), how.batch):
                     logs = target_logs(w, b, feats[a : a + how.batch], target[a : a + how.batch])
