@@ -250,8 +250,11 @@ def surest(rows: DataFrame, view: int, good: float, how: CoTraining) -> list[tup
     z, tie = F.round(f"z{view}", 9), F.xxhash64(F.lit(how.seed + 2), "doc_id")
     out = []
     for label, n, keep, order in ((0, bad_n, z <= -edge, z), (1, how.give - bad_n, z >= edge, -z)):
-        turn = F.row_number().over(Window.partitionBy("source").orderBy("order", "tie", "doc_id"))
-        first = rows.where(keep).select("doc_id", "source", order.alias("order"), tie.alias("tie")).withColumn("turn", turn).where(F.col("turn") <= n)
+        able = rows.where(keep).select("doc_id", "source", order.alias("order"), tie.alias("tie"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt"))
+        # of a source that has most of all rows, no task sees more than 64 times n
+        for by in (["source", "salt"], ["source"]):
+            able = able.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy("order", "tie", "doc_id"))).where(F.col("turn") <= n)
+        first = able
         out += [(r.doc_id, label) for r in first.orderBy("turn", "order", "tie", "doc_id").limit(n).select("doc_id").collect()]
     return out
 
