@@ -37,6 +37,28 @@ def test_run_is_the_stages(spark):
     assert out.columns == ["doc_id", "source", "ids"] and out.where(F.size("ids") < 1).count() == 0 and out.count() > 50
 
 
+def test_odd_rows(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows and a column of a clashing name go through every stage."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = " ".join(f"w{i % 7000} and{',' if i % 9 == 0 else ''}" for i in range(20000))
+    odd = [(None, None, None, None, None), (10**6, "", "en", None, 0), (10**6, "", "en", None, 0), (10**6 + 1, long, None, "s", None), (10**6 + 1, long, None, "s", None), (None, long + " more", "en", "s", 5)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("_copy", F.lit("x")).withColumn("n_removed", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF).cache()
+        assert out.count() > 50
+        if name != "encode":
+            assert out.columns == docs.columns
+            docs = out
+    assert out.columns == ["doc_id", "source", "ids"] and out.count() == docs.count()
+
+
+def test_copies_of_the_mix_are_cut_in_their_own_ways_and_stay_in_order(spark):
+    text = "internationalization of documentation and standardization " * 8
+    docs = spark.createDataFrame([(i, text, "en", "s", len(text)) for i in (3, 1, 3, 2, 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.encode(spark, docs.coalesce(1), SF).collect()
+    assert [r.doc_id for r in got] == [3, 1, 3, 2, 3] and len({tuple(r.ids) for r in got}) == 5
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES[:-1]:

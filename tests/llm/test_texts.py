@@ -89,6 +89,26 @@ def test_quality_edges(spark):
     assert not any(r.kept for r in quality_rules.verdicts(docs(spark, ODD[:8], extra=True)).collect())
 
 
+def test_bands_are_those_of_sorted_values(spark):
+    rng = np.random.default_rng(2)
+    rows = [(None if i % 3 == 0 else f"l{i % 3}", bool(i % 7 == 0), float(x), float(x) / 3) for i, x in enumerate(rng.normal(6, 1, 2000))] + [("empty", True, 1.0, 1.0), ("l1", False, None, None)]
+    df = spark.createDataFrame(rows, "lang string, base_failed boolean, log_ppl double, log_order double")
+    got = {r.lang: r for r in quality_rules.bands(df, quality_rules.Rules()).collect()}
+    again = {r.lang: r for r in quality_rules.bands(df.repartition(9), quality_rules.Rules()).collect()}
+    assert got == again and set(got) == {None, "l1", "l2"}
+    for lang, r in got.items():
+        x = np.array([v for g, bad, v, _ in rows if g == lang and not bad and v is not None])
+        mid, top = np.percentile(x, [50, 75])
+        assert r.low == pytest.approx(0.62 * mid, abs=0.01) and r.high == pytest.approx(mid + 3.5 * (top - mid) / 0.6745, abs=0.05)
+
+
+def test_quality_of_very_long_and_repeated_texts(spark):
+    long = " ".join(f"w{i % 9000}" for i in range(120000))
+    got = quality_rules.verdicts(docs(spark, [long, "a b " * 30, "a b " * 30, None])).collect()
+    assert {(r.doc_id, r.n_words) for r in got} == {(0, 120000), (1, 60), (2, 60), (3, 0)}
+    assert [r.log_ppl for r in got if r.doc_id == 1] == [r.log_ppl for r in got if r.doc_id == 2]
+
+
 def test_quality_rejects_gibberish_and_shuffled_texts(spark):
     rng = random.Random(4)
     df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
