@@ -65,3 +65,13 @@ def test_shared_child_once(spark):
     q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, query array<double>")
     got = [(r.step, r.rk, r.node_index) for r in traverse(q, nodes, edges, 1, 2).orderBy("step", "rk").collect()]
     assert got == [(0, 1, 10), (0, 2, 11), (1, 1, 3), (1, 2, 4)]
+
+
+def test_numbered_goes_on_from_part_to_part(spark):
+    from thicket.operators.number import numbered
+
+    rows = [(g, v) for g, k in ((1, 300), (2, 1), (None, 5), (7, 40)) for v in range(k)]
+    df = spark.createDataFrame(rows, "g long, v long").repartition(5)
+    got = [tuple(r) for r in numbered(df, "g", ["v"], "no").collect()]
+    assert sorted(got, key=str) == sorted(((g, v, v + 1) for g, v in rows), key=str)
+    assert numbered(df.where("false"), "g", ["v"], "no").count() == 0

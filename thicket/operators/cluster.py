@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from thicket.config import ClusterConfig
 from thicket.operators.mixture import Run, advance, axes_of, best_number, bic_of, bic_sweep, centres_of, mixture_fit, moments, numbers, scatter, soft_labels
+from thicket.operators.number import numbered
 from thicket.scratch import drop, stored
 
 #: A sweep over component numbers is cut into so many tasks.
@@ -277,9 +278,8 @@ def cluster_nodes(nodes: DataFrame, cfg: ClusterConfig) -> DataFrame:
     for d in done[1:]:
         out = out.unionByName(d)
     tree = F.split_part(F.col("group"), F.lit("/"), F.lit(1)).cast("long")
-    ids = out.select("group").distinct().withColumn("tree_id", tree)
-    ids = ids.withColumn("cluster_id", F.row_number().over(Window.partitionBy("tree_id").orderBy("group")) - 1)
-    return out.join(ids, "group").select("tree_id", "cluster_id", "node_index")
+    ids = numbered(out.select("group").distinct().withColumn("tree_id", tree), "tree_id", ["group"], "number")
+    return out.join(ids, "group").select("tree_id", (F.col("number") - 1).alias("cluster_id"), "node_index")
 
 
 def value_backmap(rows: DataFrame, labels: DataFrame) -> DataFrame:

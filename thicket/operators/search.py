@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.functions.vectors import METRICS, cosine_distance, distance, dot, square
+from thicket.operators.number import numbered
 from thicket.scratch import stored
 
 #: Queries are broadcast in blocks of so many, so that what is broadcast has a bound.
@@ -132,8 +133,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", c
 
 
 def beyond(queries: DataFrame, rows: DataFrame, threshold: float, metric: str = "cosine") -> DataFrame:
-    """(query_id, the node's key, score, rk): the rows *farther* than a threshold, nearest first, as threshold selection is defined."""
-    return ranked(scored(queries, rows, metric).where(F.col("score") > threshold))
+    """(query_id, the node's key, score, rk): the rows *farther* than a threshold, nearest first, as threshold selection is defined.  As these can be most of all rows, a query's are ranked in many tasks."""
+    return numbered(scored(queries, rows, metric).where(F.col("score") > threshold), "query_id", ["score", *key_of(rows)], "rk")
 
 
 def within_budget(selected: DataFrame, max_tokens: int | None, include_overflow: bool = False) -> DataFrame:

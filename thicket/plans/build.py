@@ -5,7 +5,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.config import ClusterConfig, TreeConfig
@@ -13,6 +13,7 @@ from thicket.functions.text import context, token_count
 from thicket.models import embed, summarize
 from thicket.operators.chunk import chunks
 from thicket.operators.cluster import MixtureClustering
+from thicket.operators.number import numbered
 from thicket.operators.search import beyond, top_k
 from thicket.plans.tree import Tree
 from thicket.scratch import stored
@@ -45,9 +46,8 @@ def leaves(docs: DataFrame, cfg: ClusterConfig) -> DataFrame:
 
 def number_parents(clusters: DataFrame, base: DataFrame) -> DataFrame:
     """(tree_id, cluster_id, node_index): dense numbers from each tree's base on, in cluster order."""
-    ids = clusters.select("tree_id", "cluster_id").distinct()
-    rank = F.row_number().over(Window.partitionBy("tree_id").orderBy("cluster_id"))
-    return ids.join(base, "tree_id").select("tree_id", "cluster_id", (F.col("base") + rank - 1).cast("int").alias("node_index"))
+    ids = numbered(clusters.select("tree_id", "cluster_id").distinct(), "tree_id", ["cluster_id"], "number")
+    return ids.join(base, "tree_id").select("tree_id", "cluster_id", (F.col("base") + F.col("number") - 1).cast("int").alias("node_index"))
 
 
 def build_tree(docs: DataFrame, cfg: ClusterConfig | None = None) -> Tree:
