@@ -102,6 +102,19 @@ def test_bands_are_those_of_sorted_values(spark):
         assert r.low == pytest.approx(0.62 * mid, abs=0.01) and r.high == pytest.approx(mid + 3.5 * (top - mid) / 0.6745, abs=0.05)
 
 
+def test_tables_keep_to_their_size(spark):
+    n = [1] * 50 + [2] * 30 + [3] * 20 + [7] * 10 + [5000] * 4 + [6000] * 3
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(n)], "k long, n long")
+    for most in (0, 2, 3, 7, 16, 17, 36, 37, 67, 10**6):
+        least, k = quality_rules.least_count(df, most)
+        assert least >= 2 and k == sum(x >= least for x in n) <= most
+        below = max((x for x in n if x < least), default=0)
+        assert below < 2 or sum(x >= below for x in n) > most
+        assert len(quality_rules.packed(df, most, True)) == k
+    m = quality_rules.train(corpus(spark), quality_rules.Rules(entries=500))
+    assert 0 < len(m.tri) <= 500 and 0 < len(m.known) <= 500
+
+
 def test_quality_of_very_long_and_repeated_texts(spark):
     long = " ".join(f"w{i % 9000}" for i in range(120000))
     got = quality_rules.verdicts(docs(spark, [long, "a b " * 30, "a b " * 30, None])).collect()
