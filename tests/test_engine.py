@@ -187,6 +187,26 @@ def test_own_clustering_and_builder(spark):
         ClusterConfig(clustering_algorithm=3)
 
 
+def test_tree_of_neighbours(spark):
+    from thicket.operators.search import tree_neighbours
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(30, 5))
+    rows = spark.createDataFrame([(t, i, v.tolist()) for t in (0, 1) for i, v in enumerate(x[: 30 - 20 * t])], "tree_id long, node_index int, embedding array<double>")
+    got = {}
+    for r in tree_neighbours(rows, 3, block=7).collect():
+        got[r.tree_id, r.node_index, r.rk] = r.neighbour
+    for t, n in ((0, 30), (1, 10)):
+        u = x[:n] / np.linalg.norm(x[:n], axis=1, keepdims=True)
+        want = np.argsort(np.round(1 - u @ u.T, 12), axis=1, kind="stable")[:, :3]
+        assert all(got[t, i, k + 1] == want[i, k] for i in range(n) for k in range(3))
+    e = Engine(spark, EngineConfig(tree=ClusterConfig(max_tokens=8, num_layers=2, top_k=2), tree_builder_type="neighbours"))
+    e.add_documents(story(6))
+    n = e.tree.nodes.where("layer = 0").count()
+    assert e.tree.nodes.count() == 3 * n and e.tree.edges.count() == 4 * n and e.tree.num_layers() == 2
+    assert "bread" in e.answer_question("bread oven flour").lower()
+
+
 def test_flat(spark):
     docs = spark.createDataFrame([(0, story(30))], "tree_id long, text string")
     f = FlatRetriever(FlatConfig(max_tokens=10, max_context_tokens=30))

@@ -41,7 +41,7 @@ _NONE = type(None)
 
 @dataclass(frozen=True)
 class TreeConfig:
-    """How trees are built.  threshold and top_k are for neighbour selection among nodes and have no part in a built tree; the clustering's own threshold is cluster_threshold.  encode: a tokenizer of Python's; None counts words."""
+    """How trees are built.  threshold and top_k are for neighbour selection among nodes: a tree of clusters has no part for them, one of neighbours takes top_k; the clustering's own threshold is cluster_threshold.  encode: a tokenizer of Python's; None counts words."""
 
     max_tokens: int = 100
     num_layers: int = 5

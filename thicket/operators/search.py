@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,6 +138,32 @@ def beyond(queries: DataFrame, rows: DataFrame, threshold: float, metric: str =
     return numbered(scored(queries, rows, metric).where(F.col("score") > threshold), "query_id", ["score", *key_of(rows)], "rk")
 
 
+def tree_neighbours(nodes: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """(tree_id, node_index, neighbour, score, rk): of nodes(tree_id, node_index, embedding) the k nearest of the same tree by cosine distance, itself included, ties by number.
+
+    A tree is dealt into blocks, each met with each; every meeting gives only
+    the k best of its rows, so a large tree is compared in many tasks.
+    """
+    own = nodes.select("tree_id", "node_index", "embedding")
+    sized = own.join(own.groupBy("tree_id").agg(F.ceil(F.count("*") / block).cast("int").alias("b")), "tree_id").withColumn("i", F.pmod(F.xxhash64("node_index"), F.col("b")).cast("int"))
+    met = F.explode(F.sequence(F.lit(0), F.col("b") - 1))
+    left = sized.withColumn("j", met).select("tree_id", "i", "j", "node_index", "embedding")
+    right = sized.withColumn("j", met).select(F.col("tree_id").alias("of_tree"), F.col("j").alias("of_i"), F.col("i").alias("of_j"), F.col("node_index").alias("neighbour"), F.col("embedding").alias("vector"))
+
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"tree_id": [], "node_index": [], "neighbour": [], "score": []})
+        q, x = (np.stack(v.to_numpy()).astype(np.float64) for v in (a.embedding, b.vector))
+        others = b.neighbour.to_numpy()
+        s = np.round(block_scores(q, x, "cosine"), DIGITS)
+        i, j = _best(s, [others], k)
+        return pd.DataFrame({"tree_id": a.tree_id.to_numpy()[i], "node_index": a.node_index.to_numpy()[i], "neighbour": others[j], "score": s[i, j]})
+
+    pairs = left.groupBy("tree_id", "i", "j").cogroup(right.groupBy("of_tree", "of_i", "of_j")).applyInPandas(near, "tree_id long, node_index int, neighbour int, score double")
+    rank = F.row_number().over(Window.partitionBy("tree_id", "node_index").orderBy("score", "neighbour"))
+    return pairs.withColumn("rk", rank).where(F.col("rk") <= k)
+
+
 def within_budget(selected: DataFrame, max_tokens: int | None, include_overflow: bool = False) -> DataFrame:
     """The first rows of each query, by rk, that a token budget admits.
 

@@ -14,7 +14,7 @@ from thicket.models import embed, summarize
 from thicket.operators.chunk import chunks
 from thicket.operators.cluster import MixtureClustering
 from thicket.operators.number import numbered
-from thicket.operators.search import beyond, top_k
+from thicket.operators.search import beyond, top_k, tree_neighbours
 from thicket.plans.tree import Tree
 from thicket.scratch import stored
 
@@ -113,5 +113,28 @@ class ClusterTreeBuilder(TreeBuilder):
         return build_tree(docs, self.cfg)
 
 
+class NeighbourTreeBuilder(TreeBuilder):
+    """Every node of a layer has a parent of its own, the summary of its top_k nearest nodes in the layer, itself included, nearest first; num_layers layers above the leaves."""
+
+    def build(self, docs: DataFrame) -> Tree:
+        cfg = self.cfg
+        live = stored(leaves(docs, cfg))
+        vectors = stored(_embedded(live, cfg))
+        nodes, embeddings, edges = [live], [vectors], []
+        for layer in range(1, cfg.num_layers + 1):
+            size = live.groupBy("tree_id").agg(F.count("*").cast("int").alias("n"))
+            near = tree_neighbours(vectors.where(F.col("model") == cfg.cluster_embedding_model), cfg.top_k).join(size, "tree_id")
+            found = stored(near.select("tree_id", (F.col("node_index") + F.col("n")).alias("parent_index"), F.col("neighbour").alias("child_index"), "rk"))
+            texts = found.join(live.select("tree_id", F.col("node_index").alias("child_index"), "text"), ["tree_id", "child_index"]).groupBy("tree_id", F.col("parent_index").alias("node_index")).agg(context(F.col("text"), F.col("rk")).alias("context"))
+            said = texts.select("tree_id", F.lit(layer).alias("layer"), "node_index", summarize(cfg.summarization_model, F.col("context"), cfg.summarization_length).alias("text"))
+            live = stored(_counted(said, cfg).select("tree_id", "layer", "node_index", "text", "n_tokens"))
+            vectors = stored(_embedded(live, cfg))
+            nodes.append(live)
+            embeddings.append(vectors)
+            edges.append(found.select("tree_id", "parent_index", "child_index"))
+        whole = reduce(DataFrame.unionByName, nodes)
+        return Tree(whole, reduce(DataFrame.unionByName, embeddings), reduce(DataFrame.unionByName, edges), whole.groupBy("tree_id").agg(F.max("layer").alias("num_layers")))
+
+
 #: Builders by name.
-BUILDERS: dict[str, type[TreeBuilder]] = {"cluster": ClusterTreeBuilder}
+BUILDERS: dict[str, type[TreeBuilder]] = {"cluster": ClusterTreeBuilder, "neighbours": NeighbourTreeBuilder}

@@ -23,7 +23,7 @@ from thicket.operators.cluster import MixtureClustering, orphans, reduced, soft_
 from thicket.operators.mixture import bic_sweep
 from thicket.operators.search import beyond, top_k
 from thicket.operators.traverse import traverse
-from thicket.plans.build import build_tree, neighbours, number_parents
+from thicket.plans.build import BUILDERS, build_tree, neighbours, number_parents
 from thicket.plans.engine import Engine
 from thicket.plans.flat import FlatRetriever, flat_select
 from thicket.plans.retrieve import collapsed, contexts
@@ -567,6 +567,18 @@ def flat_from_leaves(spark: SparkSession, d: str) -> DataFrame:
     return _places(engine.retriever.batch(asked)).select("query_id", F.md5("context").alias("context"), "places")
 
 
+_NEAR = f"""{_chunks_sql('benchmark', 'item_id', 12)}, n AS (SELECT row_number() OVER () AS id, item_id, chunk_index, chunk FROM chunks), nt AS (SELECT id, chunk AS text FROM n), ev AS {_hashed_sql('nt', 'id')},
+e AS (SELECT item_id, chunk_index, v, count(*) OVER (PARTITION BY item_id) AS size FROM n JOIN ev USING (id))"""
+
+
+@_query(f"""WITH {_NEAR} SELECT item_id, CAST(q.chunk_index + q.size AS INTEGER) AS parent_index, CAST(e.chunk_index AS INTEGER) AS child_index FROM e q JOIN e USING (item_id)
+QUALIFY row_number() OVER (PARTITION BY item_id, q.chunk_index ORDER BY {_SAFE}, e.chunk_index) <= 2""")
+def neighbour_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The links of trees whose nodes each have a parent over their two nearest nodes."""
+    built = BUILDERS["neighbours"](ClusterConfig(max_tokens=12, num_layers=1, top_k=2)).build(_forest(spark, d)[0])
+    return built.edges.select(F.col("tree_id").alias("item_id"), "parent_index", "child_index")
+
+
 @_query("SELECT * FROM (VALUES ('as indexed', TRUE), ('with other vectors', FALSE)) AS t(vectors, sane)")
 def sanity_check(spark: SparkSession, d: str) -> DataFrame:
     """An index as it was built, and one whose vectors were changed."""
