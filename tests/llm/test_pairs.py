@@ -1,10 +1,12 @@
 """Jaccard join and embedding near-dedup against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import DOCS, components, near_copies, shingles
+from thicket.llm import token_group_join
 from thicket.llm.cell_dedup import Cells, deduplicate
 from thicket.llm.components import components as stars, forest
 from thicket.llm.token_group_join import NEAR, Similarity, bitmaps, classify, folded, keep_one, opened
@@ -68,6 +70,20 @@ def test_bitmaps_never_overrate_what_is_outside():
         assert 8 * x.shape[1] >= 2 * len(a) and outside <= len(set(a.tolist()) - set(b.tolist()))
 
 
+def test_unions_over_batches():
+    rng = np.random.default_rng(2)
+    gid = np.sort(rng.integers(0, 40, 300))
+    rows = [{"gid": int(g), "first": int(g) % 3, "n": int(rng.integers(1, 99)), "bits": rng.integers(0, 256, 8 << (int(g) % 3), dtype=np.uint8).tobytes()} for g in gid]
+    cuts = [0, 1, 7, 7, 120, 300]
+    schema = pa.schema([("gid", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+    got = [r for b in token_group_join._unions(iter([pa.RecordBatch.from_pylist(rows[a:z], schema) for a, z in zip(cuts, cuts[1:], strict=False)])) for r in b.to_pylist()]
+    assert [r["gid"] for r in got] == sorted(set(gid.tolist()))
+    for r in got:
+        own = [x for x in rows if x["gid"] == r["gid"]]
+        want = np.bitwise_or.reduce([np.frombuffer(x["bits"], np.uint8) for x in own])
+        assert (r["members"], r["low"], r["bits"], r["first"]) == (len(own), min(x["n"] for x in own), want.tobytes(), own[0]["first"])
+
+
 def test_union_bound_loses_nothing():
     rng = np.random.default_rng(0)
     sim = Similarity(n=1, percent=80)

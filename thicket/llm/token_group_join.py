@@ -227,7 +227,7 @@ def links(docs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
     a, b = matrix.alias("a"), matrix.alias("b")
     fit = f"a.token = b.token and a.gid < b.gid and 100 * a.high >= {sim.percent} * b.low and 100 * b.high >= {sim.percent} * a.low"
     pairs = stored(a.join(b, F.expr(fit)).groupBy(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).agg(F.count("*").alias("overlap")).where(f"overlap >= {sim.shared}").select("ga", "gb"))
-    unions = stored(members.groupBy("gid", "first", F.pmod("cid", F.lit(16)).alias("s")).applyInArrow(_union, _UNION).groupBy("gid", "first").applyInArrow(_union, _UNION))
+    unions = stored(members.select("gid", "first", "n", "bits").repartition("gid").sortWithinPartitions("gid").mapInArrow(_unions, "gid long, first long, members long, low long, bits binary"))
     # first each group within itself and with the first group of its token; then, of all pairs, what is in different components still
     near = unions.select("gid", "first").join(pairs, F.least("gid", "first").eqNullSafe(F.col("ga")) & F.greatest("gid", "first").eqNullSafe(F.col("gb")), "left_semi")
     alone = unions.where("members > 1").select("gid", "first").join(near, ["gid"], "left_anti").select("gid", F.col("gid").alias("first"))
@@ -266,16 +266,40 @@ def _compared(docs: DataFrame, members: DataFrame, unions: DataFrame, pairs: Dat
     return found
 
 
-_UNION = "gid long, first long, members long, low long, bits binary"
-
-
-def _union(group: pa.Table) -> pa.Table:
-    """A group's number of members, least size and token union; of members, or of parts of them."""
-    bits = np.bitwise_or.reduce(np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint8).reshape(group.num_rows, -1), axis=0)
-    parts = "members" in group.column_names
-    count = sum(group.column("members").to_pylist()) if parts else group.num_rows
-    low = min(group.column("low" if parts else "n").to_pylist())
-    return pa.table({"gid": group.column("gid").slice(0, 1), "first": group.column("first").slice(0, 1), "members": pa.array([count], pa.int64()), "low": pa.array([low], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
+def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each group's number of members, least size and token union; members come sorted by group, whose bitmaps are of one size."""
+    names = ["gid", "first", "members", "low", "bits"]
+    held: list | None = None  # the last group, which the next batch may go on with
+
+    def batch_of(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.binary()), strict=True)], names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        gid, first, n = (column(batch, c).to_numpy() for c in ("gid", "first", "n"))
+        bits = column(batch, "bits")
+        start = np.flatnonzero(np.concatenate(([True], gid[1:] != gid[:-1])))
+        run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(gid))))
+        width = pc.binary_length(bits).to_numpy(zero_copy_only=False)
+        union: list[bytes] = [b""] * len(start)
+        for w in np.unique(width).tolist():
+            rows = np.flatnonzero(width == w)
+            heads = np.flatnonzero(np.concatenate(([True], run[rows[1:]] != run[rows[:-1]])))
+            both = np.bitwise_or.reduceat(np.frombuffer(b"".join(bits.take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), w), heads, axis=0)
+            for k, x in zip(run[rows[heads]].tolist(), both, strict=True):
+                union[k] = x.tobytes()
+        out = [list(r) for r in zip(gid[start].tolist(), first[start].tolist(), np.bincount(run).tolist(), np.minimum.reduceat(n, start).tolist(), union, strict=True)]
+        if held is not None and held[0] == out[0][0]:
+            same = np.frombuffer(held[4], np.uint8) | np.frombuffer(out[0][4], np.uint8)
+            out[0] = [held[0], held[1], held[2] + out[0][2], min(held[3], out[0][3]), same.tobytes()]
+        elif held is not None:
+            out.insert(0, held)
+        held = out.pop()
+        if out:
+            yield batch_of(out)
+    if held is not None:
+        yield batch_of([held])
 
 
 def _qualify(sim: Similarity, own: bool = False):  # noqa: ANN202
