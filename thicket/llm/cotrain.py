@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.operators.number import numbered
 from thicket.scratch import drop, small_batches, stored
 from thicket.llm.wordgrid import Texts, buffers, chunks, code_points, column, keyed, mix, ngrams
 
@@ -251,10 +252,10 @@ def surest(rows: DataFrame, view: int, good: float, how: CoTraining) -> list[tup
     out = []
     for label, n, keep, order in ((0, bad_n, z <= -edge, z), (1, how.give - bad_n, z >= edge, -z)):
         able = rows.where(keep).select("doc_id", "source", order.alias("order"), tie.alias("tie"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt"))
-        # of a source that has most of all rows, no task sees more than 64 times n
-        for by in (["source", "salt"], ["source"]):
-            able = able.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy("order", "tie", "doc_id"))).where(F.col("turn") <= n)
-        first = able
+        # a source that has most of all rows is cut in parts, each to its surest, and these are ranked over many tasks
+        part = F.row_number().over(Window.partitionBy("source", "salt").orderBy("order", "tie", "doc_id"))
+        able = able.withColumn("turn", part).where(F.col("turn") <= n).drop("turn", "salt")
+        first = numbered(able, "source", ["order", "tie", "doc_id"], "turn").where(F.col("turn") <= n)
         out += [(r.doc_id, label) for r in first.orderBy("turn", "order", "tie", "doc_id").limit(n).select("doc_id").collect()]
     return out
 
