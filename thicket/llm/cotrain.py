@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from thicket.operators.number import numbered
 from thicket.scratch import drop, small_batches, stored
-from thicket.llm.wordgrid import Texts, buffers, chunks, code_points, column, keyed, mix, ngrams
+from thicket.llm.wordgrid import Texts, buffers, chunks, code_points, column, give_back, keyed, mix, ngrams
 
 _U = np.uint64
 #: Sizes of the two views' weight tables; the last place is the constant.
@@ -192,6 +192,8 @@ def calibrated(weights: list[np.ndarray], sample: Sample, y: np.ndarray, how: Co
 
 
 def _join(parts: list[Sparse], width: int) -> Sparse:
+    if len(parts) == 1:
+        return parts[0]
     if not parts:
         return Sparse(np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(1, np.int64), width)
     off = np.cumsum([0] + [p.bounds[-1] for p in parts])
@@ -228,7 +230,12 @@ def _gathered(docs: DataFrame, ids: DataFrame) -> Sample:
     for v, width in ((0, WORDS), (1, META)):
         parts = zip(got.column(f"p{v}").chunks, got.column(f"v{v}").chunks, strict=True)
         views.append(_join([Sparse(p.flatten().to_numpy(zero_copy_only=False), x.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(p.value_lengths().to_numpy(zero_copy_only=False)))), width) for p, x in parts], width))
-    return Sample(got.column("doc_id").to_numpy(), views).take(order)
+    ids = got.column("doc_id").to_numpy()
+    del got
+    out = Sample(ids, views).take(order)
+    del views
+    give_back()
+    return out
 
 
 def scored(docs: DataFrame, weights: list[np.ndarray]) -> DataFrame:
@@ -271,7 +278,9 @@ def train(docs: DataFrame, labels: DataFrame, how: CoTraining) -> Model:
     y = np.array([label_of[i] for i in sample.ids.tolist()], float)
     apart = keyed(sample.ids.astype(_U), how.seed + 1) % _U(how.calibrate) == 0
     own, cal = np.flatnonzero(~apart), np.flatnonzero(apart)
-    known = sample.take(own)
+    known, kept_apart, y_apart = sample.take(own), sample.take(cal), y[cal]
+    del sample
+    give_back()
     learned: list[list[tuple[Sparse, np.ndarray]]] = [[(known.views[v], y[own])] for v in (0, 1)]
     weights: list[np.ndarray | None] = [None, None]
     given: list[set[int]] = [set(), set()]
@@ -299,7 +308,7 @@ def train(docs: DataFrame, labels: DataFrame, how: CoTraining) -> Model:
                 learned[1 - v].append((got.views[1 - v].take(mine), np.array([handed[v][i] for i in got.ids[mine].tolist()], float)))
             given[1 - v] |= set(handed[v])
         drop(rest)
-    return calibrated(weights, sample.take(cal), y[cal], how)
+    return calibrated(weights, kept_apart, y_apart, how)
 
 
 def classify(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining()) -> DataFrame:
