@@ -372,7 +372,7 @@ def planted_soft_cluster(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("SELECT 4 AS components")
-def optimal_clusters(spark: SparkSession, d: str) -> DataFrame:
+def number_of_components(spark: SparkSession, d: str) -> DataFrame:
     """The number of components with the least BIC, of all that are tried, for planted groups."""
     return soft_cluster(_blobs(spark, d), ClusterConfig(), shrink=True).select(F.col("n_labels").alias("components")).distinct()
 
