@@ -270,6 +270,52 @@ def test_large_group_is_fitted_in_parts_as_it_is_whole(spark):
     assert all(np.allclose(a[i], b[i]) for i in a) and len(a) == len(b) == 180
 
 
+def _planted(spark, sizes, tokens):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(n, 6)) * 0.03 + 3 * np.eye(6)[i] for i, n in enumerate(sizes)])
+    return spark.createDataFrame([(0, i, tokens, v.tolist()) for i, v in enumerate(x)], "tree_id long, node_index int, n_tokens int, embedding array<double>")
+
+
+def test_a_tree_of_a_tasks_size_is_split_in_one_task(spark, monkeypatch):
+    from thicket.operators import cluster
+
+    tables, stored = [], cluster.stored
+    monkeypatch.setattr(cluster, "stored", lambda df: tables.append(1) or stored(df))
+    got = cluster_nodes(_planted(spark, (40, 40, 40), 100), ClusterConfig(reduction_dimension=3, max_clusters=6, max_length_in_cluster=400)).groupBy("cluster_id").count()
+    assert got.agg(F.max("count")).first()[0] <= 4 and len(tables) <= 3
+
+
+def test_a_group_is_clustered_alike_wherever_it_is_fitted(spark, monkeypatch):
+    from thicket.operators import cluster
+
+    rows, got = _planted(spark, (60, 50, 40), 100), []
+    for part_rows in (1000, 80):
+        sets = {}
+        for r in cluster_nodes(rows, ClusterConfig(reduction_dimension=2, max_clusters=6, max_length_in_cluster=6000, part_rows=part_rows)).collect():
+            sets.setdefault(r.cluster_id, set()).add(r.node_index)
+        got.append([sorted(s) for _, s in sorted(sets.items())])
+    assert got[0] == got[1] and sorted(i for s in got[0] for i in s) == list(range(150))
+    monkeypatch.setattr(cluster, "FITTED", 0)  # by passes
+    by = {}
+    for r in soft_cluster(rows.selectExpr("'g' AS group", "node_index", "embedding"), ClusterConfig(reduction_dimension=2, max_clusters=4, part_rows=80), True).collect():
+        by.setdefault(r.label, set()).add(r.node_index)
+    assert sorted(map(sorted, by.values())) == [list(range(60)), list(range(60, 110)), list(range(110, 150))]
+
+
+def test_numbers_that_cannot_win_are_left_out_and_no_others(monkeypatch):
+    from thicket.operators import mixture
+
+    rng, sweep = np.random.default_rng(4), mixture.bic_sweep
+    for n, d in ((12, 10), (30, 10), (40, 4), (25, 2)):
+        x = rng.normal(size=(n, d)) * 0.1
+        ks = list(mixture.numbers(n, 50))
+        every, tried = sweep(x, ks, 224), []
+        monkeypatch.setattr(mixture, "bic_sweep", lambda x, ks, seed: tried.extend(ks) or sweep(x, ks, seed))
+        assert best_mixture(x).k == mixture.best_number(ks, every)
+        assert all(mixture.least_bic(n, k, d) <= b for k, b in zip(ks, every, strict=True))
+        assert tried == ks[: len(tried)] and (len(tried) < len(ks) or d < 10)
+
+
 def test_splitting_ends_within_the_limit(spark):
     rng = np.random.default_rng(6)
     rows = spark.createDataFrame([(0, i, int(t), v.tolist()) for i, (t, v) in enumerate(zip(rng.integers(1, 700, 60), rng.normal(size=(60, 5)), strict=True))], "tree_id long, node_index int, n_tokens int, embedding array<double>")
