@@ -45,6 +45,32 @@ def test_threshold_keeps_the_far_nearest_first(spark):
     assert [r.node_index for r in beyond(q, rows, 0.5).orderBy("rk").collect()] == [2, 3]
 
 
+@pytest.mark.parametrize("most", [1 << 20, 7])
+def test_threshold_selection_equals_plain_version(data, spark, monkeypatch, most):
+    from thicket.operators import search
+
+    x, rows, _ = data
+    monkeypatch.setattr(search, "RANKED", most)
+    odd = spark.createDataFrame([(100, None), (101, [1.0, 2.0]), (102, [])], "node_index long, embedding array<double>")
+    queries = rows.where("node_index in (1, 3, 20)").selectExpr("node_index AS query_id", "embedding AS query").union(odd.where("node_index < 102"))
+    got = sorted((r.query_id, r.rk, r.node_index, r.score) for r in beyond(queries, rows.union(odd), 0.9).collect())
+    s = np.full((62, 62), np.nan)
+    s[:60, :60] = np.round(block_scores(x, x, "cosine"), 12)
+    s[60, 60] = 0.0
+    want = []
+    for i in (1, 3, 20, 60):
+        far = [j for j in np.lexsort((np.arange(62), s[i])) if not s[i, j] <= 0.9]
+        want += [(i if i < 60 else 101, k + 1, int(j if j < 60 else j + 41), s[i, j]) for k, j in enumerate(far)]
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-11, nan_ok=True)
+
+
+def test_threshold_selection_is_scored_in_blocks(data):
+    _, rows, queries = data
+    plan = beyond(queries, rows, 0.9)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_unknown_metric_names_the_known(data):
     with pytest.raises(ValueError, match="cosine, L1, L2, Linf"):
         distance(F.lit(1), F.lit(2), "L3")
