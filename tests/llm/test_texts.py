@@ -115,6 +115,14 @@ def test_tables_keep_to_their_size(spark):
     assert 0 < len(m.tri) <= 500 and 0 < len(m.known) <= 500
 
 
+def test_counts_that_fit_no_table_are_scored_from_further_ones(spark):
+    df = corpus(spark).select("doc_id", "text", "lang")
+    m = quality_rules.train(df, quality_rules.Rules(entries=700))
+    assert len(m.tri_more) > 1 and len(m.known_more) >= 1
+    scored = [{r.doc_id: tuple(r) for r in quality_rules.verdicts(df, quality_rules.Rules(**how)).collect()} for how in ({}, {"entries": 700})]
+    assert scored[0] == scored[1]
+
+
 def test_quality_of_very_long_and_repeated_texts(spark):
     long = " ".join(f"w{i % 9000}" for i in range(120000))
     got = quality_rules.verdicts(docs(spark, [long, "a b " * 30, "a b " * 30, None])).collect()
