@@ -123,6 +123,12 @@ def test_counts_that_fit_no_table_are_scored_from_further_ones(spark):
     assert scored[0] == scored[1]
 
 
+def test_the_same_rows_are_kept_however_many_tables_hold_the_counts(spark):
+    df = corpus(spark).select("doc_id", "text", "lang")
+    kept = [sorted(map(tuple, quality_rules.keep_good(df, quality_rules.Rules(**how)).collect())) for how in ({}, {"entries": 2000})]
+    assert kept[0] == kept[1]
+
+
 def test_quality_of_very_long_and_repeated_texts(spark):
     long = " ".join(f"w{i % 9000}" for i in range(120000))
     got = quality_rules.verdicts(docs(spark, [long, "a b " * 30, "a b " * 30, None])).collect()
