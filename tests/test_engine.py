@@ -285,6 +285,17 @@ def test_a_tree_of_a_tasks_size_is_split_in_one_task(spark, monkeypatch):
     assert got.agg(F.max("count")).first()[0] <= 4 and len(tables) <= 3
 
 
+def test_a_layer_of_many_trees_is_clustered_at_once(spark, monkeypatch):
+    from thicket.operators import cluster
+
+    tables, stored = [], cluster.stored
+    monkeypatch.setattr(cluster, "stored", lambda df: tables.append(1) or stored(df))
+    rows = _planted(spark, (15, 15), 400).selectExpr("explode(array(1L, 2L, 3L)) AS tree_id", "node_index", "n_tokens", "embedding")
+    got = cluster_nodes(rows, ClusterConfig(reduction_dimension=3, max_clusters=4, max_length_in_cluster=2000)).collect()
+    sets = [sorted((r.cluster_id, r.node_index) for r in got if r.tree_id == t) for t in (1, 2, 3)]
+    assert sets[0] == sets[1] == sets[2] and {i for _, i in sets[0]} == set(range(30)) and len(tables) <= 3
+
+
 def test_a_group_is_clustered_alike_wherever_it_is_fitted(spark, monkeypatch):
     from thicket.operators import cluster
 
