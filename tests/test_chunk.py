@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from thicket.functions.text import context, flat_context, one_line, prompt, sentences, split_text, subsentences, token_count
-from thicket.operators.chunk import chunks, split
+from thicket.operators.chunk import chunks, split, word_chunks
 
 words = lambda s: s.split()
 
@@ -19,6 +19,13 @@ def test_golden_cases(spark):
         assert split(text, most, 0, words) == want
 
 
+def test_words_cut_by_workers_are_cut_as_by_columns(spark):
+    texts = ["a b. c d e f, g. h.", "", None, " \t\n", "a b,c d;e", "a\u00a0b\u3000c. \x1c d: ,;e f g h i j,k. l\u2028m\u0085n!", "x " * 9 + ". y,,z ; " + "w " * 7, "é ü. \u200b ß\x0bq?"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "tree_id long, text string")
+    for most in (1, 3, 5, 100):
+        assert sorted(map(tuple, word_chunks(docs, most).collect())) == sorted(map(tuple, chunks(docs, most).collect())), most
+
+
 def test_overlap_keeps_last_sentences(spark):
     df = spark.createDataFrame([("a. b. c. d.",)], "t string")
     assert df.select(split_text(F.col("t"), 2, 1)).first()[0] == split("a. b. c. d.", 2, 1, words) == ["a  b", " b  c", " c  d"]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from thicket.config import ClusterConfig, EngineConfig, FlatConfig, RetrieverConfig, TreeConfig
 from thicket.models import CompletionAnswer, EmbeddingModel, HashedEmbedding, HostedEmbedding, LeadSummary, OverlapAnswer, QAModel, SummarizationModel, retried
 from thicket.operators.cluster import ClusteringAlgorithm, cluster_nodes, reduced, soft_cluster, value_backmap
-from thicket.operators.mixture import best_mixture, mixture_fit, soft_labels
+from thicket.operators.mixture import best_mixture, best_mixtures, mixture_fit, soft_labels
 from thicket.plans.build import BUILDERS, TreeBuilder, build_tree, neighbours
 from thicket.plans.engine import Engine
 from thicket.plans.flat import FlatRetriever
@@ -285,6 +285,38 @@ def test_a_tree_of_a_tasks_size_is_split_in_one_task(spark, monkeypatch):
     assert got.agg(F.max("count")).first()[0] <= 4 and len(tables) <= 3
 
 
+def test_small_groups_are_fitted_at_once_as_each_alone(monkeypatch):
+    from thicket.operators import mixture
+
+    rng, steps, model = np.random.default_rng(6), [], mixture._model
+    monkeypatch.setattr(mixture, "_model", lambda *a: steps.append(1) or model(*a))
+    near = [rng.normal(size=(int(k), 3))[rng.integers(0, k, int(n))] + rng.normal(scale=0.05, size=(int(n), 3)) for k, n in zip(rng.integers(1, 6, 80), rng.integers(1, 90, 80), strict=True)]
+    groups = [*near, np.zeros((7, 3)), np.repeat(near[0][:1], 20, 0), np.repeat(rng.normal(size=(4, 3)), 5, 0), rng.normal(size=(300, 3))]
+    for most in (8, 50):
+        got = best_mixtures(groups, most)
+        for x, m in zip(groups, got, strict=True):
+            alone = best_mixture(x, most)
+            assert m.k == alone.k and soft_labels(m.posterior(x), 0.1) == soft_labels(alone.posterior(x), 0.1), len(x)
+    few = len(steps)
+    best_mixtures([*groups, *near * 9], 50)
+    assert len(steps) - few <= 2 * few  # many more groups take hardly more steps
+
+
+def test_a_task_clusters_many_trees_at_once(spark, monkeypatch):
+    from thicket.operators import cluster
+
+    rows = _planted(spark, (15, 15), 400).selectExpr("explode(sequence(1L, 40L)) AS tree_id", "node_index", "n_tokens", "embedding")
+    cfg = ClusterConfig(reduction_dimension=3, max_clusters=4, max_length_in_cluster=2000)
+    sets = []
+    for held in (1 << 14, 50):
+        monkeypatch.setattr(cluster, "HELD", held)
+        by = {}
+        for r in cluster_nodes(rows, cfg).collect():
+            by.setdefault(r.tree_id, []).append((r.cluster_id, r.node_index))
+        sets += [sorted(v) for v in by.values()]
+    assert len(sets) == 80 and all(s == sets[0] for s in sets) and {i for _, i in sets[0]} == set(range(30))
+
+
 def test_a_layer_of_many_trees_is_clustered_at_once(spark, monkeypatch):
     from thicket.operators import cluster
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from thicket.config import ClusterConfig, TreeConfig
 from thicket.functions.text import context, token_count
 from thicket.models import embed, summarize
-from thicket.operators.chunk import chunks
+from thicket.operators.chunk import chunks, word_chunks
 from thicket.operators.cluster import MixtureClustering
 from thicket.operators.number import numbered
 from thicket.operators.search import beyond, top_k, tree_neighbours
@@ -33,15 +33,18 @@ def _counted(nodes: DataFrame, cfg: ClusterConfig) -> DataFrame:
     return nodes.withColumn("n_tokens", F.pandas_udf(count, "int")(F.col("text")))
 
 
-def _embedded(nodes: DataFrame, cfg: ClusterConfig) -> DataFrame:
-    """A row for each node and configured model."""
-    parts = [nodes.select("tree_id", "layer", "node_index", F.lit(name).alias("model"), embed(m, F.col("text")).alias("embedding")) for name, m in cfg.embedding_models.items()]
-    return reduce(DataFrame.unionByName, parts)
+def _embedded(nodes: DataFrame, cfg: ClusterConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, a row for each node and configured model, and nodes with the vector that they are clustered by; all written at once."""
+    at = {name: f"_vector{i}" for i, name in enumerate(cfg.embedding_models)}
+    made = stored(nodes.select("*", *[embed(cfg.embedding_models[name], F.col("text")).alias(c) for name, c in at.items()]))
+    vectors = [made.select("tree_id", "layer", "node_index", F.lit(name).alias("model"), F.col(c).alias("embedding")) for name, c in at.items()]
+    return made.select(nodes.columns), reduce(DataFrame.unionByName, vectors), made.select("tree_id", "node_index", "n_tokens", F.col(at[cfg.cluster_embedding_model]).alias("embedding"))
 
 
 def leaves(docs: DataFrame, cfg: ClusterConfig) -> DataFrame:
     """Layer 0 of each docs(tree_id, text); each row is a tree."""
-    return chunks(docs, cfg.max_tokens, 0, cfg.encode).select("tree_id", F.lit(0).alias("layer"), F.col("chunk_index").alias("node_index"), "text", "n_tokens")
+    cut = word_chunks(docs, cfg.max_tokens) if cfg.encode is None else chunks(docs, cfg.max_tokens, 0, cfg.encode)
+    return cut.select("tree_id", F.lit(0).alias("layer"), F.col("chunk_index").alias("node_index"), "text", "n_tokens")
 
 
 def number_parents(clusters: DataFrame, base: DataFrame) -> DataFrame:
@@ -63,22 +66,18 @@ def build_tree(docs: DataFrame, cfg: ClusterConfig | None = None) -> Tree:
     twice = docs.groupBy("tree_id").agg(F.count("*").alias("n")).where("n > 1").select("tree_id").limit(5).collect()
     if twice:
         raise ValueError(f"each row of docs is a tree, but several have the tree_id {', '.join(str(r[0]) for r in twice)}")
-    now = stored(leaves(docs, cfg))
-    vectors = stored(_embedded(now, cfg))
-    all_nodes, all_vectors, all_edges = [now], [vectors], []
-    live = now
+    live, vectors, work = _embedded(leaves(docs, cfg), cfg)
+    all_nodes, all_vectors, all_edges = [live], [vectors], []
     for layer in range(1, cfg.num_layers + 1):
         tall = live.groupBy("tree_id").agg(F.count("*").alias("n")).where(F.col("n") > cfg.reduction_dimension + 1).select("tree_id")
         if not tall.limit(1).count():
             break
-        work = live.join(tall, "tree_id", "left_semi").join(vectors.where(F.col("model") == cfg.cluster_embedding_model).select("tree_id", "node_index", "embedding"), ["tree_id", "node_index"])
-        found = stored(clustering.perform_clustering(work.select("tree_id", "node_index", "n_tokens", "embedding"), cfg, **cfg.clustering_params))
+        found = stored(clustering.perform_clustering(work.join(tall, "tree_id", "left_semi"), cfg, **cfg.clustering_params))
         base = reduce(DataFrame.unionByName, all_nodes).groupBy("tree_id").agg(F.count("*").alias("base"))
         numbers = stored(number_parents(found, base))
         texts = found.join(live.select("tree_id", "node_index", "text"), ["tree_id", "node_index"]).groupBy("tree_id", "cluster_id").agg(context(F.col("text"), F.col("node_index")).alias("context"))
         said = texts.join(numbers, ["tree_id", "cluster_id"]).select("tree_id", F.lit(layer).alias("layer"), "node_index", summarize(cfg.summarization_model, F.col("context"), cfg.summarization_length).alias("text"))
-        live = stored(_counted(said, cfg).select("tree_id", "layer", "node_index", "text", "n_tokens"))
-        vectors = stored(_embedded(live, cfg))
+        live, vectors, work = _embedded(_counted(said, cfg).select("tree_id", "layer", "node_index", "text", "n_tokens"), cfg)
         edges = stored(found.join(numbers.withColumnRenamed("node_index", "parent_index"), ["tree_id", "cluster_id"]).select("tree_id", "parent_index", F.col("node_index").alias("child_index")).distinct())
         all_nodes.append(live)
         all_vectors.append(vectors)
@@ -118,8 +117,7 @@ class NeighbourTreeBuilder(TreeBuilder):
 
     def build(self, docs: DataFrame) -> Tree:
         cfg = self.cfg
-        live = stored(leaves(docs, cfg))
-        vectors = stored(_embedded(live, cfg))
+        live, vectors, _ = _embedded(leaves(docs, cfg), cfg)
         nodes, embeddings, edges = [live], [vectors], []
         for layer in range(1, cfg.num_layers + 1):
             size = live.groupBy("tree_id").agg(F.count("*").cast("int").alias("n"))
@@ -127,8 +125,7 @@ class NeighbourTreeBuilder(TreeBuilder):
             found = stored(near.select("tree_id", (F.col("node_index") + F.col("n")).alias("parent_index"), F.col("neighbour").alias("child_index"), "rk"))
             texts = found.join(live.select("tree_id", F.col("node_index").alias("child_index"), "text"), ["tree_id", "child_index"]).groupBy("tree_id", F.col("parent_index").alias("node_index")).agg(context(F.col("text"), F.col("rk")).alias("context"))
             said = texts.select("tree_id", F.lit(layer).alias("layer"), "node_index", summarize(cfg.summarization_model, F.col("context"), cfg.summarization_length).alias("text"))
-            live = stored(_counted(said, cfg).select("tree_id", "layer", "node_index", "text", "n_tokens"))
-            vectors = stored(_embedded(live, cfg))
+            live, vectors, _ = _embedded(_counted(said, cfg).select("tree_id", "layer", "node_index", "text", "n_tokens"), cfg)
             nodes.append(live)
             embeddings.append(vectors)
             edges.append(found.select("tree_id", "parent_index", "child_index"))
