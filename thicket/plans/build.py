@@ -69,13 +69,14 @@ def build_tree(docs: DataFrame, cfg: ClusterConfig | None = None) -> Tree:
     live, vectors, work = _embedded(leaves(docs, cfg), cfg)
     all_nodes, all_vectors, all_edges = [live], [vectors], []
     for layer in range(1, cfg.num_layers + 1):
-        tall = live.groupBy("tree_id").agg(F.count("*").alias("n")).where(F.col("n") > cfg.reduction_dimension + 1).select("tree_id")
+        tall = stored(live.groupBy("tree_id").agg(F.count("*").alias("n")).where(F.col("n") > cfg.reduction_dimension + 1).select("tree_id"))
         if not tall.limit(1).count():
             break
         found = stored(clustering.perform_clustering(work.join(tall, "tree_id", "left_semi"), cfg, **cfg.clustering_params))
         base = reduce(DataFrame.unionByName, all_nodes).groupBy("tree_id").agg(F.count("*").alias("base"))
         numbers = stored(number_parents(found, base))
-        texts = found.join(live.select("tree_id", "node_index", "text"), ["tree_id", "node_index"]).groupBy("tree_id", "cluster_id").agg(context(F.col("text"), F.col("node_index")).alias("context"))
+        below = live.join(tall, "tree_id", "left_semi").select("tree_id", "node_index", "text")  # most trees end here, so that their texts need not be joined
+        texts = found.join(below, ["tree_id", "node_index"]).groupBy("tree_id", "cluster_id").agg(context(F.col("text"), F.col("node_index")).alias("context"))
         said = texts.join(numbers, ["tree_id", "cluster_id"]).select("tree_id", F.lit(layer).alias("layer"), "node_index", summarize(cfg.summarization_model, F.col("context"), cfg.summarization_length).alias("text"))
         live, vectors, work = _embedded(_counted(said, cfg).select("tree_id", "layer", "node_index", "text", "n_tokens"), cfg)
         edges = stored(found.join(numbers.withColumnRenamed("node_index", "parent_index"), ["tree_id", "cluster_id"]).select("tree_id", "parent_index", F.col("node_index").alias("child_index")).distinct())
