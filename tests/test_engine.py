@@ -359,6 +359,48 @@ def test_numbers_that_cannot_win_are_left_out_and_no_others(monkeypatch):
         assert tried == ks[: len(tried)] and (len(tried) < len(ks) or d < 10)
 
 
+def test_numbers_of_larger_groups_begin_from_the_number_before(monkeypatch):
+    from thicket.operators import mixture
+
+    rng, evaluated, moments = np.random.default_rng(9), [], mixture.moments
+    monkeypatch.setattr(mixture, "moments", lambda x, runs, *of: evaluated.append(sum(r.k for r in runs if not r.done)) or moments(x, runs, *of))
+    x = np.vstack([rng.normal(size=(n, 3)) + 3 * rng.normal(size=3) for n in (300, 200, 150, 90, 60)])
+    ks = list(mixture.numbers(len(x), 30))
+    alone, cost = mixture.bic_sweep(x, ks), sum(evaluated)
+    evaluated.clear()
+    best = best_mixture(x, 30)
+    assert 2 * sum(evaluated) < cost
+    swept = {m.k: bic for bic, m in mixture.sweep_down(x, ks, 224)}
+    assert sorted(swept) == ks and best.k == mixture.best_number(ks, [swept[k] for k in ks])
+    assert abs(best.bic(x) - swept[best.k]) < 1e-5 * abs(swept[best.k]) and swept[best.k] <= min(alone) + 1e-4 * abs(min(alone))
+
+
+def test_equal_rows_are_looked_at_once_and_count_as_often_as_they_are_there(monkeypatch):
+    from thicket.operators import mixture
+
+    rng, looked, moments = np.random.default_rng(12), [], mixture.moments
+    x = np.vstack([rng.normal(size=(n, 2)) * 0.2 + c for n, c in ((80, [0, 0]), (60, [3, 0]), (40, [0, 3]))])
+    often = np.repeat(x, rng.integers(1, 9, len(x)), 0)
+    low, n = mixture.distinct(often)
+    assert np.array_equal(np.repeat(low, n.astype(int), 0), often) and len(low) == len(x)
+    assert np.allclose(mixture.moments(often, [mixture.Run(3, x[[0, 80, 140]])])[0], mixture.moments(low, [mixture.Run(3, x[[0, 80, 140]])], weight=n)[0])
+    monkeypatch.setattr(mixture, "moments", lambda x, *a: looked.append(len(x)) or moments(x, *a))
+    best = best_mixture(often, 6)
+    assert set(looked) == {len(x)}
+    swept = list(mixture.sweep_down(often, [1, 2, 3, 4, 5], 224))
+    assert best.k == min((bic, m.k) for bic, m in swept)[1] and all(abs(m.bic(often) - bic) < 1e-4 * abs(bic) for bic, m in swept)
+
+
+def test_what_was_fitted_is_not_fitted_again_within_one_label(monkeypatch):
+    from thicket.operators import cluster
+
+    fitted, fit = [], cluster.best_mixtures
+    monkeypatch.setattr(cluster, "best_mixtures", lambda xs, *a: fitted.append(len(xs)) or fit(xs, *a))
+    x = 1 + 0.02 * np.random.default_rng(3).normal(size=(300, 4))
+    ((label, rows),) = cluster._two_level([x], ClusterConfig(reduction_dimension=2, max_clusters=6))[0]
+    assert label == 0 and rows.tolist() == list(range(300)) and sum(fitted) == 1
+
+
 def test_splitting_ends_within_the_limit(spark):
     rng = np.random.default_rng(6)
     rows = spark.createDataFrame([(0, i, int(t), v.tolist()) for i, (t, v) in enumerate(zip(rng.integers(1, 700, 60), rng.normal(size=(60, 5)), strict=True))], "tree_id long, node_index int, n_tokens int, embedding array<double>")
